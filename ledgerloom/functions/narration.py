@@ -44,149 +44,94 @@ def link_method(bank_ref: Column, narration: Column) -> Column:
 
 
 # --- partial ratio -------------------------------------------------------------------------
+#
+# Written as SQL expression text: the lambdas nest deeply, and one parsed expression costs the
+# driver a single call instead of thousands.
 
 _WORD = 61  # needle positions that fit a BIGINT state without overflow
 
 
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position)
+def _let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and bind it to ``name`` inside ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
+def _windows(n: str, m: str, floor: int) -> str:
+    """Prefixes, full windows and suffixes of the longer text as (start, size).
 
-def _chars(text: Column) -> Column:
-    return F.split(text, "")
+    A window shorter than ``least`` cannot reach ``floor`` even if the needle contains all of it.
+    """
+    least = f"greatest(1, cast(ceil({n} * {floor} / {200 - floor}) as int))"
+    window = f"named_struct('start', greatest(s, 1), 'size', least(s + {n} - 1, {m}) - greatest(s, 1) + 1)"
+    return _let("least_size", least, f"transform(sequence(1 - {n} + least_size, {m} - least_size + 1), s -> {window})")
 
 
-def _needle_masks(needle: Column, hay: Column) -> Column:
+def _needle_masks(needle: str, hay: str) -> str:
     """For each character of ``hay``, the needle positions holding that character as bits."""
+    positions = (
+        "aggregate(letters, named_struct('bit', 1L, 'mask', 0L), (acc, x) -> named_struct("
+        "'bit', shiftleft(acc.bit, 1), 'mask', if(x = c, acc.mask | acc.bit, acc.mask)), acc -> acc.mask)"
+    )
+    looked_up = (
+        f"transform(split({hay}, ''), h -> "
+        "coalesce(get(table, cast(array_position(alphabet, h) - 1 as int)), 0L))"
+    )
+    with_table = _let("table", f"transform(alphabet, c -> {positions})", looked_up)
+    with_alphabet = _let("alphabet", "array_distinct(letters)", with_table)
+    return _let("letters", f"split({needle}, '')", with_alphabet)
 
-    def with_alphabet(alphabet):
-        def with_letters(letters):
-            def positions(c):
-                return F.aggregate(
-                    letters,
-                    F.struct(F.lit(1).cast("bigint").alias("bit"), F.lit(0).cast("bigint").alias("mask")),
-                    lambda acc, x: F.struct(
-                        F.call_function("shiftleft", acc["bit"], F.lit(1)).alias("bit"),
-                        F.when(x == c, acc["mask"].bitwiseOR(acc["bit"])).otherwise(acc["mask"]).alias("mask"),
-                    ),
-                    lambda acc: acc["mask"],
-                )
-
-            table = F.transform(alphabet, positions)
-            return _let(
-                table,
-                lambda masks: F.transform(
-                    _chars(hay),
-                    lambda c: F.coalesce(
-                        F.get(masks, (F.array_position(alphabet, c) - 1).cast("int")),
-                        F.lit(0).cast("bigint"),
-                    ),
-                ),
-            )
-
-        return _let(_chars(needle), with_letters)
-
-    return _let(F.array_distinct(_chars(needle)), with_alphabet)
-
-
-def _bits_best(needle: Column, hay: Column, floor: int) -> Column:
-    """Bit-parallel LCS per window: with U = V & M, V becomes (V + U) | (V & ~M); the zeros count it."""
-
-    def with_sizes(n):
-        def with_full(full):
-            def with_masks(masks):
-                def score(w):
-                    state = F.aggregate(
-                        F.slice(masks, w["start"], w["size"]),
-                        full,
-                        lambda v, m: (v + v.bitwiseAND(m))
-                        .bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))
-                        .bitwiseAND(full),
-                    )
-                    return (n - F.bit_count(state)) * F.lit(200.0) / (n + w["size"])
-
-                return F.array_max(F.transform(_windows(n, F.size(masks), floor), score))
-
-            return _let(_needle_masks(needle, hay), with_masks)
-
-        return _let(_bit(n) - F.lit(1), with_full)
-
-    return _let(F.length(needle), with_sizes)
-
-
-def _windows(n: Column, m: Column, floor: int) -> Column:
-    """Prefixes, full windows and suffixes of the longer text as (start, size).
 
-    A window shorter than ``shortest`` cannot reach ``floor`` even if the needle contains all of it.
-    """
-    shortest = F.greatest(F.lit(1), F.ceil(n * F.lit(floor) / F.lit(200 - floor)).cast("int"))
-    return _let(
-        shortest,
-        lambda least: F.transform(
-            F.sequence(F.lit(1) - n + least, m - least + 1),
-            lambda s: F.struct(
-                F.greatest(s, F.lit(1)).alias("start"),
-                (F.least(s + n - 1, m) - F.greatest(s, F.lit(1)) + 1).alias("size"),
-            ),
-        ),
+def _bits_best(needle: str, hay: str, floor: int) -> str:
+    """Bit-parallel LCS per window: with U = V & M, V becomes (V + U) | (V & ~M); the zeros count it."""
+    state = (
+        "aggregate(slice(masks, w.start, w.size), ones, "
+        "(v, k) -> ((v + (v & k)) | (v & ~k)) & ones)"
     )
+    score = f"(n - bit_count({state})) * 200.0D / (n + w.size)"
+    best = f"array_max(transform({_windows('n', 'size(masks)', floor)}, w -> {score}))"
+    with_masks = _let("masks", _needle_masks(needle, hay), best)
+    with_ones = _let("ones", "shiftleft(1L, n) - 1L", with_masks)
+    return _let("n", f"length({needle})", with_ones)
 
 
-def _rows_best(needle: Column, hay: Column, floor: int) -> Column:
+def _rows_best(needle: str, hay: str, floor: int) -> str:
     """The same score by the row-wise recurrence, for needles longer than one word."""
-
-    def score(w):
-        window = F.slice(_chars(hay), w["start"], w["size"])
-
-        def step(row, ch):
-            def cell(acc, j):
-                diagonal = F.when(j > 1, F.get(row, j - 2)).otherwise(0)
-                left = F.when(j > 1, F.get(acc, j - 2)).otherwise(0)
-                same = F.get(window, j - 1) == ch
-                value = F.when(same, diagonal + 1).otherwise(F.greatest(left, F.get(row, j - 1)))
-                return F.concat(acc, F.array(value))
-
-            return F.aggregate(F.sequence(F.lit(1), w["size"]), F.slice(row, 1, 0), cell)
-
-        last = F.aggregate(_chars(needle), F.array_repeat(F.lit(0), w["size"]), step)
-        return F.element_at(last, -1) * F.lit(200.0) / (F.length(needle) + w["size"])
-
-    return F.array_max(F.transform(_windows(F.length(needle), F.length(hay), floor), score))
+    cell = (
+        "concat(acc, array(if(get(part, j - 1) = ch, if(j > 1, get(row, j - 2), 0) + 1, "
+        "greatest(if(j > 1, get(acc, j - 2), 0), get(row, j - 1)))))"
+    )
+    step = f"aggregate(sequence(1, w.size), slice(row, 1, 0), (acc, j) -> {cell})"
+    last = f"aggregate(split({needle}, ''), array_repeat(0, w.size), (row, ch) -> {step})"
+    score = f"element_at({last}, -1) * 200.0D / (length({needle}) + w.size)"
+    windows = _windows(f"length({needle})", f"length({hay})", floor)
+    scored = _let("part", f"slice(split({hay}, ''), w.start, w.size)", score)
+    return f"array_max(transform({windows}, w -> {scored}))"
 
 
-def _best_window(needle: Column, hay: Column, floor: int) -> Column:
+def _best_window(needle: str, hay: str, floor: int) -> str:
     return (
-        F.when(F.contains(hay, needle), F.lit(100.0))
-        .when(F.length(needle) <= _WORD, _bits_best(needle, hay, floor))
-        .otherwise(_rows_best(needle, hay, floor))
+        f"case when contains({hay}, {needle}) then 100.0D "
+        f"when length({needle}) <= {_WORD} then {_bits_best(needle, hay, floor)} "
+        f"else {_rows_best(needle, hay, floor)} end"
     )
 
 
-def partial_ratio(left: Column, right: Column, floor: int = 0) -> Column:
+def partial_ratio(left: str, right: str, floor: int = 0) -> Column:
     """Similarity 0-100 of the shorter text with its best aligned stretch of the longer one.
 
-    Best of ``200 * lcs / (len + len)`` over every prefix, full window and suffix of the longer
-    text. Null counts as empty. Two empty texts are identical (100), one empty text matches
-    nothing. Equal lengths are aligned both ways. Scores at or above ``floor`` are exact; a lower
-    one may come out lower still, since windows that cannot reach the floor are skipped.
+    ``left`` and ``right`` are SQL expressions. Best of ``200 * lcs / (len + len)`` over every
+    prefix, full window and suffix of the longer text. Null counts as empty. Two empty texts are
+    identical (100), one empty text matches nothing. Equal lengths are aligned both ways. Scores at
+    or above ``floor`` are exact; a lower one may come out lower still, since windows that cannot
+    reach the floor are skipped.
     """
-    a = F.coalesce(left, F.lit(""))
-    b = F.coalesce(right, F.lit(""))
-    needle = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    hay = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-
-    def scored(pair):
-        x, y = pair["needle"], pair["hay"]
-        once = _best_window(x, y, floor)
-        return (
-            F.when(x == "", F.when(y == "", F.lit(100.0)).otherwise(F.lit(0.0)))
-            .when(F.length(x) == F.length(y), F.greatest(once, _best_window(y, x, floor)))
-            .otherwise(once)
-        )
-
-    return _let(F.struct(needle.alias("needle"), hay.alias("hay")), scored)
+    a, b = f"coalesce({left}, '')", f"coalesce({right}, '')"
+    shorter = f"length({a}) <= length({b})"
+    pair = f"named_struct('x', if({shorter}, {a}, {b}), 'y', if({shorter}, {b}, {a}))"
+    once = _best_window("p.x", "p.y", floor)
+    body = (
+        "case when p.x = '' then if(p.y = '', 100.0D, 0.0D) "
+        f"when length(p.x) = length(p.y) then greatest({once}, {_best_window('p.y', 'p.x', floor)}) "
+        f"else {once} end"
+    )
+    return F.expr(_let("p", pair, body))

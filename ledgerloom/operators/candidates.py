@@ -226,7 +226,7 @@ def fuzzy_points(open_keys: DataFrame, bank: DataFrame, scope: tuple[str, ...],
 def scored_pairs(open_keys: DataFrame, points: DataFrame, scope: tuple[str, ...], floor: int) -> DataFrame:
     """Gated (reference, narration) pairs with their similarity, kept at or above ``floor``."""
     pairs = blocking.gated_pairs(open_keys, points, scope, floor)
-    return pairs.withColumn("similarity", partial_ratio(F.col("ref"), F.col("text"), floor)).filter(
+    return pairs.withColumn("similarity", partial_ratio("ref", "text", floor)).filter(
         F.col("similarity") >= floor
     )
 

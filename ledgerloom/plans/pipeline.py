@@ -54,14 +54,21 @@ def batch_from_raw(
     labels: DataFrame | None = None,
     guard: Guard | None = None,
     scope: tuple[str, ...] = (),
+    staged: bool = True,
 ) -> Batch:
+    """Validate and normalise the feeds.
+
+    The normalised feeds are read by every join of the pipeline, so they are written once instead of
+    being parsed again per branch. ``staged=False`` keeps them lazy for a job with a single reader.
+    """
     ingested = {source: ingest(frame, source) for source, frame in raw.items()}
+    keep = stage if staged else (lambda df, _: df)
     return Batch(
         raw=raw,
         ingested=ingested,
-        pg=normalize_pg(ingested["pg"].valid, scope),
-        bank=normalize_bank(ingested["bank"].valid, scope),
-        invoice=normalize_invoice(ingested["invoice"].valid, scope),
+        pg=keep(normalize_pg(ingested["pg"].valid, scope), "pg"),
+        bank=keep(normalize_bank(ingested["bank"].valid, scope), "bank"),
+        invoice=keep(normalize_invoice(ingested["invoice"].valid, scope), "invoice"),
         guard=guard if guard is not None else guard_for(*raw.values()),
         labels=labels,
         scope=scope,
@@ -73,10 +80,14 @@ def batch_from_folder(spark: SparkSession, folder: str, labels: DataFrame | None
     return batch_from_raw(raw, labels)
 
 
-def batch_from_orders(spark: SparkSession, sf_dir: str, guard: Guard | None = None) -> Batch:
-    feeds = derived_feeds(spark, sf_dir)
+def landed_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The derived feeds written as tables of strings, as an export would arrive."""
+    return {name: stage(frame, f"feed-{name}") for name, frame in derived_feeds(spark, sf_dir).items()}
+
+
+def batch_from_feeds(feeds: dict[str, DataFrame], guard: Guard | None = None, staged: bool = True) -> Batch:
     raw = {s: from_table(feeds[s], s) for s in FEED_FILES}
-    return batch_from_raw(raw, feeds["labels"], guard)
+    return batch_from_raw(raw, feeds.get("labels"), guard, staged=staged)
 
 
-__all__ = ["Batch", "batch_from_folder", "batch_from_orders", "batch_from_raw", "load_batch"]
+__all__ = ["Batch", "batch_from_feeds", "batch_from_folder", "batch_from_raw", "landed_feeds", "load_batch"]

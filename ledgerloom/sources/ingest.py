@@ -66,91 +66,104 @@ def from_table(rows: DataFrame, source: str, pos: str = "src_pos") -> DataFrame:
     return rows.select(F.col(pos).cast("bigint").alias("src_pos"), F.struct(*named).alias("raw"))
 
 
-def _kind_and_text(raw_type: T.DataType, field: Field) -> tuple[Column, Column]:
+def _read(raw_type: T.DataType, field: Field) -> tuple[Column | None, Column]:
+    """JSON type (None when every present value is text) and text of one field."""
     if isinstance(raw_type, T.VariantType):
         path = f"$.{field.name}"
         kind = F.schema_of_variant(F.try_variant_get("raw", path, "variant"))
         return kind, F.try_variant_get("raw", path, "string")
-    text = F.col(f"raw.{field.name}")
-    return F.when(text.isNotNull(), F.lit("STRING")), text
+    return None, F.col(f"raw.{field.name}")
 
 
-def _check(field: Field, kind: Column, text: Column) -> tuple[Column, Column]:
-    """Parsed value and error code of one field."""
-    absent = F.lit("MISSING") if field.required else F.lit(None).cast("string")
+def _check(field: Field, kind: Column | None, text: Column) -> tuple[Column, list[tuple[Column, str]]]:
+    """Parsed value and the (violated, code) conditions of one field, first violated one wins."""
+    absent = text.isNull() if kind is None else kind.isNull()
+    faults: list[tuple[Column, str]] = []
+    if field.required:
+        faults.append((absent, "MISSING"))
 
     if field.kind in ("money", "value"):
-        exact = text.try_cast("decimal(38,10)")
         value = text.try_cast(AMOUNT)
-        error = (
-            F.when(kind.isNull(), absent)
-            .when(kind == "VOID", F.lit("NULL_MONEY"))
-            .when(~kind.isin("STRING", "BIGINT"), F.lit("NOT_EXACT_MONEY"))
-            .when(exact.isNull(), F.lit("NOT_A_NUMBER"))
-            .when(value.isNull() | (exact != value), F.lit("OUT_OF_RANGE"))
-        )
+        if kind is not None:
+            faults.append((kind == "VOID", "NULL_MONEY"))
+            faults.append((~kind.isin("STRING", "BIGINT"), "NOT_EXACT_MONEY"))
+        faults.append((~absent & value.isNull(), "NOT_A_NUMBER"))
+        # more than four decimals would be rounded by the cast; feeds carry two
+        rounded = F.length(F.regexp_extract(text, "[.]([0-9]*)", 1)) > 4
+        faults.append((rounded & (text.try_cast("decimal(38,10)") != value), "OUT_OF_RANGE"))
         if field.kind == "value":
-            error = error.when(value < 0, F.lit(C.UNSUPPORTED_TRANSACTION_TYPE))
+            faults.append((value < 0, C.UNSUPPORTED_TRANSACTION_TYPE))
         if field.zero:
-            value = F.when(kind.isNull(), F.lit(0).cast(AMOUNT)).otherwise(value)
-        return value, error
-
-    null_code = F.lit("NULL_VALUE") if field.required else F.lit(None).cast("string")
-    error = (
-        F.when(kind.isNull(), absent)
-        .when(kind == "VOID", null_code)
-        .when(kind != "STRING", F.lit("NOT_TEXT"))
-    )
+            value = F.when(absent, F.lit(0).cast(AMOUNT)).otherwise(value)
+        return value, faults
+
+    if kind is not None:
+        if field.required:
+            faults.append((kind == "VOID", "NULL_VALUE"))
+        faults.append((~kind.isin("STRING", "VOID"), "NOT_TEXT"))
     if field.kind == "text":
-        return text, error
+        return text, faults
     if field.kind == "timestamp":
         offset = (
-            F.when(text.rlike(_HAS_OFFSET) & (F.length(text) > 10), F.lit(""))
-            .when(F.length(text) == 10, F.lit("T00:00:00Z"))
+            F.when(F.length(text) == 10, F.lit("T00:00:00Z"))
+            .when(text.rlike(_HAS_OFFSET), F.lit(""))
             .otherwise(F.lit("Z"))
         )
         value = F.when(text.rlike(_ISO_TIMESTAMP), F.concat(text, offset).try_cast("timestamp"))
-        return value, error.when(value.isNull(), F.lit("BAD_TIMESTAMP"))
+        return value, [*faults, (value.isNull(), "BAD_TIMESTAMP")]
     if field.kind == "date":
         value = F.when(text.rlike(_ISO_DATE), text.try_cast("date"))
-        return value, error.when(value.isNull(), F.lit("BAD_DATE"))
+        return value, [*faults, (value.isNull(), "BAD_DATE")]
     first = F.when(text.rlike(_PERIOD), F.concat(text, F.lit("-01")).try_cast("date"))
-    return text, error.when(first.isNull(), F.lit("BAD_PERIOD"))
+    return text, [*faults, (first.isNull(), "BAD_PERIOD")]
 
 
 def checked(raw: DataFrame, source: str) -> DataFrame:
-    """Every record with its parsed fields, the list of violations and the reject code."""
+    """Every record with its parsed fields, ``valid``, the list of violations and the reject code.
+
+    ``valid`` is a plain boolean, so the valid branch never builds the error texts.
+    """
     fields = FEEDS[source]
     raw_type = raw.schema["raw"].dataType
     extra = [c for c in raw.columns if c not in ("src_pos", "raw")]
-    read = []
+    read, kinds = [], []
     for i, field in enumerate(fields):
-        kind, text = _kind_and_text(raw_type, field)
-        read += [kind.alias(f"k{i}"), text.alias(f"t{i}")]
+        kind, text = _read(raw_type, field)
+        read.append(text.alias(f"t{i}"))
+        if kind is not None:
+            read.append(kind.alias(f"k{i}"))
+        kinds.append(None if kind is None else F.col(f"k{i}"))
     staged = raw.select(*extra, "src_pos", "raw", *read)
 
-    values, errors = [], []
+    values, errors, any_fault, unsupported = [], [], F.lit(False), F.lit(False)
     for i, field in enumerate(fields):
-        value, error = _check(field, F.col(f"k{i}"), F.col(f"t{i}"))
+        value, faults = _check(field, kinds[i], F.col(f"t{i}"))
         values.append(value.alias(field.name))
-        errors.append(F.when(error.isNotNull(), F.concat(F.lit(f"{field.name}:"), error)))
-    parsed = staged.select(
-        *extra, "src_pos", "raw", *values, F.array_compact(F.array(*errors)).alias("errors")
-    )
-    unsupported = F.exists("errors", lambda e: e.endswith(C.UNSUPPORTED_TRANSACTION_TYPE))
-    return parsed.withColumn(
-        "error_code",
-        F.when(unsupported, C.UNSUPPORTED_TRANSACTION_TYPE).when(
-            F.size("errors") > 0, C.SCHEMA_VALIDATION_FAILED
-        ),
+        error = F.lit(None).cast("string")
+        for condition, code in reversed(faults):
+            error = F.when(condition, F.lit(f"{field.name}:{code}")).otherwise(error)
+            any_fault = any_fault | F.coalesce(condition, F.lit(False))
+            if code == C.UNSUPPORTED_TRANSACTION_TYPE:
+                unsupported = unsupported | F.coalesce(condition, F.lit(False))
+        errors.append(error)
+    return staged.select(
+        *extra,
+        "src_pos",
+        "raw",
+        *values,
+        (~any_fault).alias("valid"),
+        F.array_compact(F.array(*errors)).alias("errors"),
+        F.when(unsupported, C.UNSUPPORTED_TRANSACTION_TYPE)
+        .when(any_fault, C.SCHEMA_VALIDATION_FAILED)
+        .alias("error_code"),
     )
 
 
 def ingest(raw: DataFrame, source: str) -> Ingested:
     rows = checked(raw, source)
     extra = [c for c in raw.columns if c not in ("src_pos", "raw")]
-    valid = rows.filter(F.size("errors") == 0).select(*extra, "src_pos", *[f.name for f in FEEDS[source]])
-    rejects = rows.filter(F.size("errors") > 0).select(
+    valid = rows.filter("valid").select(*extra, "src_pos", *[f.name for f in FEEDS[source]])
+    rejects = rows.filter(~F.col("valid")).select(
         *extra,
         F.lit(source).alias("source"),
         "src_pos",
@@ -178,7 +191,7 @@ def ingest_summary(raw_feeds: dict[str, DataFrame]) -> DataFrame:
     """Valid and rejected rows per source, one pass over each feed."""
     parts = []
     for source, raw in raw_feeds.items():
-        bad = F.size("errors") > 0
+        bad = ~F.col("valid")
         parts.append(
             checked(raw, source).agg(
                 F.lit(source).alias("source"),
