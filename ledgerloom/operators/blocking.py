@@ -1,16 +1,163 @@
-"""Which gated (reference, narration) pairs are worth comparing."""
+"""Which (reference, narration) pairs are worth comparing.
+
+A pair scores at least ``floor`` only if some window of the longer text and the shorter text share a
+common subsequence of a known length. For short references that subsequence itself is the block key:
+delete as few characters as needed from both sides and compare (the published deletion-neighbourhood
+scheme). For longer ones the reference is cut into one more piece than there can be edits, so one
+piece survives untouched. Both lose no pair; neither lists the pairs of a group.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.gates import in_gate, point_cells, query_cells
 
+CELL_PAIRS = 1_000_000  # a gate cell above this many pairs is paired through block keys
+
+
+def _common(n: str, w: str, floor: int) -> str:
+    """Shortest common subsequence of a needle and a window that still reaches the floor."""
+    return f"cast(ceil({floor} * ({n} + {w}) / 200) as int)"
+
+
+def _least(n: str, floor: int) -> str:
+    return f"greatest(1, cast(ceil({n} * {floor} / {200 - floor}) as int))"
+
+
+def _drop(values: str) -> str:
+    """Every text of ``values`` with any one character deleted."""
+    return (
+        f"array_distinct(flatten(transform({values}, t -> transform(sequence(1, length(t)), "
+        "i -> concat(substr(t, 1, i - 1), substr(t, i + 1))))))"
+    )
+
+
+def _dropped(value: str, k: str) -> str:
+    """Every text left after deleting exactly ``k`` (at most 3) characters."""
+    one = _drop(f"array({value})")
+    return (
+        f"case {k} when 0 then array({value}) when 1 then {one} "
+        f"when 2 then {_drop(one)} else {_drop(_drop(one))} end"
+    )
+
+
+def _is_short(n: str, floor: int) -> str:
+    """One deletion per full window is enough (at most 13 characters at floor 85)."""
+    return f"({n} - {_common(n, n, floor)} <= 1 and {n} - {_common(n, _least(n, floor), floor)} <= 3)"
+
 
-def gated_pairs(open_keys: DataFrame, points: DataFrame, scope: tuple[str, ...], floor: int) -> DataFrame:
+def _pieces(n: str, floor: int) -> str:
+    """One more piece than the largest number of edits a pair at the floor can have."""
+    return f"cast(floor(2 * {n} * {100 - floor} / 100) + 1 as int)"
+
+
+def _hashed(n: str, keys: str) -> str:
+    return f"array_distinct(transform({keys}, q -> xxhash64({n}, q)))"
+
+
+def needle_keys(text: str, floor: int) -> Column:
+    """Block keys of the shorter text."""
+    n = f"length({text})"
+    windows = f"filter(sequence({_least(n, floor)}, {n}), w -> {_common(n, 'w', floor)} <= w)"
+    cuts = f"array_distinct(transform({windows}, w -> {n} - {_common(n, 'w', floor)}))"
+    near = f"flatten(transform({cuts}, k -> {_dropped(text, 'k')}))"
+    p = _pieces(n, floor)
+    cut = f"cast(floor(j * {n} / {p}) as int)"
+    end = f"cast(floor((j + 1) * {n} / {p}) as int)"
+    pieces = f"transform(sequence(0, {p} - 1), j -> substr({text}, {cut} + 1, {end} - {cut}))"
+    return F.expr(
+        f"case when {n} = 0 then array() when {_is_short(n, floor)} then {_hashed(n, near)} else {_hashed(n, pieces)} end"
+    )
+
+
+def hay_keys(text: str, sizes: str, floor: int) -> Column:
+    """Block keys of the longer text, for every shorter-text length in the array ``sizes``."""
+    m = f"length({text})"
+    full = (
+        f"flatten(transform(sequence(1, {m} - n + 1), s -> "
+        f"{_dropped(f'substr({text}, s, n)', 'n - ' + _common('n', 'n', floor))}))"
+    )
+    edges = f"filter(sequence({_least('n', floor)}, n), w -> w < n and {_common('n', 'w', floor)} <= w)"
+    cut = f"w - {_common('n', 'w', floor)}"
+    edge_keys = (
+        f"flatten(transform({edges}, w -> concat({_dropped(f'substr({text}, 1, w)', cut)}, "
+        f"{_dropped(f'substr({text}, {m} - w + 1, w)', cut)})))"
+    )
+    p = _pieces("n", floor)
+    grams = (
+        f"flatten(transform(array_distinct(array(cast(floor(n / {p}) as int), cast(ceil(n / {p}) as int))), "
+        f"g -> transform(sequence(1, {m} - g + 1), s -> substr({text}, s, g))))"
+    )
+    per_size = (
+        f"case when {_is_short('n', floor)} then {_hashed('n', f'concat({full}, {edge_keys})')} "
+        f"else {_hashed('n', grams)} end"
+    )
+    return F.expr(f"array_distinct(flatten(transform(filter({sizes}, n -> n > 0 and n <= {m}), n -> {per_size})))")
+
+
+def _sizes(rows: DataFrame, cells: list[str], text: str) -> DataFrame:
+    """Distinct text lengths per cell: bounded by the longest text, whatever the row count."""
+    return rows.groupBy(*cells).agg(F.collect_set(F.length(text)).alias("sizes"))
+
+
+def gated_pairs(
+    open_keys: DataFrame,
+    points: DataFrame,
+    scope: tuple[str, ...],
+    floor: int,
+    cell_pairs: int = CELL_PAIRS,
+) -> DataFrame:
+    """Distinct references (ref, expected_net, day) with the distinct narrations (text, amount, bank_day)
+    in their gate. Cells of ordinary size pair directly; hot cells only through block keys."""
     cells = [*scope, "_paise", "_week"]
-    pairs = query_cells(open_keys).join(point_cells(points), cells)
-    return pairs.filter(
-        in_gate(F.col("expected_net"), F.col("day"), F.col("amount"), F.col("bank_day"))
-    ).drop("_paise", "_week")
+    asks = query_cells(open_keys)
+    rows = point_cells(points)
+    gate = in_gate(F.col("expected_net"), F.col("day"), F.col("amount"), F.col("bank_day"))
+    asks_n = asks.groupBy(*cells).agg(F.count(F.lit(1)).alias("asks"))
+    rows_n = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("rows"))
+    hot = (
+        asks_n.join(rows_n, cells)
+        .filter(F.col("asks") * F.col("rows") > cell_pairs)
+        .select(*cells)
+    )
+    direct = asks.join(hot, cells, "left_anti").join(rows, cells).filter(gate)
+
+    hot_asks = asks.join(hot, cells, "left_semi").filter(F.length("ref") > 0)
+    hot_rows = rows.join(hot, cells, "left_semi").filter(F.length("text") > 0)
+    by_ref = (
+        hot_asks.withColumn("_key", F.explode(needle_keys("ref", floor)))
+        .join(
+            hot_rows.join(_sizes(hot_asks, cells, "ref"), cells)
+            .withColumn("_key", F.explode(hay_keys("text", "sizes", floor)))
+            .drop("sizes"),
+            [*cells, "_key"],
+        )
+        .filter(F.length("ref") <= F.length("text"))
+    )
+    by_text = (
+        hot_rows.withColumn("_key", F.explode(needle_keys("text", floor)))
+        .join(
+            hot_asks.join(_sizes(hot_rows, cells, "text"), cells)
+            .withColumn("_key", F.explode(hay_keys("ref", "sizes", floor)))
+            .drop("sizes"),
+            [*cells, "_key"],
+        )
+        .filter(F.length("text") <= F.length("ref"))
+    )
+    # two empty texts are identical: within a cell there is one empty narration per amount and day
+    empty = (
+        asks.join(hot, cells, "left_semi")
+        .filter(F.length("ref") == 0)
+        .join(rows.join(hot, cells, "left_semi").filter(F.length("text") == 0), cells)
+    )
+    named = direct.columns
+    blocked = by_ref.filter(gate).select(*named).unionByName(by_text.filter(gate).select(*named))
+    identity = [*scope, "ref", "expected_net", "day", "text", "amount", "bank_day"]
+    payload = [c for c in named if c not in identity and c not in cells]
+    once = blocked.groupBy(*identity).agg(*[F.first(c).alias(c) for c in payload])
+    keep = [*identity, *payload]
+    return (
+        direct.select(*keep).unionByName(once.select(*keep)).unionByName(empty.filter(gate).select(*keep))
+    )
