@@ -122,6 +122,11 @@ def gated_pairs(
         .filter(F.col("asks") * F.col("rows") > cell_pairs)
         .select(*cells)
     )
+    identity = [*scope, "ref", "expected_net", "day", "text", "amount", "bank_day"]
+    payload = [c for c in points.columns if c not in identity]
+    keep = [*identity, *payload]
+    if hot.isEmpty():
+        return asks.join(rows, cells).filter(gate).select(*keep)
     direct = asks.join(hot, cells, "left_anti").join(rows, cells).filter(gate)
 
     hot_asks = asks.join(hot, cells, "left_semi").filter(F.length("ref") > 0)
@@ -154,10 +159,7 @@ def gated_pairs(
     )
     named = direct.columns
     blocked = by_ref.filter(gate).select(*named).unionByName(by_text.filter(gate).select(*named))
-    identity = [*scope, "ref", "expected_net", "day", "text", "amount", "bank_day"]
-    payload = [c for c in named if c not in identity and c not in cells]
     once = blocked.groupBy(*identity).agg(*[F.first(c).alias(c) for c in payload])
-    keep = [*identity, *payload]
     return (
         direct.select(*keep).unionByName(once.select(*keep)).unionByName(empty.filter(gate).select(*keep))
     )

@@ -242,7 +242,9 @@ def match_fuzzy(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...] = ()
     share one answer.
     """
     asked = open_keys_of(anchors, scope)
-    points = fuzzy_points(asked, bank, scope, guard)
+    # both are read for the cell sizes and again for the pairs
+    asked = stage(asked, "fuzzy-asked")
+    points = stage(fuzzy_points(asked, bank, scope, guard), "fuzzy-points")
     hits = scored_pairs(asked, points, scope, C.FUZZY_MIN_SIMILARITY)
     key = ["ref", "expected_net", "day"]
     groups = hits.groupBy(*scope, *key).agg(
@@ -315,31 +317,35 @@ def candidate_sets(
 ) -> DataFrame:
     """One row per anchor: winners, candidate counts, tier, duplicate flag and rival count."""
     exact = stage(exact_groups(pg, bank, invoice, scope, guard), "exact-groups")
-    special = F.col("exact_tier").isNull() | F.col("pick_bank") | F.col("pick_invoice") | F.col("count_own")
+    open_case = F.col("exact_tier").isNull()
+    special = open_case | F.col("pick_bank") | F.col("pick_invoice") | F.col("count_own")
+    # one row: which of the rarer branches this batch needs at all
+    need = exact.agg(
+        F.max(open_case).alias("fuzzy"),
+        F.max("pick_bank").alias("picks"),
+        F.max("pick_invoice").alias("bills"),
+        F.max("count_own").alias("own"),
+    ).first()
 
     me = [*scope, "src_pos"]
-    unresolved = exact.filter(F.col("exact_tier").isNull())
-    fuzzy = match_fuzzy(unresolved, bank, scope, guard)
-    picks = _bank_winners(exact.filter("pick_bank"), bank, scope, guard)
-    bills = _invoice_winners(exact.filter("pick_invoice"), invoice, scope, guard)
-    own = own_in_gate(exact.filter("count_own"), bank, scope)
-
-    hard = (
-        exact.filter(special)
-        .join(fuzzy, me, "left")
-        .join(picks, me, "left")
-        .join(bills, me, "left")
-        .join(own, me, "left")
-    )
-    bank_null = F.lit(None).cast(exact.schema["u"].dataType["row"].dataType)
-    bill_null = F.lit(None).cast(exact.schema["i"].dataType["row"].dataType)
-    plain = (
-        exact.filter(~special)
-        .withColumn("f", F.lit(None).cast(fuzzy.schema["f"].dataType))
-        .withColumn("bank_pick", bank_null)
-        .withColumn("invoice_pick", bill_null)
-        .withColumn("own", F.lit(None).cast("bigint"))
+    empty = {
+        "f": "struct<n:bigint,row:%s,duplicate:boolean>" % exact.schema["u"].dataType["row"].dataType.simpleString(),
+        "bank_pick": exact.schema["u"].dataType["row"].dataType.simpleString(),
+        "invoice_pick": exact.schema["i"].dataType["row"].dataType.simpleString(),
+        "own": "bigint",
+    }
+    hard = exact.filter(special)
+    branches = (
+        (need.fuzzy, "f", lambda: match_fuzzy(exact.filter(open_case), bank, scope, guard)),
+        (need.picks, "bank_pick", lambda: _bank_winners(exact.filter("pick_bank"), bank, scope, guard)),
+        (need.bills, "invoice_pick", lambda: _invoice_winners(exact.filter("pick_invoice"), invoice, scope, guard)),
+        (need.own, "own", lambda: own_in_gate(exact.filter("count_own"), bank, scope)),
     )
+    for wanted, column, build in branches:
+        hard = hard.join(build(), me, "left") if wanted else hard.withColumn(column, F.lit(None).cast(empty[column]))
+    plain = exact.filter(~special)
+    for column, kind in empty.items():
+        plain = plain.withColumn(column, F.lit(None).cast(kind))
     everyone = plain.unionByName(hard)
 
     totals = gate_totals(exact, bank, scope)

@@ -134,7 +134,7 @@ def fuzzy_sweep(decided: DataFrame, bank: DataFrame) -> DataFrame:
         F.coalesce("narration", F.lit("")).alias("text"),
     )
     # rows that read the same are one point: same narration, amount, day and id
-    points = rows.groupBy("bank_txn", "amount", "bank_day", "text").agg(F.min("bank_pos").alias("bank_pos"))
+    points = rows.groupBy("amount", "bank_day", "text", "bank_txn").agg(F.min("bank_pos").alias("bank_pos"))
     pairs = gate_join(anchors, points, []).withColumn("similarity", partial_ratio("utr", "text", SWEEP[0]))
     right = F.when(F.col("bank_txn").isNotNull(), F.col("bank_txn") == F.col("txn_id")).otherwise(
         F.col("amount") == F.col("expected_net")

@@ -57,13 +57,13 @@ def scan_json_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def from_table(rows: DataFrame, source: str, pos: str = "src_pos") -> DataFrame:
+def from_table(rows: DataFrame, source: str, scope: tuple[str, ...] = ()) -> DataFrame:
     """A raw feed from a table of string columns; a null column is an absent field."""
     have = set(rows.columns)
     named = [
         (F.col(f.name) if f.name in have else F.lit(None)).cast("string").alias(f.name) for f in FEEDS[source]
     ]
-    return rows.select(F.col(pos).cast("bigint").alias("src_pos"), F.struct(*named).alias("raw"))
+    return rows.select(*scope, F.col("src_pos").cast("bigint").alias("src_pos"), F.struct(*named).alias("raw"))
 
 
 def _read(raw_type: T.DataType, field: Field) -> tuple[Column | None, Column]:
