@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.functions.narration import partial_ratio
 from ledgerloom.operators.blocking import hay_keys, needle_keys
+from ledgerloom.session import stage
+
+
+# A high floor needs few block keys, so it settles most texts cheaply; whatever has no partner there
+# is searched again at the real floor. Both searches are complete for their floor.
+FLOORS = (91, C.FUZZY_MIN_SIMILARITY)
 
 
 def attribute_bank_rows(bank: DataFrame, pg: DataFrame) -> DataFrame:
@@ -17,25 +25,46 @@ def attribute_bank_rows(bank: DataFrame, pg: DataFrame) -> DataFrame:
     where they share a block key; every pair that can reach the floor shares one. Ties go to the
     settlement that comes first.
     """
-    floor = C.FUZZY_MIN_SIMILARITY
     refs = pg.filter(F.coalesce("utr", F.lit("")) != "").groupBy(F.col("utr").alias("ref")).agg(
         F.min(F.struct("src_pos", "txn_id")).alias("first")
     )
     texts = bank.filter(F.coalesce("narration", F.lit("")) != "").select(F.col("narration").alias("text")).distinct()
+    found = []
+    for floor in FLOORS:
+        best = stage(_best_reference(refs, texts, floor), f"attribution-{floor}")
+        found.append(best)
+        texts = texts.join(best.select("text"), "text", "left_anti")
+        if floor != FLOORS[-1] and texts.isEmpty():
+            break
+    answers = reduce(DataFrame.unionByName, found)
+    return bank.join(answers.withColumnRenamed("text", "narration"), "narration", "left").select(
+        "bank_ref", "narration", F.col("best.txn_id").alias("txn_id"), F.col("best.similarity").alias("similarity")
+    )
 
-    # distinct reference lengths: a handful, far below the number of references
-    sizes = refs.select(F.length("ref").alias("size")).distinct()
-    wide = texts.join(F.broadcast(sizes.agg(F.collect_set("size").alias("sizes"))), F.lit(True))
-    left = refs.withColumn("key", F.explode(needle_keys("ref", floor)))
-    right = wide.withColumn("key", F.explode(hay_keys("text", "sizes", floor)))
-    pairs = left.join(right, "key").select("ref", "first", "text").distinct()
-    scored = pairs.withColumn("similarity", partial_ratio("ref", "text", floor)).filter(F.col("similarity") >= floor)
-    best = scored.groupBy("text").agg(
+
+def _best_reference(refs: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
+    """The most similar reference of each text at or above ``floor``."""
+    pairs = _sharing_keys(refs, texts, "ref", "text", floor)
+    # references no shorter than the text are searched the other way round
+    longest = refs.agg(F.max(F.length("ref")).alias("m")).first().m
+    short = texts.filter(F.length("text") <= longest)
+    if longest is not None and not short.isEmpty():
+        pairs = pairs.unionByName(_sharing_keys(short, refs, "text", "ref", floor))
+    once = pairs.distinct().join(refs, "ref")
+    scored = once.withColumn("similarity", partial_ratio("ref", "text", floor)).filter(F.col("similarity") >= floor)
+    return scored.groupBy("text").agg(
         F.max_by(
             F.struct(F.col("first.txn_id").alias("txn_id"), "similarity"),
             F.struct("similarity", (-F.col("first.src_pos")).alias("earlier")),
         ).alias("best")
     )
-    return bank.join(best.withColumnRenamed("text", "narration"), "narration", "left").select(
-        "bank_ref", "narration", F.col("best.txn_id").alias("txn_id"), F.col("best.similarity").alias("similarity")
+
+
+def _sharing_keys(needles: DataFrame, hays: DataFrame, needle: str, hay: str, floor: int) -> DataFrame:
+    # distinct needle lengths: a handful, however many needles there are
+    sizes = needles.agg(F.collect_set(F.length(needle)).alias("sizes"))
+    left = needles.select(needle, F.explode(needle_keys(needle, floor)).alias("key"))
+    right = hays.select(hay).join(F.broadcast(sizes), F.lit(True)).select(
+        hay, F.explode(hay_keys(hay, "sizes", floor)).alias("key")
     )
+    return left.join(right, "key").select("ref", "text")

@@ -13,7 +13,6 @@ from ledgerloom.functions.narration import BANK_REF_PREFIX, partial_ratio, ref_t
 from ledgerloom.operators.gates import gate_join
 from ledgerloom.plans.reports import percent
 
-N = F.lit(1)
 
 # Statuses a label of each category may carry.
 ALLOWED_STATUSES = (
@@ -42,7 +41,7 @@ def labelled(labels: DataFrame, decided: DataFrame) -> DataFrame:
 
 def accuracy(rows: DataFrame) -> DataFrame:
     counts = rows.agg(
-        F.count(N).alias("labels"),
+        F.count("*").alias("labels"),
         F.count("status").alias("evaluated"),
         F.count_if("status_ok").alias("status_correct"),
         F.count_if("code_ok").alias("code_correct"),
@@ -58,7 +57,7 @@ def accuracy(rows: DataFrame) -> DataFrame:
 
 def accuracy_by_category(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(
-        F.count(N).alias("total"),
+        F.count("*").alias("total"),
         F.count_if("status_ok").alias("status_ok"),
         F.count_if("code_ok").alias("code_ok"),
         F.count_if(F.col("status").isNull()).alias("not_evaluable"),
@@ -87,7 +86,7 @@ def label_reachability(labels: DataFrame) -> DataFrame:
     allowed = F.lit(False)
     for category, statuses in ALLOWED_STATUSES:
         allowed = allowed | ((F.col("category") == category) & F.col("expected_status").isin(*statuses))
-    return labels.groupBy("category", "expected_status").agg(F.count(N).alias("n")).withColumn("reachable", allowed)
+    return labels.groupBy("category", "expected_status").agg(F.count("*").alias("n")).withColumn("reachable", allowed)
 
 
 def label_coverage(labels: DataFrame, decided: DataFrame) -> DataFrame:
@@ -108,7 +107,7 @@ def tier_by_category(rows: DataFrame) -> DataFrame:
 def tax_mismatch_precision(rows: DataFrame) -> DataFrame:
     flagged = rows.filter(F.col("status") == "TAX_MISMATCH")
     return flagged.groupBy("category").agg(
-        F.count(N).alias("flagged"),
+        F.count("*").alias("flagged"),
         F.count_if("status_ok").alias("correct"),
         F.count_if(~F.col("status_ok")).alias("false_positive"),
     )
@@ -174,7 +173,7 @@ def fuzzy_sweep(decided: DataFrame, bank: DataFrame) -> DataFrame:
 
 def dq_categories(labels: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
     """Labels per category; with expectations, both counts and whether they agree (ambiguous counts double)."""
-    actual = labels.groupBy("category").agg(F.count(N).alias("actual"))
+    actual = labels.groupBy("category").agg(F.count("*").alias("actual"))
     if expected is None:
         return actual
     spark = labels.sparkSession
@@ -206,7 +205,7 @@ def raw_presence(labels: DataFrame, pg: DataFrame, bank: DataFrame, invoice: Dat
     """
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("txn_id").agg(F.count(N).alias(name))
+        return rows.groupBy("txn_id").agg(F.count("*").alias(name))
 
     owned = bank.select(ref_txn_id(F.col("bank_ref")).alias("txn_id")).filter("txn_id is not null")
     linked = owned.unionByName(native.filter("txn_id is not null").select("txn_id"))
@@ -254,7 +253,7 @@ def dq_collisions(labels: DataFrame, pg: DataFrame) -> DataFrame:
     rows = labels.filter(F.col("category") == "ambiguous").join(pg, "txn_id")
     return (
         rows.groupBy(money(F.col("amount")).alias("gross"), "day")
-        .agg(F.count(N).alias("n"))
+        .agg(F.count("*").alias("n"))
         .withColumn("genuine", F.col("n") >= 2)
     )
 
@@ -262,7 +261,7 @@ def dq_collisions(labels: DataFrame, pg: DataFrame) -> DataFrame:
 def dq_narration_shapes(bank: DataFrame) -> DataFrame:
     text = F.col("narration")
     marks = [F.contains(text, F.lit(m)).alias(name) for m, name in (("-", "dash"), ("/", "slash"), ("*", "star"), (" CR ", "cr"))]
-    return bank.filter(F.coalesce(text, F.lit("")) != "").groupBy(*marks).agg(F.count(N).alias("n"))
+    return bank.filter(F.coalesce(text, F.lit("")) != "").groupBy(*marks).agg(F.count("*").alias("n"))
 
 
 def dq_corrupted_similarity(attributed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -281,7 +280,7 @@ def net_collisions(pg: DataFrame, labels: DataFrame) -> DataFrame:
     """Nets shared by several settlements outside the ambiguous category."""
     others = labels.filter(F.col("category") != "ambiguous").select("txn_id")
     rows = pg.join(others, "txn_id", "left_semi")
-    return rows.groupBy(money(F.col("expected_net")).alias("net")).agg(F.count(N).alias("n")).filter("n > 1")
+    return rows.groupBy(money(F.col("expected_net")).alias("net")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def dq_tax_detectable(labels: DataFrame, pg: DataFrame, invoice: DataFrame) -> DataFrame:
@@ -291,7 +290,7 @@ def dq_tax_detectable(labels: DataFrame, pg: DataFrame, invoice: DataFrame) -> D
     gst_off = F.abs(gst_on(F.col("fee")) - F.col("claimed_gst")) > F.lit(C.TAX_TOLERANCE)
     tds_off = F.abs(F.col("tds") - F.col("claimed_tds")) > F.lit(C.TAX_TOLERANCE)
     return rows.agg(
-        F.count(N).alias("records"),
+        F.count("*").alias("records"),
         F.count_if(gst_off).alias("gst_cases"),
         F.count_if(tds_off).alias("tds_cases"),
         F.count_if(~gst_off & ~tds_off).alias("undetectable"),
@@ -299,7 +298,7 @@ def dq_tax_detectable(labels: DataFrame, pg: DataFrame, invoice: DataFrame) -> D
 
 
 def mdr_mix(pg: DataFrame) -> DataFrame:
-    return pg.groupBy("payment_method").agg(F.count(N).alias("n"), F.count_if(F.col("fee") == 0).alias("zero_fee"))
+    return pg.groupBy("payment_method").agg(F.count("*").alias("n"), F.count_if(F.col("fee") == 0).alias("zero_fee"))
 
 
 def ambiguity_diagnosis(decided: DataFrame, bank: DataFrame) -> DataFrame:
@@ -333,7 +332,7 @@ def decision_lines(decided: DataFrame) -> DataFrame:
 def batch_digest(lines: DataFrame) -> DataFrame:
     """Order-free digest of a batch: xor and count of row hashes, combined map-side."""
     h = F.xxhash64("line")
-    return lines.agg(F.bit_xor(h).alias("xor_digest"), F.count(N).alias("lines"))
+    return lines.agg(F.bit_xor(h).alias("xor_digest"), F.count("*").alias("lines"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -347,7 +346,7 @@ def amount_control(decided: DataFrame) -> DataFrame:
         decided.filter(F.col("bank").isNotNull())
         .withColumn("differs", off)
         .groupBy("differs", F.col("context.amount_mismatch").alias("amount_mismatch"))
-        .agg(F.count(N).alias("n"), F.sum((F.col("expected_net") - F.col("bank.amount")).cast(AMOUNT)).cast("decimal(28,2)").alias("gap"))
+        .agg(F.count("*").alias("n"), F.sum((F.col("expected_net") - F.col("bank.amount")).cast(AMOUNT)).cast("decimal(28,2)").alias("gap"))
     )
 
 

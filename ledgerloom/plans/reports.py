@@ -12,7 +12,6 @@ from ledgerloom.functions.money import MONEY, money, money_text
 from ledgerloom.operators.ranking import global_rank
 from ledgerloom.operators.skew import OFF, Guard, lookup
 
-N = F.lit(1)
 
 
 def percent(part: Column, whole: Column, digits: int) -> Column:
@@ -22,7 +21,7 @@ def percent(part: Column, whole: Column, digits: int) -> Column:
 
 
 def match_rate(decided: DataFrame) -> DataFrame:
-    counts = decided.agg(F.count(N).alias("total_records"), F.count_if(F.col("status") == "MATCHED").alias("matched"))
+    counts = decided.agg(F.count("*").alias("total_records"), F.count_if(F.col("status") == "MATCHED").alias("matched"))
     return counts.select(
         "total_records",
         "matched",
@@ -32,15 +31,15 @@ def match_rate(decided: DataFrame) -> DataFrame:
 
 
 def by_status(decided: DataFrame) -> DataFrame:
-    return decided.groupBy("status").agg(F.count(N).alias("n"))
+    return decided.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def by_tier(decided: DataFrame) -> DataFrame:
-    return decided.groupBy("confidence").agg(F.count(N).alias("n"))
+    return decided.groupBy("confidence").agg(F.count("*").alias("n"))
 
 
 def tier_mix(decided: DataFrame) -> DataFrame:
-    return decided.groupBy("bank_match_type").agg(F.count(N).alias("n"))
+    return decided.groupBy("bank_match_type").agg(F.count("*").alias("n"))
 
 
 def status_table(decided: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ def cash_position(decided: DataFrame, rejects: DataFrame) -> DataFrame:
         *per_bucket,
         F.coalesce(F.sum("expected_net"), zero).alias("expected"),
         F.coalesce(F.sum("bank.amount"), zero).alias("credited"),
-        F.count(N).alias("n"),
+        F.count("*").alias("n"),
         F.count("bank").alias("with_bank"),
     )
 
@@ -94,7 +93,7 @@ def cash_position(decided: DataFrame, rejects: DataFrame) -> DataFrame:
     refused = rejects.agg(
         F.lit("records_rejected_at_ingestion").alias("line"),
         F.lit(None).cast("decimal(28,2)").alias("amount"),
-        F.count(N).alias("records"),
+        F.count("*").alias("records"),
     )
     return totals.select(F.explode(lines).alias("x")).select("x.*").unionByName(refused)
 
@@ -178,7 +177,7 @@ def multi_violation(decided: DataFrame) -> DataFrame:
 
 def batch_summary(decided: DataFrame) -> DataFrame:
     """The machine-readable summary as lines: totals, per status, and every open decision."""
-    totals = decided.agg(F.count(N).alias("n"), F.count_if(F.col("status") == "MATCHED").alias("m")).select(
+    totals = decided.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "MATCHED").alias("m")).select(
         F.lit("totals").alias("section"),
         F.lit("batch").alias("key"),
         F.to_json(F.struct(F.col("n").alias("total"), F.col("m").alias("matched"))).alias("document"),
@@ -225,7 +224,7 @@ def bank_completeness(bank: DataFrame, decided: DataFrame, guard: Guard = OFF) -
 def completeness_totals(accounts: DataFrame) -> DataFrame:
     kind = F.col("disposition")
     per_ref = accounts.groupBy("bank_ref").agg(
-        F.count(N).alias("rows"),
+        F.count("*").alias("rows"),
         F.count_if(kind == "SELECTED").alias("selected"),
         F.count_if(kind == "DUPLICATE_CREDIT").alias("duplicate_credits"),
         F.count_if(kind == "ORPHANED").alias("orphaned"),
@@ -237,7 +236,7 @@ def completeness_totals(accounts: DataFrame) -> DataFrame:
         F.coalesce(F.sum("duplicate_credits"), F.lit(0)).alias("duplicate_credits"),
         F.coalesce(F.sum("orphaned"), F.lit(0)).alias("orphaned"),
         F.coalesce(F.sum("value"), F.lit(0)).cast("decimal(28,2)").alias("orphaned_value"),
-        (F.count(N) == F.coalesce(F.sum("rows"), F.lit(0))).alias("is_complete"),
+        (F.count("*") == F.coalesce(F.sum("rows"), F.lit(0))).alias("is_complete"),
     )
 
 

@@ -10,7 +10,6 @@ from ledgerloom.functions.text import contains_normalised, numeric_literals, squ
 from ledgerloom.operators.ranking import global_rank
 from ledgerloom.plans.reports import percent
 
-N = F.lit(1)
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -46,7 +45,7 @@ def narration_metrics(cases: DataFrame) -> DataFrame:
     """Quality of the pattern extractor. ``cases``: narration, expected (nullable id)."""
     rows = cases.withColumn("predicted", narration_txn_id(F.col("narration")))
     counts = rows.agg(
-        F.count(N).alias("total"), *_extraction_counts(), F.count_if(F.col("predicted").isNull()).alias("abstentions")
+        F.count("*").alias("total"), *_extraction_counts(), F.count_if(F.col("predicted").isNull()).alias("abstentions")
     )
     return counts.select("*", *_extraction_rates("total"))
 
@@ -76,14 +75,14 @@ def extraction_metrics(outcomes: DataFrame) -> DataFrame:
     """
     rows = outcomes.withColumn("outcome", extraction_outcome(F.col("error"), F.col("predicted")))
     evaluated = rows.filter(F.col("outcome").isin("success", "abstention"))
-    quality = evaluated.agg(F.count(N).alias("evaluated_cases"), *_extraction_counts())
+    quality = evaluated.agg(F.count("*").alias("evaluated_cases"), *_extraction_counts())
     failures = rows.agg(
-        F.count(N).alias("total"),
+        F.count("*").alias("total"),
         F.count_if(F.col("outcome") == "abstention").alias("abstentions"),
         *[F.count_if(F.col("outcome") == o).alias(o) for o in ("timeout", "quota_failure", "parse_failure", "provider_failure")],
     )
     ranked = global_rank(evaluated.filter("latency is not null").select("id", "latency"), ["latency", "id"], "latency_rank")
-    n = ranked.select(F.count(N).alias("n")).scalar()
+    n = ranked.select(F.count("*").alias("n")).scalar()
     # nearest rank on positions 0..n-1, ties to even
     p95 = F.bround((n - 1) * F.lit(0.95), 0).cast("bigint") + 1
     middle = F.array(F.floor((n + 1) / 2), F.floor((n + 2) / 2))
@@ -148,7 +147,7 @@ def selection_metrics(rows: DataFrame) -> DataFrame:
         return F.coalesce(F.col("error").startswith(prefix), F.lit(False))
 
     counts = rows.groupBy("category").agg(
-        F.count(N).alias("total_cases"),
+        F.count("*").alias("total_cases"),
         F.count_if("tool_correct").alias("tool_correct"),
         F.count_if("arguments_correct").alias("arguments_correct"),
         F.count_if(~F.col("selection_valid")).alias("invalid_selections"),
@@ -164,7 +163,7 @@ def selection_metrics(rows: DataFrame) -> DataFrame:
 
 def selection_confusion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("expected", F.coalesce("selected", F.lit("<none returned>")).alias("selected")).agg(
-        F.count(N).alias("n")
+        F.count("*").alias("n")
     )
 
 
