@@ -48,7 +48,7 @@ def _best_reference(refs: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
     # references no shorter than the text are searched the other way round
     longest = refs.agg(F.max(F.length("ref")).alias("m")).first().m
     short = texts.filter(F.length("text") <= longest)
-    if longest is not None and not short.isEmpty():
+    if not short.isEmpty():
         pairs = pairs.unionByName(_sharing_keys(short, refs, "text", "ref", floor))
     once = pairs.distinct().join(refs, "ref")
     scored = once.withColumn("similarity", partial_ratio("ref", "text", floor)).filter(F.col("similarity") >= floor)
@@ -62,9 +62,8 @@ def _best_reference(refs: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
 
 def _sharing_keys(needles: DataFrame, hays: DataFrame, needle: str, hay: str, floor: int) -> DataFrame:
     # distinct needle lengths: a handful, however many needles there are
-    sizes = needles.agg(F.collect_set(F.length(needle)).alias("sizes"))
+    sizes = needles.select(F.collect_set(F.length(needle)).alias("sizes")).first().sizes
     left = needles.select(needle, F.explode(needle_keys(needle, floor)).alias("key"))
-    right = hays.select(hay).join(F.broadcast(sizes), F.lit(True)).select(
-        hay, F.explode(hay_keys(hay, "sizes", floor)).alias("key")
-    )
+    listed = "array(" + ", ".join(str(n) for n in sorted(sizes)) + ")"
+    right = hays.select(hay, F.explode(hay_keys(hay, listed, floor)).alias("key"))
     return left.join(right, "key").select("ref", "text")
