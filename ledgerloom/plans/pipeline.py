@@ -36,7 +36,9 @@ class Batch:
         return all_rejects(self.ingested)
 
     def candidates(self) -> DataFrame:
-        return candidate_sets(self.pg, self.bank, self.invoice, self.scope, self.guard)
+        """Staged: scoring and policy are one long projection, and joined to the lookups' generated code
+        it would outgrow what the JVM compiles."""
+        return stage(candidate_sets(self.pg, self.bank, self.invoice, self.scope, self.guard), "candidates")
 
     def matches(self) -> DataFrame:
         return resolve(self.candidates())
