@@ -20,6 +20,7 @@ from ledgerloom.operators import matching as MT
 from ledgerloom.operators import normalize as N
 from ledgerloom.operators import scoring as S
 from ledgerloom.operators.attribution import attribute_bank_rows
+from ledgerloom.plans import faithfulness as FF
 from ledgerloom.plans import pipeline as P
 from ledgerloom.plans import quality as Q
 from ledgerloom.plans import replay as RP
@@ -104,6 +105,22 @@ class Job:
     def explanations(self) -> DataFrame:
         return X.explanation_facts(self.decided).join(X.explanation_text(self.decided), "txn_id")
 
+    @property
+    def answers(self) -> DataFrame:
+        """Explanations quoting both amounts; every seventh misstates one, every fifth leaves them out."""
+        d = self.decided.select("txn_id", "src_pos", F.col("expected_net").alias("net"))
+        rows = self.explanations.join(d, "txn_id").withColumnsRenamed({"txn_id": "case_id"})
+        wrong = F.pmod(F.col("src_pos"), F.lit(7)) == 0
+        shown = F.when(wrong, M.money_text(F.col("net") + 1)).otherwise(F.col("expected_amount"))
+        quoted = F.concat(F.lit(" Claimed INR "), "claimed_amount", F.lit(", expected INR "), shown, F.lit("."))
+        silent = F.pmod(F.col("src_pos"), F.lit(5)) == 0
+        text = F.concat("explanation", F.when(silent, "").otherwise(F.coalesce(quoted, F.lit(""))))
+        return rows.withColumn("explanation", text).withColumn("category", F.col("status"))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return stage(FF.explanation_scores(self.answers), "scores")
+
     @property
     def questions(self) -> DataFrame:
         return self.table("conversations").filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
@@ -460,6 +477,11 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "explanation_text": lambda j: X.explanation_text(j.decided),
     "explanation_violations": _explanation_violations,
     "ungrounded_numbers": _ungrounded,
+    "explanation_scores": lambda j: j.scores.drop("category"),
+    "explanation_summary": lambda j: FF.explanation_summary(j.scores),
+    "case_alignment": lambda j: FF.case_alignment(j.answers, j.answers, j.scores),
+    "faithfulness_report": lambda j: FF.faithfulness_report(j.answers, j.answers.select("case_id", (F.col("explanation") != "").alias("succeeded")), j.scores),
+    "faithfulness_gaps": lambda j: FF.faithfulness_gaps(j.scores),
 }
 
 _jobs: dict[tuple[str, str], Job] = {}

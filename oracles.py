@@ -495,6 +495,39 @@ FINAL: dict[str, str] = {
         NOT (has_b AND b_amount <> net AND CAST(b_amount AS DOUBLE) <> total) AS grounded FROM d""",
 }
 
+_ANSWERS = """SELECT f.txn_id, f.status, f.reason_codes, f.confidence_score, f.claimed_amount, f.expected_amount,
+    CASE WHEN d.src_pos % 5 <> 0 AND d.has_b AND d.src_pos % 7 = 0 THEN CAST(CAST(d.net + 1 AS DECIMAL(18,2)) AS VARCHAR) END AS stray,
+    f.explanation || CASE WHEN d.src_pos % 5 = 0 OR NOT d.has_b THEN '' ELSE ' Claimed INR ' || f.claimed_amount || ', expected INR '
+      || CASE WHEN d.src_pos % 7 = 0 THEN CAST(CAST(d.net + 1 AS DECIMAL(18,2)) AS VARCHAR) ELSE f.expected_amount END || '.' END AS explanation
+  FROM facts f JOIN d ON d.txn_id = f.txn_id"""
+
+
+def _short(column: str) -> str:
+    return f"regexp_replace(regexp_replace({column}, '0+$', ''), '\\.$', '')"
+
+
+_SAID = "trim(regexp_replace(regexp_replace(regexp_replace(lower(explanation), '[,%]', '', 'g'), '[^a-z0-9._\\-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_SCORED = f"""SELECT *, CASE WHEN unsupported_claims <> '' THEN 0 ELSE 20 + CASE WHEN amounts_preserved THEN 20 ELSE 0 END + 20
+      + CASE WHEN confidence_preserved THEN 10 ELSE 0 END + CASE WHEN reason_codes_preserved THEN 15 ELSE 0 END + 15 END AS score,
+    concat_ws(',', CASE WHEN NOT has_claimed THEN 'claimed_amount:' || claimed_amount END, CASE WHEN NOT has_expected THEN 'expected_amount:' || expected_amount END,
+      CASE WHEN NOT confidence_preserved THEN 'confidence_score:' || CAST(confidence_score AS VARCHAR) END) AS missing_facts
+  FROM (SELECT *, has_claimed AND has_expected AS amounts_preserved FROM (SELECT *,
+    COALESCE(contains(said, {_short('claimed_amount')}), TRUE) AS has_claimed, COALESCE(contains(said, {_short('expected_amount')}), TRUE) AS has_expected,
+    contains(said, CAST(confidence_score AS VARCHAR)) AS confidence_preserved,
+    status <> 'MATCHED' OR reason_codes = '' AS reason_codes_preserved,
+    CASE WHEN stray IS NOT NULL AND stray <> claimed_amount AND stray <> expected_amount THEN {_short('stray')} ELSE '' END AS unsupported_claims
+    FROM (SELECT *, {_SAID} AS said FROM ({_ANSWERS}))))"""
+_FLAGS = "TRUE AS status_preserved, amounts_preserved, TRUE AS tax_preserved, confidence_preserved, reason_codes_preserved, TRUE AS evidence_preserved"
+FINAL["explanation_scores"] = f"""SELECT txn_id AS case_id, {_FLAGS}, '' AS contradictions, unsupported_claims, missing_facts, unsupported_claims <> '' AS safety_critical,
+    unsupported_claims = '' AND missing_facts = '' AS semantically_faithful, CAST(score AS BIGINT) AS score FROM ({_SCORED})"""
+FINAL["explanation_summary"] = f"""SELECT count(*) AS total, count(*) AS status_preserved, count_if(amounts_preserved) AS amounts_preserved, count(*) AS tax_preserved,
+    count_if(confidence_preserved) AS confidence_preserved, count_if(reason_codes_preserved) AS reason_codes_preserved, count(*) AS evidence_preserved,
+    count_if(unsupported_claims = '' AND missing_facts = '') AS semantically_faithful, count_if(unsupported_claims <> '') AS safety_critical,
+    CAST(0 AS BIGINT) AS contradictory_cases, count_if(unsupported_claims <> '') AS unsupported_claim_cases FROM ({_SCORED})"""
+FINAL["case_alignment"] = "SELECT txn_id AS case_id, FALSE AS in_dataset, FALSE AS in_generated, FALSE AS in_scored FROM d WHERE FALSE"
+FINAL["faithfulness_gaps"] = f"""SELECT 'material_fact_gap' AS gap, txn_id AS case_id FROM ({_SCORED}) WHERE missing_facts <> ''
+    UNION ALL SELECT 'reason_code_semantic_gap', txn_id FROM ({_SCORED}) WHERE NOT reason_codes_preserved"""
+
 
 def statements() -> dict[str, str]:
     return {name: build(sql) for name, sql in FINAL.items()}

@@ -69,3 +69,29 @@ def test_extraction_outcomes(spark):
     rows = spark.createDataFrame([(e, None) for e in errors], "e string, p string")
     got = [r.o for r in rows.select(X.extraction_outcome(F.col("e"), F.col("p")).alias("o")).collect()]
     assert got == ["timeout", "quota_failure", "parse_failure", "provider_failure", "abstention"]
+
+
+def test_explanation_scores(spark):
+    from ledgerloom.plans.faithfulness import explanation_scores
+
+    schema = (
+        "case_id string, category string, status string, reason_codes array<string>, evidence array<string>, confidence_score double, "
+        "claimed_amount string, expected_amount string, claimed_tax string, expected_tax string, explanation string"
+    )
+    fact = ("gst", "REVIEW", ["ERR_GST_MISMATCH"], ["GST mismatch"], 94.0, "6.00", "9.00", "6.00", "9.00")
+    texts = {
+        "clean": "This item is currently in REVIEW status due to a GST mismatch, which has resulted in a 94.0 confidence score. "
+        "The claimed amount and tax of 6.00 do not align with the expected amount and tax of 9.00.",
+        "stray": "REVIEW: gst discrepancy, confidence score is 94.0. Claimed 6.00, expected 9.00, a gap of ₹1,234.50.",
+        "date": "REVIEW: gst discrepancy on invoice number 12.50, confidence 94.0. Claimed 6.00, expected 9.00.",
+        "against": "Review was approved: gst mismatch, 94.0 confidence, 6.00 and 9.00.",
+        "vague": "REVIEW. Something about 6.00.",
+    }
+    rows = spark.createDataFrame([(k, *fact, v) for k, v in texts.items()], schema)
+    got = {r.case_id: r for r in explanation_scores(rows).collect()}
+    assert got["clean"].score == 100 and got["clean"].semantically_faithful
+    assert got["stray"].unsupported_claims == ["1234.5"] and got["stray"].score == 0
+    assert got["date"].unsupported_claims == [] and got["date"].score == 100
+    assert got["against"].contradictions == ["approved"]
+    assert got["vague"].missing_facts == ["expected_amount:9.00", "expected_tax:9.00", "confidence_score:94.0"]
+    assert got["vague"].score == 20
