@@ -207,13 +207,17 @@ def own_in_gate(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...] = ()
 # --- tier 3 --------------------------------------------------------------------------------
 
 
-def fuzzy_points(open_keys: DataFrame, bank: DataFrame, scope: tuple[str, ...], guard: Guard) -> DataFrame:
-    """Bank rows in reach of some open anchor, copies collapsed to (amount, day, narration)."""
+def near_rows(open_keys: DataFrame, bank: DataFrame, scope: tuple[str, ...], guard: Guard) -> DataFrame:
+    """Bank rows sharing a gate cell with some open anchor."""
     cells = query_cells(open_keys).select(*scope, "_paise", "_week").distinct().withColumn("_wanted", F.lit(True))
-    near = lookup(
+    return lookup(
         point_cells(prepared_bank(bank, scope), day="day"), cells, [*scope, "_paise", "_week"], "src_pos", guard, "inner"
     )
-    return near.groupBy(
+
+
+def fuzzy_points(open_keys: DataFrame, bank: DataFrame, scope: tuple[str, ...], guard: Guard) -> DataFrame:
+    """Those rows with copies collapsed to (amount, day, narration)."""
+    return near_rows(open_keys, bank, scope, guard).groupBy(
         *scope, "amount", F.col("day").alias("bank_day"), F.coalesce("narration", F.lit("")).alias("text")
     ).agg(
         F.count(F.lit(1)).alias("n"),

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.functions.money import AMOUNT, gst_on, money, within_amount
-from ledgerloom.functions.narration import BANK_REF_PREFIX, partial_ratio, ref_txn_id
+from ledgerloom.functions.narration import BANK_REF_PREFIX, ref_txn_id
+from ledgerloom.operators.candidates import near_rows, scored_pairs
 from ledgerloom.operators.gates import gate_join
+from ledgerloom.operators.skew import OFF, Guard, lookup
 from ledgerloom.plans.reports import percent
+from ledgerloom.session import stage
 
 
 # Statuses a label of each category may carry.
@@ -118,38 +121,46 @@ def tax_mismatch_precision(rows: DataFrame) -> DataFrame:
 SWEEP = tuple(range(60, 100, 5))
 
 
-def fuzzy_sweep(decided: DataFrame, bank: DataFrame) -> DataFrame:
+def fuzzy_sweep(decided: DataFrame, bank: DataFrame, guard: Guard = OFF) -> DataFrame:
     """Selection quality per similarity threshold among anchors that reach tier 3.
 
-    The best row is the most similar one, ties by input order; truth is the transaction id where the
-    row has one and exact net equality otherwise. Pairs are scored once, thresholds aggregate them.
+    The best row is the most similar one, ties by input order. Reaching tier 3 means some row scores
+    at the production floor, so the best is found among those pairs whatever the threshold. It also
+    means no bank row carries the anchor's id: truth is a row without an id at exactly the net.
     """
-    anchors = decided.filter(F.col("bank_match_type") == "fuzzy").select("src_pos", "txn_id", "utr", "expected_net", "day")
-    rows = bank.select(
-        F.col("src_pos").alias("bank_pos"),
-        F.col("txn_id").alias("bank_txn"),
-        "amount",
-        F.col("day").alias("bank_day"),
-        F.coalesce("narration", F.lit("")).alias("text"),
+    anchors = decided.filter(F.col("bank_match_type") == "fuzzy").select(
+        "src_pos", F.coalesce("utr", F.lit("")).alias("ref"), "expected_net", "day"
     )
-    # rows that read the same are one point: same narration, amount, day and id
-    points = rows.groupBy("amount", "bank_day", "text", "bank_txn").agg(F.min("bank_pos").alias("bank_pos"))
-    pairs = gate_join(anchors, points, []).withColumn("similarity", partial_ratio("utr", "text", SWEEP[0]))
-    right = F.when(F.col("bank_txn").isNotNull(), F.col("bank_txn") == F.col("txn_id")).otherwise(
-        F.col("amount") == F.col("expected_net")
+    key = ["ref", "expected_net", "day"]
+    asked = stage(anchors.select(*key).distinct(), "sweep-asked")
+    anonymous = F.col("txn_id").isNull().alias("anonymous")
+    near = near_rows(asked, bank, (), guard)
+    points = stage(
+        near.groupBy("amount", F.col("day").alias("bank_day"), F.coalesce("narration", F.lit("")).alias("text")).agg(
+            F.min(F.struct("src_pos", anonymous)).alias("first"), F.max(anonymous).alias("any_anonymous")
+        ),
+        "sweep-points",
     )
-    per_anchor = pairs.groupBy("src_pos").agg(
+    scored = scored_pairs(asked, points, (), C.FUZZY_MIN_SIMILARITY)
+    exact = F.col("amount") == F.col("expected_net")
+    best = scored.groupBy(*key).agg(
         F.max_by(
-            F.struct(F.col("similarity"), right.alias("right")),
-            F.struct(F.col("similarity"), (-F.col("bank_pos")).alias("earlier")),
-        ).alias("best"),
-        F.max(right).alias("exists"),
+            F.struct("similarity", (F.col("first.anonymous") & exact).alias("right")),
+            F.struct("similarity", (-F.col("first.src_pos")).alias("earlier")),
+        ).alias("best")
     )
+    there = (
+        gate_join(asked, points.filter("any_anonymous").select("amount", "bank_day").distinct(), [])
+        .groupBy(*key)
+        .agg(F.max(exact).alias("exists"))
+    )
+    answers = best.join(there, key, "left")
+    per_anchor = lookup(anchors, answers, key, "src_pos", guard)
     hit = [F.col("best.similarity") >= t for t in SWEEP]
     counts = per_anchor.agg(
         *[F.count_if(h & F.col("best.right")).alias(f"tp{t}") for h, t in zip(hit, SWEEP)],
         *[F.count_if(h & ~F.col("best.right")).alias(f"fp{t}") for h, t in zip(hit, SWEEP)],
-        *[F.count_if(~h & F.col("exists")).alias(f"fn{t}") for h, t in zip(hit, SWEEP)],
+        *[F.count_if(~h & F.coalesce("exists", F.lit(False))).alias(f"fn{t}") for h, t in zip(hit, SWEEP)],
     )
     lines = F.array(
         *[

@@ -445,7 +445,7 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "rejected_labels": lambda j: Q.rejected_labels(j.labelled),
     "label_reachability": lambda j: Q.label_reachability(j.feeds["labels"]),
     "tier_by_category": lambda j: Q.tier_by_category(j.labelled),
-    "fuzzy_sweep": lambda j: Q.fuzzy_sweep(j.decided, j.batch.bank),
+    "fuzzy_sweep": lambda j: Q.fuzzy_sweep(j.decided, j.batch.bank, j.batch.guard),
     "dq_categories": lambda j: Q.dq_categories(j.feeds["labels"]),
     "dq_pg_gst": lambda j: Q.dq_pg_gst(j.batch.pg),
     "dq_tds_split": lambda j: Q.dq_tds_split(j.batch.pg),

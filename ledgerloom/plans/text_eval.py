@@ -19,15 +19,16 @@ def _share(part: Column, whole: Column) -> Column:
 # --- narration extraction --------------------------------------------------------------------
 
 
-def _extraction_counts() -> list[Column]:
+def _extraction_counts(counted: Column) -> list[Column]:
+    """Quality counts over the rows where ``counted`` holds."""
     expected, predicted = F.col("expected"), F.col("predicted")
     same = predicted.eqNullSafe(expected)
     return [
-        F.count_if(same).alias("correct"),
-        F.count("expected").alias("positive_cases"),
-        F.count_if(expected.isNotNull() & same).alias("true_positive"),
-        F.count("predicted").alias("proposed"),
-        F.count_if(predicted.isNotNull() & ~same).alias("false_proposals"),
+        F.count_if(counted & same).alias("correct"),
+        F.count_if(counted & expected.isNotNull()).alias("positive_cases"),
+        F.count_if(counted & expected.isNotNull() & same).alias("true_positive"),
+        F.count_if(counted & predicted.isNotNull()).alias("proposed"),
+        F.count_if(counted & predicted.isNotNull() & ~same).alias("false_proposals"),
     ]
 
 
@@ -45,7 +46,7 @@ def narration_metrics(cases: DataFrame) -> DataFrame:
     """Quality of the pattern extractor. ``cases``: narration, expected (nullable id)."""
     rows = cases.withColumn("predicted", narration_txn_id(F.col("narration")))
     counts = rows.agg(
-        F.count("*").alias("total"), *_extraction_counts(), F.count_if(F.col("predicted").isNull()).alias("abstentions")
+        F.count("*").alias("total"), *_extraction_counts(F.lit(True)), F.count_if(F.col("predicted").isNull()).alias("abstentions")
     )
     return counts.select("*", *_extraction_rates("total"))
 
@@ -74,24 +75,27 @@ def extraction_metrics(outcomes: DataFrame) -> DataFrame:
     Quality counts only evaluated calls, so an outage cannot look like caution.
     """
     rows = outcomes.withColumn("outcome", extraction_outcome(F.col("error"), F.col("predicted")))
-    evaluated = rows.filter(F.col("outcome").isin("success", "abstention"))
-    quality = evaluated.agg(F.count("*").alias("evaluated_cases"), *_extraction_counts())
-    failures = rows.agg(
+    evaluated = F.col("outcome").isin("success", "abstention")
+    counts = rows.agg(
         F.count("*").alias("total"),
+        F.count_if(evaluated).alias("evaluated_cases"),
+        *_extraction_counts(evaluated),
         F.count_if(F.col("outcome") == "abstention").alias("abstentions"),
         *[F.count_if(F.col("outcome") == o).alias(o) for o in ("timeout", "quota_failure", "parse_failure", "provider_failure")],
     )
-    ranked = global_rank(evaluated.filter("latency is not null").select("id", "latency"), ["latency", "id"], "latency_rank")
-    n = ranked.select(F.count("*").alias("n")).scalar()
-    # nearest rank on positions 0..n-1, ties to even
+    timed = rows.filter(evaluated & F.col("latency").isNotNull()).select("id", "latency")
+    ranked = global_rank(timed, ["latency", "id"], "latency_rank")
+    n = ranked.agg(F.count("*")).scalar()
+    # nearest rank on positions 0..n-1, ties to even; the median averages the two middle rows
     p95 = F.bround((n - 1) * F.lit(0.95), 0).cast("bigint") + 1
-    middle = F.array(F.floor((n + 1) / 2), F.floor((n + 2) / 2))
-    latency = ranked.agg(
-        F.avg(F.when(F.array_contains(middle, F.col("latency_rank")), F.col("latency"))).alias("median_latency"),
-        F.max(F.when(F.col("latency_rank") == p95, F.col("latency"))).alias("p95_latency"),
+    middle = F.col("latency_rank").between(F.floor((n + 1) / 2), F.floor((n + 2) / 2))
+    return counts.select(
+        "*",
+        ranked.filter(middle).agg(F.avg("latency")).scalar().alias("median_latency"),
+        ranked.filter(F.col("latency_rank") == p95).agg(F.max("latency")).scalar().alias("p95_latency"),
+        _share(F.col("evaluated_cases"), F.col("total")).alias("coverage"),
+        *_extraction_rates("evaluated_cases"),
     )
-    one = quality.join(failures, F.lit(True)).join(latency, F.lit(True))  # one row each
-    return one.select("*", _share(F.col("evaluated_cases"), F.col("total")).alias("coverage"), *_extraction_rates("evaluated_cases"))
 
 
 # --- question routing ------------------------------------------------------------------------
