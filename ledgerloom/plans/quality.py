@@ -33,9 +33,19 @@ ALLOWED_STATUSES = (
 )
 
 
+def one_per_txn(rows: DataFrame, *columns: str, last: bool = True) -> DataFrame:
+    """One row per transaction id, the last (or first) in feed order.
+
+    Aggregated map-side, so a repeated id is a single row before any join on it.
+    """
+    pick = F.max_by if last else F.min_by
+    kept = rows.groupBy("txn_id").agg(pick(F.struct(*columns), F.col("src_pos")).alias("kept"))
+    return kept.select("txn_id", "kept.*")
+
+
 def labelled(labels: DataFrame, decided: DataFrame) -> DataFrame:
     """Every label with the decision of its transaction, null where ingestion rejected it."""
-    verdicts = decided.select("txn_id", "status", "exception_code", "reason_codes", "confidence", "bank_match_type")
+    verdicts = one_per_txn(decided, "status", "exception_code", "reason_codes", "confidence", "bank_match_type")
     joined = labels.join(verdicts, "txn_id", "left")
     return joined.withColumn("status_ok", F.col("status") == F.col("expected_status")).withColumn(
         "code_ok", F.col("exception_code") == F.col("expected_exception_code")
@@ -261,7 +271,7 @@ def dq_fuzzy_reachable(bank: DataFrame, attributed: DataFrame, labels: DataFrame
 
 def dq_collisions(labels: DataFrame, pg: DataFrame) -> DataFrame:
     """Ambiguous labels per (gross, day): groups of at least two are genuine."""
-    rows = labels.filter(F.col("category") == "ambiguous").join(pg, "txn_id")
+    rows = labels.filter(F.col("category") == "ambiguous").join(one_per_txn(pg, "amount", "day", last=False), "txn_id")
     return (
         rows.groupBy(money(F.col("amount")).alias("gross"), "day")
         .agg(F.count("*").alias("n"))
@@ -296,8 +306,8 @@ def net_collisions(pg: DataFrame, labels: DataFrame) -> DataFrame:
 
 def dq_tax_detectable(labels: DataFrame, pg: DataFrame, invoice: DataFrame) -> DataFrame:
     mine = labels.filter(F.col("category") == "tax_mismatch").select("txn_id")
-    bills = invoice.select("txn_id", F.col("gst").alias("claimed_gst"), F.col("tds").alias("claimed_tds"))
-    rows = mine.join(pg, "txn_id").join(bills, "txn_id")
+    bills = one_per_txn(invoice, "gst", "tds").withColumnsRenamed({"gst": "claimed_gst", "tds": "claimed_tds"})
+    rows = mine.join(one_per_txn(pg, "fee", "tds"), "txn_id").join(bills, "txn_id")
     gst_off = F.abs(gst_on(F.col("fee")) - F.col("claimed_gst")) > F.lit(C.TAX_TOLERANCE)
     tds_off = F.abs(F.col("tds") - F.col("claimed_tds")) > F.lit(C.TAX_TOLERANCE)
     return rows.agg(

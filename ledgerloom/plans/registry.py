@@ -20,6 +20,7 @@ from ledgerloom.operators import matching as MT
 from ledgerloom.operators import normalize as N
 from ledgerloom.operators import scoring as S
 from ledgerloom.operators.attribution import attribute_bank_rows
+from ledgerloom.operators.skew import lookup
 from ledgerloom.plans import faithfulness as FF
 from ledgerloom.plans import pipeline as P
 from ledgerloom.plans import quality as Q
@@ -70,7 +71,7 @@ class Job:
     def attributed(self) -> DataFrame:
         b = self.batch
         native = Q.native_rows(b.bank).filter("utr is null")
-        return stage(attribute_bank_rows(native, b.pg), "attributed")
+        return stage(attribute_bank_rows(native, b.pg, b.guard), "attributed")
 
     @property
     def presence(self) -> DataFrame:
@@ -78,12 +79,17 @@ class Job:
             self.feeds["labels"], self.feeds["pg"], self.feeds["bank"], self.feeds["invoice"], self._native_owner
         )
 
+    @staticmethod
+    def _utr_owner(pg: DataFrame) -> DataFrame:
+        """First settlement of each UTR."""
+        return pg.filter("utr is not null").groupBy("utr").agg(F.min_by("txn_id", "src_pos").alias("owner"))
+
     @property
     def _native_owner(self) -> DataFrame:
         """Owners of native-reference rows: by their own utr, else by narration."""
         raw = Q.native_rows(self.feeds["bank"])
-        owner = self.feeds["pg"].select("utr", "txn_id")
-        direct = raw.filter("utr is not null").join(owner, "utr").select("bank_ref", "txn_id")
+        direct = lookup(raw.filter("utr is not null"), self._utr_owner(self.feeds["pg"]), ["utr"], "src_pos", self.batch.guard)
+        direct = direct.select("bank_ref", F.col("owner").alias("txn_id"))
         return direct.unionByName(self.attributed.select("bank_ref", "txn_id"))
 
     @cached_property
@@ -103,15 +109,14 @@ class Job:
 
     @property
     def explanations(self) -> DataFrame:
-        return X.explanation_facts(self.decided).join(X.explanation_text(self.decided), "txn_id")
+        return X.explained(self.decided)
 
     @property
     def answers(self) -> DataFrame:
         """Explanations quoting both amounts; every seventh misstates one, every fifth leaves them out."""
-        d = self.decided.select("txn_id", "src_pos", F.col("expected_net").alias("net"))
-        rows = self.explanations.join(d, "txn_id").withColumnsRenamed({"txn_id": "case_id"})
+        rows = self.explanations.withColumnsRenamed({"txn_id": "case_id"})
         wrong = F.pmod(F.col("src_pos"), F.lit(7)) == 0
-        shown = F.when(wrong, M.money_text(F.col("net") + 1)).otherwise(F.col("expected_amount"))
+        shown = F.when(wrong, M.money_text(F.col("expected_amount").cast(M.MONEY) + 1)).otherwise(F.col("expected_amount"))
         quoted = F.concat(F.lit(" Claimed INR "), "claimed_amount", F.lit(", expected INR "), shown, F.lit("."))
         silent = F.pmod(F.col("src_pos"), F.lit(5)) == 0
         text = F.concat("explanation", F.when(silent, "").otherwise(F.coalesce(quoted, F.lit(""))))
@@ -149,8 +154,8 @@ class Job:
     @property
     def narrations(self) -> DataFrame:
         """Bank narrations with the id they ought to yield: their settlement's, where the text carries it."""
-        owner = self.batch.pg.select("utr", F.col("txn_id").alias("owner"))
-        rows = self.batch.bank.filter("utr is not null").join(owner, "utr")
+        b = self.batch
+        rows = lookup(b.bank.filter("utr is not null"), self._utr_owner(b.pg), ["utr"], "src_pos", b.guard, "inner")
         carries = F.contains(F.upper("narration"), F.col("owner"))
         return rows.select("src_pos", "narration", F.when(carries, F.col("owner")).alias("expected"))
 
@@ -320,8 +325,9 @@ def _evidence_one(j: Job) -> DataFrame:
 
 def _ungrounded(j: Job) -> DataFrame:
     """Answers quoting both amounts, checked against payloads that carry only the expected one."""
-    d = j.decided.join(X.explanation_text(j.decided), "txn_id")
-    expected, credited = M.money_text(F.col("expected_net")), M.money_text(F.col("bank.amount"))
+    net = M.money_text(F.col("expected_net")).alias("net")
+    d = j.decided.select(net, F.col("src_pos").alias("pos")).join(j.explanations, F.col("pos") == F.col("src_pos"))
+    expected, credited = F.col("net"), F.col("claimed_amount")
     answer = F.concat(F.col("explanation"), F.lit(" Expected INR "), expected, F.coalesce(F.concat(F.lit(", credited INR "), credited), F.lit("")), F.lit("."))
     payload = F.to_json(F.struct("txn_id", "status", "confidence_score", expected.alias("expected_net")))
     return X.ungrounded_numbers(d.select("txn_id", answer.alias("answer"), payload.alias("payload"))).select(

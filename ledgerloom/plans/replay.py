@@ -30,10 +30,10 @@ def cases(labels: DataFrame) -> DataFrame:
     return stage(ranked.withColumn("case_id", F.concat(F.lit("E2E_"), padded)), "cases")
 
 
-def bank_owner(bank: DataFrame, pg: DataFrame) -> DataFrame:
+def bank_owner(bank: DataFrame, pg: DataFrame, guard: Guard = OFF) -> DataFrame:
     """Bank rows with the transaction they belong to: own reference first, else attribution by narration."""
     native = native_rows(bank)
-    linked = attribute_bank_rows(native, pg).select("bank_ref", F.col("txn_id").alias("attributed"))
+    linked = attribute_bank_rows(native, pg, guard).select("bank_ref", F.col("txn_id").alias("attributed"))
     once = linked.groupBy("bank_ref").agg(F.min("attributed").alias("attributed"))
     return bank.join(once, "bank_ref", "left").withColumn(
         "txn_id", F.coalesce(ref_txn_id(F.col("bank_ref")), F.col("attributed"))

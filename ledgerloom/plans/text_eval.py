@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.money import money_text
 from ledgerloom.functions.narration import narration_txn_id
 from ledgerloom.functions.text import contains_normalised, numeric_literals, squeezed
 from ledgerloom.operators.ranking import global_rank
@@ -174,25 +175,20 @@ def selection_confusion(rows: DataFrame) -> DataFrame:
 # --- explanations ----------------------------------------------------------------------------
 
 
-def explanation_facts(decided: DataFrame) -> DataFrame:
-    """What an explanation of a decision must state. NONE is not a reason; tax amounts are not carried."""
-    return decided.select(
-        "txn_id",
-        "status",
+def _facts() -> list[Column]:
+    return [
         F.filter("reason_codes", lambda c: c != "NONE").alias("reason_codes"),
-        "confidence_score",
         F.array().cast("array<string>").alias("evidence"),
-        F.col("bank.amount").cast("decimal(18,2)").cast("string").alias("claimed_amount"),
-        F.when(F.col("bank").isNotNull(), F.col("expected_net").cast("decimal(18,2)").cast("string")).alias("expected_amount"),
+        money_text(F.col("bank.amount")).alias("claimed_amount"),
+        F.when(F.col("bank").isNotNull(), money_text(F.col("expected_net"))).alias("expected_amount"),
         F.lit(None).cast("string").alias("claimed_tax"),
         F.lit(None).cast("string").alias("expected_tax"),
-    )
+    ]
 
 
-def explanation_text(decided: DataFrame) -> DataFrame:
-    """Deterministic explanation per decision."""
+def _sentence() -> Column:
     reasons = F.array_join(F.filter("reason_codes", lambda c: c != "NONE"), ", ")
-    text = F.when(
+    return F.when(
         F.col("status") == "MATCHED",
         F.format_string("Transaction %s matched successfully across all sources with no exceptions.", "txn_id"),
     ).otherwise(
@@ -204,7 +200,21 @@ def explanation_text(decided: DataFrame) -> DataFrame:
             F.col("confidence_score"),
         )
     )
-    return decided.select("txn_id", text.alias("explanation"))
+
+
+def explanation_facts(decided: DataFrame) -> DataFrame:
+    """What an explanation of a decision must state. NONE is not a reason; tax amounts are not carried."""
+    return decided.select("txn_id", "status", "confidence_score", *_facts())
+
+
+def explanation_text(decided: DataFrame) -> DataFrame:
+    """Deterministic explanation per decision."""
+    return decided.select("txn_id", _sentence().alias("explanation"))
+
+
+def explained(decided: DataFrame) -> DataFrame:
+    """Facts and explanation side by side, with the feed position."""
+    return decided.select("src_pos", "txn_id", "status", "confidence_score", *_facts(), _sentence().alias("explanation"))
 
 
 # Words that contradict an evaluation status.
