@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BANK_REF_PREFIX = "BANKREF_"
@@ -135,3 +135,14 @@ def partial_ratio(left: str, right: str, floor: int = 0) -> Column:
         f"else {once} end"
     )
     return F.expr(_let("p", pair, body))
+
+
+def similar_pairs(pairs: DataFrame, left: str, right: str, floor: int) -> DataFrame:
+    """Pairs at or above ``floor`` with their ``similarity``.
+
+    Scoring is the costly step, so pairs are dealt evenly over tasks by their texts. The score comes
+    out of a generator, which keeps the optimizer from computing it once to filter and again to show.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = F.filter(F.array(partial_ratio(left, right, floor)), lambda s: s >= floor)
+    return pairs.repartition(parts, left, right).select("*", F.explode(kept).alias("similarity"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import config as C
-from ledgerloom.functions.narration import partial_ratio
+from ledgerloom.functions.narration import similar_pairs
 from ledgerloom.operators.blocking import hay_keys, needle_keys
 from ledgerloom.operators.skew import OFF, Guard, lookup
 from ledgerloom.session import stage
@@ -53,7 +53,7 @@ def _best_reference(refs: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
     if not short.isEmpty():
         pairs = pairs.unionByName(_sharing_keys(short, refs, "text", "ref", floor))
     once = pairs.distinct().join(refs, "ref")
-    scored = once.withColumn("similarity", partial_ratio("ref", "text", floor)).filter(F.col("similarity") >= floor)
+    scored = similar_pairs(once, "ref", "text", floor)
     return scored.groupBy("text").agg(
         F.max_by(
             F.struct(F.col("first.txn_id").alias("txn_id"), "similarity"),

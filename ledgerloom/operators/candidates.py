@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import config as C
-from ledgerloom.functions.narration import partial_ratio
+from ledgerloom.functions.narration import similar_pairs
 from ledgerloom.operators import blocking
 from ledgerloom.operators.gates import gate_join, in_gate, point_cells, query_cells
 from ledgerloom.operators.nearest import nearest
@@ -230,9 +230,7 @@ def fuzzy_points(open_keys: DataFrame, bank: DataFrame, scope: tuple[str, ...],
 def scored_pairs(open_keys: DataFrame, points: DataFrame, scope: tuple[str, ...], floor: int) -> DataFrame:
     """Gated (reference, narration) pairs with their similarity, kept at or above ``floor``."""
     pairs = blocking.gated_pairs(open_keys, points, scope, floor)
-    return pairs.withColumn("similarity", partial_ratio("ref", "text", floor)).filter(
-        F.col("similarity") >= floor
-    )
+    return similar_pairs(pairs, "ref", "text", floor)
 
 
 def open_keys_of(anchors: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
