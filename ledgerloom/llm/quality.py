@@ -23,7 +23,7 @@ from ledgerloom.llm.common import batch, map_batches, staged, table
 
 #: Bound of the labelled rows that the list is fitted on.
 FIT_ROWS = 20_000
-#: Candidate thresholds of a feature, conditions of a rule, rules of the list, least precision on held-back rows.
+#: Candidate thresholds of a feature from each class, conditions of a rule, rules of the list, least precision on held-back rows.
 THRESHOLDS, MAX_CONDITIONS, MAX_RULES, MIN_PRECISION = 32, 4, 24, 0.9
 #: A rule must cover so many rejected rows among the grown ones.
 MIN_COVER = 5
@@ -153,6 +153,12 @@ def _covers(rule: list[Condition], x: np.ndarray) -> np.ndarray:
     return mask
 
 
+def _cuts(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Quantiles of either class; a feature that is mostly one value would lose the rare class in common quantiles."""
+    q = np.linspace(0, 1, THRESHOLDS + 1)
+    return np.unique(np.concatenate([np.quantile(bad, q), np.quantile(good, q), [np.nextafter(good.max(), np.inf)]]))
+
+
 def _grow(x: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray]) -> list[Condition]:
     rule: list[Condition] = []
     mask = np.ones(len(x), bool)
@@ -180,10 +186,7 @@ def learn(x: np.ndarray, bad: np.ndarray) -> DecisionList:
     gx, gb, px, pb = x[~back], bad[~back], x[back], bad[back]
     rules = []
     while len(rules) < MAX_RULES and gb.sum() >= MIN_COVER and (~gb).any():
-        cuts = [
-            np.unique(np.quantile(np.concatenate([gx[gb, j], gx[~gb, j]]), np.linspace(0, 1, THRESHOLDS + 1)))
-            for j in range(gx.shape[1])
-        ]
+        cuts = [_cuts(gx[gb, j], gx[~gb, j]) for j in range(gx.shape[1])]
         rule = _grow(gx, gb, cuts)
         if not rule:
             break

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.language import op7_language
+from ledgerloom.llm.lines import OP10_SQL, op10_lines
 from ledgerloom.llm.packing import op9_packing
+from ledgerloom.llm.pii import op5_pii
 from ledgerloom.llm.quality import op8_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op5_pii": op5_pii,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_lines": op10_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_lines": OP10_SQL}
