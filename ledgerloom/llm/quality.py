@@ -6,7 +6,7 @@ reject. The list is emitted as one ordered Spark conditional expression.
 
 Cases: null text counts as empty (no words, base_failed); no labels gives an empty list that keeps every document; a
 document with several labels takes the smallest; labels without a document and null labels are ignored; repeated rows
-give repeated results; other columns are ignored, and ``apply_rules`` returns the input's columns whatever their names.
+give repeated results; other columns are ignored, and ``keep_good`` returns the input's columns whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import batch, map_batches, staged, table
+from ledgerloom.llm.common import batch, fresh, map_batches, staged, table
 
 #: Bound of the labelled rows that the list is fitted on.
 FIT_ROWS = 20_000
@@ -110,9 +110,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def ratio(name: str) -> Column:
+def ratio(name: str, at: dict[str, str] | None = None) -> Column:
+    """A feature from the columns of ``COUNTS``, or from those that ``at`` names instead."""
     top, below = next((a, b) for n, a, b in RATIOS if n == name)
-    return F.coalesce(F.try_divide(F.col(top), F.col(below)), F.lit(0.0))
+    at = at or {}
+    return F.coalesce(F.try_divide(F.col(at.get(top, top)), F.col(at.get(below, below))), F.lit(0.0))
 
 
 @dataclass(frozen=True)
@@ -121,8 +123,9 @@ class Condition:
     above: bool  # value >= threshold, else value < threshold
     threshold: float
 
-    def column(self) -> Column:
-        return ratio(self.feature) >= self.threshold if self.above else ratio(self.feature) < self.threshold
+    def column(self, at: dict[str, str] | None = None) -> Column:
+        value = ratio(self.feature, at)
+        return value >= self.threshold if self.above else value < self.threshold
 
     def holds(self, x: np.ndarray) -> np.ndarray:
         value = x[:, [n for n, _, _ in RATIOS].index(self.feature)]
@@ -135,13 +138,13 @@ class DecisionList:
 
     rules: tuple[tuple[Condition, ...], ...]
 
-    def kept(self) -> Column:
-        """One ordered conditional expression over the columns ``COUNTS``."""
+    def kept(self, at: dict[str, str] | None = None) -> Column:
+        """One ordered conditional expression over the columns ``COUNTS`` (or those that ``at`` names instead)."""
         out = None
         for rule in self.rules:
             test = F.lit(True)
             for c in rule:
-                test = test & c.column()
+                test = test & c.column(at)
             out = F.when(test, False) if out is None else out.when(test, False)
         return F.lit(True) if out is None else out.otherwise(True)
 
@@ -224,8 +227,34 @@ def fit(stats: DataFrame, labels: DataFrame) -> DecisionList:
     return learn(x, np.array([r.bad for r in rows], bool))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(at: dict[str, str] | None = None) -> Column:
+    words, repeats = ((at or {}).get(n, n) for n in ("n_words", "n_repeat_words"))
+    return (F.col(words) < 50) | (100 * F.col(repeats) > 50 * F.col(words))
+
+
+def _with_counts(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` with the counts of its text as columns ``names``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            counts = [text_counts(x) for x in rows.column(rows.schema.get_field_index("text")).to_pylist()]
+            columns = list(zip(*counts)) if counts else [[] for _ in COUNTS]
+            arrays = [*rows.columns, *[pa.array(list(c), pa.int64()) for c in columns]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, *names])
+
+    fields = [f"`{n}` {t}" for n, t in docs.dtypes] + [f"`{n}` long" for n in names]
+    return map_batches(docs, task, ", ".join(fields))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and any others) without the rows that fail the base rule or a rule learned from labels."""
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    rules = fit(staged(statistics(labelled), "labelled-stats"), labels)
+    at = {}
+    for n in COUNTS:
+        at[n] = fresh(docs, n)
+    counted = _with_counts(docs, list(at.values()))
+    return counted.where(~base_failed(at) & rules.kept(at)).select(*docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

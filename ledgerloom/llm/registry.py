@@ -10,6 +10,7 @@ from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.language import op7_language
 from ledgerloom.llm.lines import OP10_SQL, op10_lines
 from ledgerloom.llm.minhash import op1_minhash
+from ledgerloom.llm.nearest_vectors import op6_nearest
 from ledgerloom.llm.packing import op9_packing
 from ledgerloom.llm.pii import op5_pii
 from ledgerloom.llm.quality import op8_quality
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_bpe": op3_bpe,
     "op5_pii": op5_pii,
+    "op6_nearest": op6_nearest,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
