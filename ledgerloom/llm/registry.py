@@ -14,10 +14,12 @@ from ledgerloom.llm.nearest_vectors import op6_nearest
 from ledgerloom.llm.packing import op9_packing
 from ledgerloom.llm.pii import op5_pii
 from ledgerloom.llm.quality import op8_quality
+from ledgerloom.llm.suffixes import OP4_SQL, op4_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_bpe": op3_bpe,
+    "op4_repeats": op4_repeats,
     "op5_pii": op5_pii,
     "op6_nearest": op6_nearest,
     "op7_language": op7_language,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lines": op10_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_lines": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_repeats": OP4_SQL, "op10_lines": OP10_SQL}
