@@ -3,9 +3,11 @@
 A document's set is its distinct five-word shingles. Its sketch is the ``SKETCH`` smallest hashes. Documents with equal
 sets are one class. Inverted lists are keyed by two neighbouring values among the ``KEYS`` smallest retained ones:
 for a similarity of 0.75 the chance that no such pair is shared is below 1e-7, and sets kept whole always share one.
-Members of a short list are all compared; in a long one every member is compared with several hubs, which differ from list
-to list. Sketches of the union estimate the similarity and drop clear misses; full sets confirm every link.
-Components of confirmed links give the groups.
+In a first round every member of a list is compared with one hub, by an order that all lists have in common, so a
+group of copies costs few comparisons. Later rounds compare only members of different components: all of them in a
+short list, and each with several hubs, which differ from list to list and round to round, in a long one. Rounds end
+when one confirms no link. Sketches of the union estimate the similarity and drop clear misses; full sets confirm every
+link. Components of confirmed links give the groups.
 
 Scale: lists are never gathered: a task sees them as sorted rows and keeps a few hubs. Before the shuffle, a list that
 is long within one batch passes only its hubs on. A set of a third of all rows is one class. Joins are on ids and left
@@ -33,8 +35,8 @@ from ledgerloom.llm.shingles import Powers, mix, shingle_sets
 SKETCH, KEYS, PERCENT = 64, 32, 75
 #: Estimates below this are clear misses: more than four standard errors under 0.75 at 64 values.
 ESTIMATE = 0.5
-#: Lists up to SHORT members are compared in full; longer ones through HUBS hubs. Within one batch, a list of more than
-#: LOCAL members is starred before the shuffle.
+#: After the first round, lists up to SHORT members are compared in full, longer ones through HUBS hubs. Within one
+#: batch, a list of more than LOCAL members is starred before the shuffle.
 SHORT, HUBS, LOCAL = 8, 4, 64
 _LONG = pa.int64()
 
@@ -61,22 +63,6 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), task, "doc_id long, n long, s1 long, s2 long, sketch binary")
 
 
-def _list_pairs(key: np.ndarray, rep: np.ndarray, hubs: np.ndarray, hub_at: np.ndarray) -> tuple:
-    """Pairs of sorted rows: neighbours up to SHORT apart, and members of a list with its hubs (``hub_at`` into hubs)."""
-    a, b = [], []
-    for d in range(1, SHORT):
-        same = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else np.zeros(0, int)
-        place = hub_at[same + d]  # place of the later row in its list
-        keep = same[place < SHORT]
-        a.append(rep[keep])
-        b.append(rep[keep + d])
-    for h in range(HUBS):
-        late = np.flatnonzero((hub_at >= SHORT) & (hubs[:, h] >= 0))
-        a.append(rep[hubs[late, h]])
-        b.append(rep[late])
-    return np.concatenate(a), np.concatenate(b)
-
-
 def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys: each row's place in its list, and where the list begins."""
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -84,72 +70,109 @@ def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(key)) - first, first
 
 
-def _star(key: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Compared pairs (smaller, larger) of rows sorted by key."""
+def _star(key: np.ndarray, rep: np.ndarray, comp: np.ndarray, short: int, hubs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Compared pairs (smaller, larger) of rows sorted by key: rows with the ``short`` - 1 before them while a list has
+    at most ``short`` rows so far, later rows with the first ``hubs``; only where components differ."""
     if not len(key):
         return rep, rep
     place, first = _places(key)
-    hubs = np.stack([first + h for h in range(HUBS)], 1)
-    a, b = _list_pairs(key, rep, hubs, place)
-    keep = a != b
-    return np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+    a, b = [], []
+    for d in range(1, short):
+        late = np.flatnonzero((place >= d) & (place < short))
+        a.append(late - d)
+        b.append(late)
+    for h in range(hubs):
+        late = np.flatnonzero(place >= short)
+        a.append(first[late] + h)
+        b.append(late)
+    left, right = np.concatenate(a), np.concatenate(b)
+    keep = (comp[left] != comp[right]) & (rep[left] != rep[right])
+    x, y = rep[left[keep]], rep[right[keep]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _shape(turn: int) -> tuple[int, int]:
+    """Rows compared in full and hubs of a round."""
+    return (SHORT, HUBS) if turn else (1, 1)
+
+
+def _order(key: np.ndarray, rep: np.ndarray, turn: int) -> np.ndarray:
+    """The order of a list's members: one for all lists in the first round, then each list's own."""
+    own = mix(rep.view(np.uint64))
+    return mix(key ^ own + np.uint64(turn)) if turn else own
 
 
-def list_rows(reps: DataFrame) -> DataFrame:
-    """(key, ord, rep, other): list entries (other null), or pairs (rep, other) found within a batch (key null)."""
+def list_rows(reps: DataFrame, turn: int) -> DataFrame:
+    """From (rep, sketch, comp): list entries (key, ord, rep, comp; other null), or pairs (rep, other) of long lists
+    within a batch (key null)."""
+    short, hubs = _shape(turn)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ids = np.asarray(rows.column(0).to_numpy(zero_copy_only=False), np.int64)
+            roots = np.asarray(rows.column(2).to_numpy(zero_copy_only=False), np.int64)
             raw = rows.column(1).to_pylist()
             counts = np.array([len(x) // 8 for x in raw], np.int64)
             flat = np.frombuffer(b"".join(raw), np.uint64)
             start = np.cumsum(counts) - counts
-            n = np.minimum(counts, KEYS) - 1
-            n = np.maximum(n, 0)
+            n = np.maximum(np.minimum(counts, KEYS) - 1, 0)
             at = np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             key = mix(flat[at] * np.uint64(3) + mix(flat[at + 1])) if len(at) else np.zeros(0, np.uint64)
-            rep = np.repeat(ids, n)
-            order = mix(key ^ mix(rep.view(np.uint64)))  # hubs differ from list to list
+            rep, comp = np.repeat(ids, n), np.repeat(roots, n)
+            order = _order(key, rep, turn)
             by = np.lexsort((order, key))
-            key, rep, order = key[by], rep[by], order[by]
+            key, rep, comp, order = key[by], rep[by], comp[by], order[by]
             a = b = np.zeros(0, np.int64)
             if len(key):
-                place, first = _places(key)
+                place, _ = _places(key)
                 size = np.diff(np.concatenate([np.flatnonzero(place == 0), [len(key)]]))
                 long_list = np.repeat(size > LOCAL, size)
-                a, b = _star(key[long_list], rep[long_list])
-                keep = ~long_list | (place < HUBS)
-                key, rep, order = key[keep], rep[keep], order[keep]
+                a, b = _star(key[long_list], rep[long_list], comp[long_list], short, hubs)
+                keep = ~long_list | (place < max(short, hubs))
+                key, rep, comp, order = key[keep], rep[keep], comp[keep], order[keep]
             none = lambda k: pa.nulls(k, _LONG)
+            both = lambda x, y: pa.concat_arrays([x, y])
             yield batch(
-                key=pa.concat_arrays([pa.array(key.view(np.int64)), none(len(a))]),
-                ord=pa.concat_arrays([pa.array(order.view(np.int64)), none(len(a))]),
-                rep=pa.concat_arrays([pa.array(rep), pa.array(a)]),
-                other=pa.concat_arrays([none(len(key)), pa.array(b)]),
+                key=both(pa.array(key.view(np.int64)), none(len(a))),
+                ord=both(pa.array(order.view(np.int64)), none(len(a))),
+                rep=both(pa.array(rep), pa.array(a)),
+                comp=both(pa.array(comp), none(len(a))),
+                other=both(none(len(key)), pa.array(b)),
             )
 
-    return map_batches(reps, task, "key long, ord long, rep long, other long")
+    return map_batches(
+        reps.select("rep", "sketch", "comp"), task, "key long, ord long, rep long, comp long, other long"
+    )
 
 
-def listed_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b) from list entries (key, ord, rep): rows arrive sorted and only the hubs of the last list are kept."""
+def listed_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """(a, b) from list entries (key, ord, rep, comp): rows arrive sorted and only the first of an open list are kept."""
+    short, hubs = _shape(turn)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_rep = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3
         for rows in batches:
-            key = np.concatenate([last_key, rows.column(0).to_numpy(zero_copy_only=False)])
-            rep = np.concatenate([last_rep, rows.column(1).to_numpy(zero_copy_only=False)])
-            a, b = _star(key, rep)
+            key, rep, comp = (
+                np.concatenate([h, rows.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)
+            )
+            a, b = _star(key, rep, comp, short, hubs)
             yield batch(a=(a, _LONG), b=(b, _LONG))
-            # The first SHORT rows of the open list stand for it in the next batch.
-            open_list = np.flatnonzero(key == key[-1])[:SHORT] if len(key) else np.zeros(0, int)
-            last_key, last_rep = key[open_list], rep[open_list]
+            # The first rows of the open list stand for it in the next batch; their pairs may come twice.
+            open_list = np.flatnonzero(key == key[-1])[: max(short, hubs)] if len(key) else np.zeros(0, int)
+            held = [key[open_list], rep[open_list], comp[open_list]]
 
-    ordered = entries.repartition("key").sortWithinPartitions("key", "ord").select("key", "rep")
+    ordered = entries.repartition("key").sortWithinPartitions("key", "ord").select("key", "rep", "comp")
     return map_batches(ordered, task, "a long, b long")
 
 
+def compared_pairs(reps: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) that the lists of a round compare."""
+    rows = staged(list_rows(reps, turn), "list-rows")
+    listed = listed_pairs(rows.where("key is not null").select("key", "ord", "rep", "comp"), turn)
+    local = rows.where("key is null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    return listed.unionByName(local).distinct()
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs whose union sketch estimates at least ``ESTIMATE``; exact where both sets are held whole."""
 
@@ -216,14 +239,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
         .agg(F.first("sketch").alias("sketch")),
         "representatives",
     )
-    rows = staged(list_rows(reps.select("rep", "sketch")), "list-rows")
-    listed = listed_pairs(rows.where("key is not null").select("key", "ord", "rep"))
-    local = rows.where("key is null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    pairs = staged(_estimated(listed.unionByName(local).distinct(), reps), "pairs")
-    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(nodes, "id")
-    links = _confirmed(pairs, full_sets(texts.select("id", "text")))
-    roots = components(links)
+    turn, links, roots = 0, None, None
+    while True:
+        placed = reps.withColumn("comp", F.col("rep"))
+        if roots is not None:
+            placed = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+                "comp", F.coalesce("root", "rep")
+            )
+        pairs = staged(_estimated(compared_pairs(placed, turn), reps), "pairs")
+        nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(nodes, "id", "left_semi")
+        found = staged(_confirmed(pairs, full_sets(texts)), "links")
+        if roots is not None and found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        turn += 1
     return (
         marks.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -528,7 +528,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = """
 WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 starts AS (
-  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS body
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS body
   FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM raw)
 ), least AS (SELECT body, min(doc_id) AS m FROM starts GROUP BY body HAVING count(*) > 1
 ), hits AS (
