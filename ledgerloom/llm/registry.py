@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.language import op7_language
 from ledgerloom.llm.lines import OP10_SQL, op10_lines
+from ledgerloom.llm.maxent import op2_maxent
 from ledgerloom.llm.minhash import op1_minhash
 from ledgerloom.llm.nearest_vectors import op6_nearest
 from ledgerloom.llm.packing import op9_packing
@@ -18,6 +19,7 @@ from ledgerloom.llm.suffixes import OP4_SQL, op4_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_maxent": op2_maxent,
     "op3_bpe": op3_bpe,
     "op4_repeats": op4_repeats,
     "op5_pii": op5_pii,

@@ -59,19 +59,28 @@ def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield group
 
 
+def word_hashes(raws: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, a byte that hashes each word's last three bytes, and the bounds of
+    the texts among the words."""
+    data = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
+    up, down = powers.upto(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
+    space = _SPACE[data]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    begin = 1 + np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
+    bounds = np.searchsorted(starts, begin)
+    words = mix((prefix[ends] - prefix[starts]) * down[starts])
+    cut = np.maximum(starts, ends - 3)
+    tails = (mix((prefix[ends] - prefix[cut]) * down[cut]) >> np.uint64(56)).astype(np.uint8)
+    return words, tails, bounds
+
+
 def shingle_sets(texts: list[str | None], powers: Powers) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: of five words, or of all where there are fewer."""
     for raws in _chunks(texts):
-        data = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
-        up, down = powers.upto(len(data) + 1)
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
-        space = _SPACE[data]
-        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        words = mix((prefix[ends] - prefix[starts]) * down[starts])
-        begin = 1 + np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
-        bound = np.searchsorted(starts, begin)
+        words, _, bound = word_hashes(raws, powers)
         rolled = words[: max(0, len(words) - WORDS + 1)].copy()
         for k in range(1, WORDS):
             rolled = rolled * _STEP + words[k : len(words) - WORDS + 1 + k]
