@@ -4,7 +4,7 @@ Each language has one zstandard raw-content dictionary, made of a bounded sample
 reduced to lower-case letters and single spaces, compressed with every dictionary, and belongs to the language whose
 output is smallest. A narrow margin is a rejection.
 
-Cases: null text or no letter gives ``und`` and score 0; ties go to the alphabetically first language; no labelled
+Cases: null text or no letter gives ``und`` and score 0; ties go to the language with more documents; no labelled
 document at all gives ``und`` for every text; a null id counts as the empty id; repeated rows give repeated results;
 other columns are ignored. Whole texts are compressed, however long.
 """
@@ -37,7 +37,7 @@ def letters(text: str) -> bytes:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Raw dictionary content by language, in alphabetical order of language."""
+    """Raw dictionary content by language, the language with most documents first."""
 
     contents: tuple[tuple[str, bytes], ...]
 
@@ -78,7 +78,7 @@ def fit(labelled: DataFrame) -> LanguageModel:
     for r in rows:
         by_lang.setdefault(r.lang, []).append((r.h, letters(r.text)))
     contents = []
-    for lang in sorted(by_lang):
+    for lang in [x for x in langs if x in by_lang]:
         content = b" ".join(x for _, x in sorted(by_lang[lang]) if x)[:DICT_BYTES]
         if len(content) >= 8:
             contents.append((lang, content))
@@ -102,10 +102,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     preds.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                sizes = [(len(c.compress(plain)), lang) for lang, c in compressors]
+                sizes = [(len(c.compress(plain)), k) for k, (_, c) in enumerate(compressors)]
                 best = min(sizes)
-                second = min((s for s in sizes if s is not best), default=(2 * best[0], ""))
-                preds.append(best[1])
+                second = min((s for s in sizes if s is not best), default=(2 * best[0], 0))
+                preds.append(compressors[best[1]][0])
                 scores.append(1.0 - best[0] / second[0])
             yield batch(
                 doc_id=rows.column("doc_id"),
