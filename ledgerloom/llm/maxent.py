@@ -35,6 +35,8 @@ from ledgerloom.llm.suffixes import bucket_of, packs
 #: Groups, classes of each, and classes of one frequent word (class 0 is the end of a text).
 GROUPS, PER_GROUP, FREQUENT = 8, 16, 63
 CLASSES = GROUPS * PER_GROUP
+#: Values of the hashed ending of a word.
+TAILS = 256
 #: Rows of the weight table: one bias, then hashed previous word, word before it, and both.
 TABLES = (4096, 2048, 4096)
 ROWS = 1 + sum(TABLES)
@@ -133,14 +135,10 @@ def summed_counts(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.bincount(index, counts, len(known)).astype(np.int64)
     tail = tails[first]
     is_end = known == END
-    sums = np.stack(
-        [
-            np.bincount(tail[~is_end], total[~is_end], 256),
-            np.bincount(tail[~is_end], total[~is_end] > 0, 256),
-        ]
-    ).astype(np.int64)
-    order = np.lexsort((known, -total))
-    top = [i for i in order[: FREQUENT + 1] if total[i] > 0]
+    column = np.where(is_end, TAILS, tail)  # the end of texts has the last column
+    sums = np.stack([np.bincount(column, total, TAILS + 1), np.bincount(column, total > 0, TAILS + 1)]).astype(np.int64)
+    order = np.lexsort((known, -total, is_end))
+    top = [i for i in order[:FREQUENT] if total[i] > 0 and not is_end[i]]
     frequent = np.array([[known[i].view(np.int64), total[i], tail[i]] for i in top], np.int64).reshape(-1, 3)
     sizes = [len(x) // 8 for x in rows["hashes"]]
     answers = [x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64) for x in np.split(total[index], np.cumsum(sizes)[:-1])]
@@ -181,9 +179,9 @@ def vocabulary(answers: DataFrame) -> Vocabulary:
     """From the bucket sums: a fixed number of figures of each bucket comes to the driver, in groups of buckets."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        sums = sum(np.frombuffer(x, np.int64).reshape(2, 256) for x in rows["sums"])
+        sums = sum(np.frombuffer(x, np.int64).reshape(2, TAILS + 1) for x in rows["sums"])
         top = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows["frequent"]])
-        top = top[np.lexsort((top[:, 0], -top[:, 1]))][: FREQUENT + 1]
+        top = top[np.lexsort((top[:, 0], -top[:, 1]))][:FREQUENT]
         return pd.DataFrame({"bucket": [0], "sums": [sums.tobytes()], "frequent": [top.tobytes()]})
 
     partial = (
@@ -194,24 +192,23 @@ def vocabulary(answers: DataFrame) -> Vocabulary:
         .collect()
     )
     out = merge(pd.DataFrame([r.asDict() for r in partial])) if partial else None
-    sums = np.frombuffer(out["sums"][0], np.int64).reshape(2, 256) if partial else np.zeros((2, 256), np.int64)
+    shape = (2, TAILS + 1)
+    sums = np.frombuffer(out["sums"][0], np.int64).reshape(shape) if partial else np.zeros(shape, np.int64)
     top = np.frombuffer(out["frequent"][0], np.int64).reshape(-1, 3) if partial else np.zeros((0, 3), np.int64)
-    ends = int(top[top[:, 0].view(_U) == END, 1].sum())
-    top = top[top[:, 0].view(_U) != END][:FREQUENT]
     tails = CLASSES - 1 - FREQUENT
     tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    np.add.at(tokens, 1 + FREQUENT + np.arange(256) % tails, sums[0])
-    np.add.at(words, 1 + FREQUENT + np.arange(256) % tails, sums[1])
-    tokens[0], words[0] = ends, ends > 0
+    np.add.at(tokens, 1 + FREQUENT + np.arange(TAILS) % tails, sums[0, :TAILS])
+    np.add.at(words, 1 + FREQUENT + np.arange(TAILS) % tails, sums[1, :TAILS])
+    tokens[0], words[0] = sums[:, TAILS]
     for k, (_, n, tail) in enumerate(top):
         tokens[1 + k], words[1 + k] = n, 1
         tokens[1 + FREQUENT + tail % tails] -= n
         words[1 + FREQUENT + tail % tails] -= 1
-    by = np.argsort(top[:, 0].view(_U))
+    by = np.argsort(np.ascontiguousarray(top[:, 0]).view(_U))
     return Vocabulary(
-        int(sums[0].sum()) + ends,
-        int(sums[1].sum()) + int(ends > 0),
-        top[by, 0].view(_U).copy(),
+        int(sums[0].sum()),
+        int(sums[1].sum()),
+        np.ascontiguousarray(top[by, 0]).view(_U),
         1 + by,
         tokens,
         words,
