@@ -30,6 +30,8 @@ from ledgerloom.llm.common import batch, map_batches, staged, table
 CURVES, DIMS, BITS, BLOCKS, SIDE = 12, 7, 9, 64, 4
 #: Rows and queries scored at once; vectors sampled to scale the projections (the documented bound of the fit).
 BLOCK_ROWS, BLOCK_QUERIES, FIT_ROWS = 20_000, 5_000, 2_000
+#: A range holds at least so many rows, so small tables have fewer ranges.
+LEAST_ROWS = 128
 TOP = 20
 SEED = 7
 
@@ -214,15 +216,17 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
         .agg(F.percentile_approx("key", [i / BLOCKS for i in range(1, BLOCKS)], 10_000).alias("cuts"))
         .collect()
     }
+    ranges = {d.dim: max(1, min(BLOCKS, d.n // LEAST_ROWS)) for d in dims}
     bounds = vectors.sparkSession.createDataFrame(
-        [(d, c, list(x)) for (d, c), x in cuts.items()], "dim int, curve int, cuts array<long>"
+        [(d, c, list(x), ranges[d]) for (d, c), x in cuts.items()], "dim int, curve int, cuts array<long>, ranges int"
     )
     pieces = max(-(-d.n // (BLOCKS * BLOCK_ROWS)) for d in dims)
     parts = max(1, max(-(-(d.asks * (2 * SIDE + 1)) // (BLOCKS * BLOCK_QUERIES)) for d in dims))
     placed = keyed.join(F.broadcast(bounds), ["dim", "curve"]).withColumn(
-        "block", F.expr("cast(size(filter(cuts, x -> x <= key)) as int)")
+        "block", F.expr(f"cast(size(filter(cuts, x -> x <= key)) * ranges div {BLOCKS} as int)")
     )
-    first = F.least(F.greatest(F.col("block") - SIDE, F.lit(0)), F.lit(BLOCKS - 1 - 2 * SIDE))
+    first = F.greatest(F.least(F.col("block") - SIDE, F.col("ranges") - 1 - 2 * SIDE), F.lit(0))
+    last = F.least(first + 2 * SIDE, F.col("ranges") - 1)
     split = lambda name, n, salt: F.pmod(F.xxhash64(name, F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = (
@@ -234,7 +238,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     asks = (
         placed.where("query")
         .withColumn("part", split("cls", parts, 2))
-        .withColumn("block", F.explode(F.sequence(first, first + 2 * SIDE)))
+        .withColumn("block", F.explode(F.sequence(first, last)))
         .withColumn("piece", every(pieces))
         .select("dim", "curve", "block", "piece", "part", "cls", "vec")
     )
