@@ -3,11 +3,11 @@
 A document's set is its distinct five-word shingles. Its sketch is the ``SKETCH`` smallest hashes. Documents with equal
 sets are one class. Inverted lists are keyed by two neighbouring values among the ``KEYS`` smallest retained ones:
 for a similarity of 0.75 the chance that no such pair is shared is below 1e-7, and sets kept whole always share one.
-In a first round every member of a list is compared with one hub, by an order that all lists have in common, so a
-group of copies costs few comparisons. Later rounds compare only members of different components: all of them in a
-short list, and each with several hubs, which differ from list to list and round to round, in a long one. Rounds end
-when one confirms no link. Sketches of the union estimate the similarity and drop clear misses; full sets confirm every
-link. Components of confirmed links give the groups.
+Lists have their members in one common order. In a first round every member of a list is compared with its first
+member, so a group of copies costs few comparisons. The second round compares only members of different components: all
+of them in a short list, and each with the first ``HUBS`` in a long one. Either round counts, without looking at sets,
+how often its lists bring two documents together; one meeting is chance, unless one of the two has few keys. Set sizes
+and sketches of the union drop clear misses; full sets confirm every link. Components of confirmed links give the groups.
 
 Scale: lists are never gathered: a task sees them as sorted rows and keeps a few hubs. Before the shuffle, a list that
 is long within one batch passes only its hubs on. A set of a third of all rows is one class. Joins are on ids and left
@@ -38,6 +38,9 @@ ESTIMATE = 0.5
 #: After the first round, lists up to SHORT members are compared in full, longer ones through HUBS hubs. Within one
 #: batch, a list of more than LOCAL members is starred before the shuffle.
 SHORT, HUBS, LOCAL = 8, 4, 64
+#: Meetings in lists that a pair needs, and the set size under which one is enough. With 16 keys or more, fewer than two
+#: common ones have a chance below 1e-3 only at the very border of 0.75 and below 1e-6 with all 31.
+MEETINGS, FEW = 2, 24
 _LONG = pa.int64()
 
 
@@ -70,11 +73,14 @@ def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(key)) - first, first
 
 
-def _star(key: np.ndarray, rep: np.ndarray, comp: np.ndarray, short: int, hubs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Compared pairs (smaller, larger) of rows sorted by key: rows with the ``short`` - 1 before them while a list has
-    at most ``short`` rows so far, later rows with the first ``hubs``; only where components differ."""
+def _star(
+    key: np.ndarray, rep: np.ndarray, comp: np.ndarray, few: np.ndarray, short: int, hubs: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compared pairs (smaller, larger) of rows sorted by key, and how many meetings each counts for: rows with the
+    ``short`` - 1 before them while a list has at most ``short`` rows so far, later rows with the first ``hubs``; only
+    where components differ."""
     if not len(key):
-        return rep, rep
+        return rep, rep, np.zeros(0, np.int32)
     place, first = _places(key)
     a, b = [], []
     for d in range(1, short):
@@ -87,8 +93,9 @@ def _star(key: np.ndarray, rep: np.ndarray, comp: np.ndarray, short: int, hubs:
         b.append(late)
     left, right = np.concatenate(a), np.concatenate(b)
     keep = (comp[left] != comp[right]) & (rep[left] != rep[right])
-    x, y = rep[left[keep]], rep[right[keep]]
-    return np.minimum(x, y), np.maximum(x, y)
+    left, right = left[keep], right[keep]
+    meetings = np.where(few[left] | few[right], MEETINGS, 1).astype(np.int32)
+    return np.minimum(rep[left], rep[right]), np.maximum(rep[left], rep[right]), meetings
 
 
 def _shape(turn: int) -> tuple[int, int]:
@@ -96,15 +103,9 @@ def _shape(turn: int) -> tuple[int, int]:
     return (SHORT, HUBS) if turn else (1, 1)
 
 
-def _order(key: np.ndarray, rep: np.ndarray, turn: int) -> np.ndarray:
-    """The order of a list's members: one for all lists in the first round, then each list's own."""
-    own = mix(rep.view(np.uint64))
-    return mix(key ^ own + np.uint64(turn)) if turn else own
-
-
 def list_rows(reps: DataFrame, turn: int) -> DataFrame:
-    """From (rep, sketch, comp): list entries (key, ord, rep, comp; other null), or pairs (rep, other) of long lists
-    within a batch (key null)."""
+    """From (rep, sketch, comp): list entries (key, ord, rep, comp, few; other null), or pairs (rep, other, meetings) of
+    long lists within a batch (key null)."""
     short, hubs = _shape(turn)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,59 +119,66 @@ def list_rows(reps: DataFrame, turn: int) -> DataFrame:
             n = np.maximum(np.minimum(counts, KEYS) - 1, 0)
             at = np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             key = mix(flat[at] * np.uint64(3) + mix(flat[at + 1])) if len(at) else np.zeros(0, np.uint64)
-            rep, comp = np.repeat(ids, n), np.repeat(roots, n)
-            order = _order(key, rep, turn)
+            rep, comp, few = np.repeat(ids, n), np.repeat(roots, n), np.repeat(counts < FEW, n)
+            order = mix(rep.view(np.uint64))
             by = np.lexsort((order, key))
-            key, rep, comp, order = key[by], rep[by], comp[by], order[by]
+            key, rep, comp, few, order = key[by], rep[by], comp[by], few[by], order[by]
             a = b = np.zeros(0, np.int64)
+            meetings = np.zeros(0, np.int32)
             if len(key):
                 place, _ = _places(key)
                 size = np.diff(np.concatenate([np.flatnonzero(place == 0), [len(key)]]))
                 long_list = np.repeat(size > LOCAL, size)
-                a, b = _star(key[long_list], rep[long_list], comp[long_list], short, hubs)
+                a, b, meetings = _star(*(x[long_list] for x in (key, rep, comp, few)), short, hubs)
                 keep = ~long_list | (place < max(short, hubs))
-                key, rep, comp, order = key[keep], rep[keep], comp[keep], order[keep]
-            none = lambda k: pa.nulls(k, _LONG)
+                key, rep, comp, few, order = key[keep], rep[keep], comp[keep], few[keep], order[keep]
+            none = lambda k, kind=_LONG: pa.nulls(k, kind)
             both = lambda x, y: pa.concat_arrays([x, y])
             yield batch(
                 key=both(pa.array(key.view(np.int64)), none(len(a))),
                 ord=both(pa.array(order.view(np.int64)), none(len(a))),
                 rep=both(pa.array(rep), pa.array(a)),
                 comp=both(pa.array(comp), none(len(a))),
+                few=both(pa.array(few, pa.bool_()), none(len(a), pa.bool_())),
                 other=both(none(len(key)), pa.array(b)),
+                meetings=both(none(len(key), pa.int32()), pa.array(meetings, pa.int32())),
             )
 
     return map_batches(
-        reps.select("rep", "sketch", "comp"), task, "key long, ord long, rep long, comp long, other long"
+        reps.select("rep", "sketch", "comp"),
+        task,
+        "key long, ord long, rep long, comp long, few boolean, other long, meetings int",
     )
 
 
 def listed_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """(a, b) from list entries (key, ord, rep, comp): rows arrive sorted and only the first of an open list are kept."""
+    """(a, b, meetings) from list entries: rows arrive sorted and only the first of an open list are kept."""
     short, hubs = _shape(turn)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
         for rows in batches:
-            key, rep, comp = (
+            columns = [
                 np.concatenate([h, rows.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)
-            )
-            a, b = _star(key, rep, comp, short, hubs)
-            yield batch(a=(a, _LONG), b=(b, _LONG))
-            # The first rows of the open list stand for it in the next batch; their pairs may come twice.
+            ]
+            a, b, meetings = _star(*columns, short, hubs)
+            yield batch(a=(a, _LONG), b=(b, _LONG), meetings=(meetings, pa.int32()))
+            # The first rows of the open list stand for it in the next batch; their pairs may count twice.
+            key = columns[0]
             open_list = np.flatnonzero(key == key[-1])[: max(short, hubs)] if len(key) else np.zeros(0, int)
-            held = [key[open_list], rep[open_list], comp[open_list]]
+            held = [x[open_list] for x in columns]
 
-    ordered = entries.repartition("key").sortWithinPartitions("key", "ord").select("key", "rep", "comp")
-    return map_batches(ordered, task, "a long, b long")
+    ordered = entries.repartition("key").sortWithinPartitions("key", "ord").select("key", "rep", "comp", "few")
+    return map_batches(ordered, task, "a long, b long, meetings int")
 
 
 def compared_pairs(reps: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs (a, b) that the lists of a round compare."""
+    """Pairs (a, b) that the lists of a round bring together often enough."""
     rows = staged(list_rows(reps, turn), "list-rows")
-    listed = listed_pairs(rows.where("key is not null").select("key", "ord", "rep", "comp"), turn)
-    local = rows.where("key is null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    return listed.unionByName(local).distinct()
+    listed = listed_pairs(rows.where("key is not null").select("key", "ord", "rep", "comp", "few"), turn)
+    local = rows.where("key is null").select(F.col("rep").alias("a"), F.col("other").alias("b"), "meetings")
+    met = listed.unionByName(local).groupBy("a", "b").agg(F.sum("meetings").alias("met"))
+    return met.where(F.col("met") >= MEETINGS).select("a", "b")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -189,9 +197,10 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 a=(np.array(a, np.int64)[keep] if a else [], _LONG), b=(np.array(b, np.int64)[keep] if b else [], _LONG)
             )
 
-    left = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("left"))
-    right = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("right"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("left"))
+    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("right"))
+    sized = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    joined = pairs.join(left, "a").join(right, "b").where(sized).select("a", "b", "left", "right")
     return map_batches(joined, task, "a long, b long")
 
 
@@ -236,11 +245,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     reps = staged(
         linkable.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"])
         .groupBy(F.col("doc_id").alias("rep"), "s1", "s2")
-        .agg(F.first("sketch").alias("sketch")),
+        .agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")),
         "representatives",
     )
-    turn, links, roots = 0, None, None
-    while True:
+    links, roots = None, None
+    for turn in range(2):
         placed = reps.withColumn("comp", F.col("rep"))
         if roots is not None:
             placed = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
@@ -250,11 +259,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         texts = docs.select(F.col("doc_id").alias("id"), "text").join(nodes, "id", "left_semi")
         found = staged(_confirmed(pairs, full_sets(texts)), "links")
-        if roots is not None and found.isEmpty():
-            break
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-        turn += 1
     return (
         marks.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
