@@ -75,4 +75,3 @@ CASH_BUCKETS = (
 )
 UNSUPPORTED_TRANSACTION_TYPE = "UNSUPPORTED_TRANSACTION_TYPE"
 SCHEMA_VALIDATION_FAILED = "SCHEMA_VALIDATION_FAILED"
-CURRENCY = "INR"

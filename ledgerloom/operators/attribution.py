@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import config as C
 from ledgerloom.functions.narration import similar_pairs
 from ledgerloom.operators.blocking import hay_keys, needle_keys
-from ledgerloom.operators.skew import OFF, Guard, lookup
+from ledgerloom.operators.skew import lookup
 from ledgerloom.session import stage
 
 
@@ -19,7 +19,7 @@ from ledgerloom.session import stage
 FLOORS = (91, C.FUZZY_MIN_SIMILARITY)
 
 
-def attribute_bank_rows(bank: DataFrame, pg: DataFrame, guard: Guard = OFF) -> DataFrame:
+def attribute_bank_rows(bank: DataFrame, pg: DataFrame) -> DataFrame:
     """Each bank row with the settlement whose UTR its narration resembles most, at or above the floor.
 
     No amount or date gate. References and narrations are reduced to distinct texts and paired only
@@ -39,7 +39,7 @@ def attribute_bank_rows(bank: DataFrame, pg: DataFrame, guard: Guard = OFF) -> D
             break
     answers = reduce(DataFrame.unionByName, found)
     answers = answers.withColumnRenamed("text", "narration")
-    return lookup(bank, answers, ["narration"], "bank_ref", guard).select(
+    return lookup(bank, answers, ["narration"], "bank_ref").select(
         "bank_ref", "narration", F.col("best.txn_id").alias("txn_id"), F.col("best.similarity").alias("similarity")
     )
 

@@ -15,7 +15,7 @@ from ledgerloom.functions.narration import similar_pairs
 from ledgerloom.operators import blocking
 from ledgerloom.operators.gates import gate_join, in_gate, point_cells, query_cells
 from ledgerloom.operators.nearest import nearest
-from ledgerloom.operators.skew import OFF, Guard, lookup
+from ledgerloom.operators.skew import lookup
 from ledgerloom.session import stage
 
 BANK_ROW = ("src_pos", "bank_ref", "txn_id", "utr", "amount", "day", "narration")
@@ -88,35 +88,35 @@ def with_keys(pg: DataFrame) -> DataFrame:
     return pg.withColumn("utr_key", F.nullif("utr", F.lit(""))).withColumn("txn_key", F.nullif("txn_id", F.lit("")))
 
 
-def match_exact_utr(pg: DataFrame, bank: DataFrame, scope: tuple[str, ...] = (), guard: Guard = OFF) -> DataFrame:
+def match_exact_utr(pg: DataFrame, bank: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Tier 1: anchors with the group of bank rows carrying their UTR, in column ``u``."""
     groups = summarise(prepared_bank(bank, scope).filter(_present("utr")), [*scope, "utr"])
     groups = groups.withColumnsRenamed({"utr": "utr_key", "group": "u"})
-    return lookup(pg, groups, [*scope, "utr_key"], "src_pos", guard)
+    return lookup(pg, groups, [*scope, "utr_key"], "src_pos")
 
 
-def match_exact_txn(pg: DataFrame, bank: DataFrame, scope: tuple[str, ...] = (), guard: Guard = OFF) -> DataFrame:
+def match_exact_txn(pg: DataFrame, bank: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Bank rows resolving to the anchor's transaction id, in column ``t``: tier 2 where tier 1 missed,
     and otherwise the rows that can never be rivals."""
     groups = summarise(prepared_bank(bank, scope).filter(_present("txn_id")), [*scope, "txn_id"])
     groups = groups.withColumnsRenamed({"txn_id": "txn_key", "group": "t"})
-    return lookup(pg, groups, [*scope, "txn_key"], "src_pos", guard)
+    return lookup(pg, groups, [*scope, "txn_key"], "src_pos")
 
 
-def match_invoices(pg: DataFrame, invoice: DataFrame, scope: tuple[str, ...] = (), guard: Guard = OFF) -> DataFrame:
+def match_invoices(pg: DataFrame, invoice: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Invoices by exact transaction id only, in column ``i``."""
     groups = summarise(prepared_invoices(invoice, scope).filter(_present("txn_id")), [*scope, "txn_id"])
     groups = groups.withColumnsRenamed({"txn_id": "txn_key", "group": "i"})
-    return lookup(pg, groups, [*scope, "txn_key"], "src_pos", guard)
+    return lookup(pg, groups, [*scope, "txn_key"], "src_pos")
 
 
 def exact_groups(
-    pg: DataFrame, bank: DataFrame, invoice: DataFrame, scope: tuple[str, ...] = (), guard: Guard = OFF
+    pg: DataFrame, bank: DataFrame, invoice: DataFrame, scope: tuple[str, ...] = ()
 ) -> DataFrame:
     """Anchors with their UTR group, transaction group and invoice group, and what is still open."""
-    joined = match_exact_utr(with_keys(pg), bank, scope, guard)
-    joined = match_exact_txn(joined, bank, scope, guard)
-    joined = match_invoices(joined, invoice, scope, guard)
+    joined = match_exact_utr(with_keys(pg), bank, scope)
+    joined = match_exact_txn(joined, bank, scope)
+    joined = match_invoices(joined, invoice, scope)
     by_utr, by_txn = F.col("u").isNotNull(), F.col("t").isNotNull()
     u_split, t_split = ~F.col("u.uniform"), ~F.col("t.uniform")
     return joined.select(
@@ -172,52 +172,39 @@ def own_in_gate(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...] = ()
         "txn_key",
     )
     points = bank.groupBy(
-        *scope, F.col("utr").alias("b_utr"), F.col("txn_id").alias("b_txn"), "amount", F.col("day").alias("bank_day")
+        *scope, F.col("utr").alias("utr_key"), F.col("txn_id").alias("txn_key"), "amount", F.col("day").alias("bank_day")
     ).agg(F.count(F.lit(1)).alias("n"))
-    key = ["expected_net", "day", "utr_key", "txn_key"]
-    distinct = asked.select(*scope, *key).distinct()
-
-    by_utr = gate_join(
-        distinct.filter(F.col("utr_key").isNotNull()),
-        points.filter(F.col("b_utr").isNotNull()).groupBy(*scope, F.col("b_utr").alias("utr_key"), "amount", "bank_day").agg(F.sum("n").alias("n")),
-        [*scope, "utr_key"],
-    ).select(*scope, *key, "n")
-    by_txn = (
-        gate_join(
-            distinct.filter(F.col("txn_key").isNotNull()),
-            points.filter(F.col("b_txn").isNotNull()).withColumnRenamed("b_txn", "txn_key"),
-            [*scope, "txn_key"],
-        )
-        .filter(F.col("utr_key").isNull() | ~F.col("b_utr").eqNullSafe(F.col("utr_key")))
-        .select(*scope, *key, "n")
-    )
-    counts = by_utr.unionByName(by_txn).groupBy(*scope, *key).agg(F.sum("n").alias("own"))
-    same = F.lit(True)
-    for c in scope:
-        same = same & (F.col(f"a.{c}") == F.col(f"c.{c}"))
-    for c in key:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}"))
-    return (
-        asked.alias("a")
-        .join(counts.alias("c"), same, "left")
-        .select(*[F.col(f"a.{c}") for c in (*scope, "src_pos")], F.coalesce("c.own", F.lit(0)).alias("own"))
-    )
+
+    def with_count(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Rows inside the gate that carry ``keys``, counted once for each distinct question."""
+        present = " and ".join(f"{k} is not null" for k in keys)
+        question = [*scope, "expected_net", "day", *keys]
+        grouped = points.filter(present).groupBy(*scope, *keys, "amount", "bank_day").agg(F.sum("n").alias("n"))
+        counted = gate_join(asked.filter(present).select(*question).distinct(), grouped, [*scope, *keys])
+        return lookup(rows, counted.groupBy(*question).agg(F.sum("n").alias(name)), question, "src_pos")
+
+    # in the transaction but not in the UTR group = in the transaction - in both: no pairs that differ in a key
+    out = with_count(asked, ["utr_key"], "_utr")
+    out = with_count(out, ["txn_key"], "_txn")
+    out = with_count(out, ["utr_key", "txn_key"], "_both")
+    own = F.coalesce("_utr", F.lit(0)) + F.coalesce("_txn", F.lit(0)) - F.coalesce("_both", F.lit(0))
+    return out.select(*scope, "src_pos", own.alias("own"))
 
 
 # --- tier 3 --------------------------------------------------------------------------------
 
 
-def near_rows(open_keys: DataFrame, bank: DataFrame, scope: tuple[str, ...], guard: Guard) -> DataFrame:
+def near_rows(open_keys: DataFrame, bank: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     """Bank rows sharing a gate cell with some open anchor."""
     cells = query_cells(open_keys).select(*scope, "_paise", "_week").distinct().withColumn("_wanted", F.lit(True))
     return lookup(
-        point_cells(prepared_bank(bank, scope), day="day"), cells, [*scope, "_paise", "_week"], "src_pos", guard, "inner"
+        point_cells(prepared_bank(bank, scope), day="day"), cells, [*scope, "_paise", "_week"], "src_pos", "inner"
     )
 
 
-def fuzzy_points(open_keys: DataFrame, bank: DataFrame, scope: tuple[str, ...], guard: Guard) -> DataFrame:
+def fuzzy_points(open_keys: DataFrame, bank: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     """Those rows with copies collapsed to (amount, day, narration)."""
-    return near_rows(open_keys, bank, scope, guard).groupBy(
+    return near_rows(open_keys, bank, scope).groupBy(
         *scope, "amount", F.col("day").alias("bank_day"), F.coalesce("narration", F.lit("")).alias("text")
     ).agg(
         F.count(F.lit(1)).alias("n"),
@@ -237,7 +224,7 @@ def open_keys_of(anchors: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return anchors.select(*scope, F.coalesce("utr", F.lit("")).alias("ref"), "expected_net", "day").distinct()
 
 
-def match_fuzzy(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...] = (), guard: Guard = OFF) -> DataFrame:
+def match_fuzzy(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Tier 3 for anchors both exact tiers missed: (scope, src_pos, f).
 
     Amount and date are gates; similarity alone never matches. Anchors asking the same question
@@ -246,7 +233,7 @@ def match_fuzzy(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...] = ()
     asked = open_keys_of(anchors, scope)
     # both are read for the cell sizes and again for the pairs
     asked = stage(asked, "fuzzy-asked")
-    points = stage(fuzzy_points(asked, bank, scope, guard), "fuzzy-points")
+    points = stage(fuzzy_points(asked, bank, scope), "fuzzy-points")
     hits = scored_pairs(asked, points, scope, C.FUZZY_MIN_SIMILARITY)
     key = ["ref", "expected_net", "day"]
     groups = hits.groupBy(*scope, *key).agg(
@@ -271,13 +258,13 @@ def match_fuzzy(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...] = ()
         ).alias("f"),
     )
     narrow = anchors.select(*scope, "src_pos", F.coalesce("utr", F.lit("")).alias("ref"), "expected_net", "day")
-    return lookup(narrow, answers, [*scope, *key], "src_pos", guard, "inner").select(*scope, "src_pos", "f")
+    return lookup(narrow, answers, [*scope, *key], "src_pos", "inner").select(*scope, "src_pos", "f")
 
 
 # --- assembly ------------------------------------------------------------------------------
 
 
-def _bank_winners(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...], guard: Guard) -> DataFrame:
+def _bank_winners(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     """Winners for anchors whose group mixes days or amounts: (scope, src_pos, bank_pick)."""
     rows = prepared_bank(bank, scope)
     parts = []
@@ -288,14 +275,14 @@ def _bank_winners(anchors: DataFrame, bank: DataFrame, scope: tuple[str, ...], g
         pool = rows.withColumn(key, F.col(column)).join(wanted, [*scope, key], "left_semi")
         best = nearest(asked, pool, [*scope, key], "tie", "row")
         parts.append(
-            lookup(asked, best, [*scope, key, "day", "target"], "src_pos", guard, "inner").select(
+            lookup(asked, best, [*scope, key, "day", "target"], "src_pos", "inner").select(
                 *scope, "src_pos", F.col("row").alias("bank_pick")
             )
         )
     return parts[0].unionByName(parts[1])
 
 
-def _invoice_winners(anchors: DataFrame, invoice: DataFrame, scope: tuple[str, ...], guard: Guard) -> DataFrame:
+def _invoice_winners(anchors: DataFrame, invoice: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     """The same for invoices, by amount alone: (scope, src_pos, invoice_pick)."""
     same_day = F.lit("1970-01-01").cast("date")
     asked = anchors.select(
@@ -309,16 +296,16 @@ def _invoice_winners(anchors: DataFrame, invoice: DataFrame, scope: tuple[str, .
         .join(wanted, [*scope, "txn_key"], "left_semi")
     )
     best = nearest(asked, pool, [*scope, "txn_key"], "tie", "row")
-    return lookup(asked, best, [*scope, "txn_key", "day", "target"], "src_pos", guard, "inner").select(
+    return lookup(asked, best, [*scope, "txn_key", "day", "target"], "src_pos", "inner").select(
         *scope, "src_pos", F.col("row").alias("invoice_pick")
     )
 
 
 def candidate_sets(
-    pg: DataFrame, bank: DataFrame, invoice: DataFrame, scope: tuple[str, ...] = (), guard: Guard = OFF
+    pg: DataFrame, bank: DataFrame, invoice: DataFrame, scope: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per anchor: winners, candidate counts, tier, duplicate flag and rival count."""
-    exact = stage(exact_groups(pg, bank, invoice, scope, guard), "exact-groups")
+    exact = stage(exact_groups(pg, bank, invoice, scope), "exact-groups")
     open_case = F.col("exact_tier").isNull()
     special = open_case | F.col("pick_bank") | F.col("pick_invoice") | F.col("count_own")
     # one row: which of the rarer branches this batch needs at all
@@ -338,9 +325,9 @@ def candidate_sets(
     }
     hard = exact.filter(special)
     branches = (
-        (need.fuzzy, "f", lambda: match_fuzzy(exact.filter(open_case), bank, scope, guard)),
-        (need.picks, "bank_pick", lambda: _bank_winners(exact.filter("pick_bank"), bank, scope, guard)),
-        (need.bills, "invoice_pick", lambda: _invoice_winners(exact.filter("pick_invoice"), invoice, scope, guard)),
+        (need.fuzzy, "f", lambda: match_fuzzy(exact.filter(open_case), bank, scope)),
+        (need.picks, "bank_pick", lambda: _bank_winners(exact.filter("pick_bank"), bank, scope)),
+        (need.bills, "invoice_pick", lambda: _invoice_winners(exact.filter("pick_invoice"), invoice, scope)),
         (need.own, "own", lambda: own_in_gate(exact.filter("count_own"), bank, scope)),
     )
     for wanted, column, build in branches:
@@ -351,7 +338,7 @@ def candidate_sets(
     everyone = plain.unionByName(hard)
 
     totals = gate_totals(exact, bank, scope)
-    counted = lookup(everyone, totals, [*scope, "expected_net", "day"], "src_pos", guard)
+    counted = lookup(everyone, totals, [*scope, "expected_net", "day"], "src_pos")
 
     tier = F.coalesce("exact_tier", F.when(F.col("f").isNotNull(), "fuzzy"), F.lit("none"))
 
@@ -394,14 +381,14 @@ def candidate_sets(
 # --- lookups from outside --------------------------------------------------------------------
 
 
-def proposal_lookup(proposals: DataFrame, bank: DataFrame, guard: Guard = OFF) -> DataFrame:
+def proposal_lookup(proposals: DataFrame, bank: DataFrame) -> DataFrame:
     """Whether a proposed transaction id exists among the bank rows, and how often."""
     index = (
         bank.filter(_present("txn_id"))
         .groupBy(F.col("txn_id").alias("proposed_txn_id"))
         .agg(F.count(F.lit(1)).alias("bank_rows"), F.sum("amount").alias("bank_amount"))
     )
-    joined = lookup(proposals, index, ["proposed_txn_id"], "proposal_id", guard)
+    joined = lookup(proposals, index, ["proposed_txn_id"], "proposal_id")
     return joined.withColumn("found", F.col("bank_rows").isNotNull()).withColumn(
         "bank_rows", F.coalesce("bank_rows", F.lit(0))
     )

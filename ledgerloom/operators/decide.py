@@ -152,28 +152,6 @@ def decide(matches: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def decision_rows(decided: DataFrame) -> DataFrame:
-    """The public decision shape: verdict plus nested evidence."""
-    shown = signals(decided)
-    return shown.select(
-        "txn_id",
-        "status",
-        "confidence_score",
-        F.col("sources_present").alias("matched_sources"),
-        "tax_verified",
-        "exception_code",
-        "reason_codes",
-        F.struct(
-            "matched_rule",
-            "context",
-            F.col("signals").alias("match_signals"),
-            "selection_reason",
-            "tax_evaluated",
-            "authoritative_match",
-        ).alias("evidence"),
-    )
-
-
 def catch_all_alarms(decided: DataFrame) -> DataFrame:
     """Decisions no explicit rule covered. Must be empty on real data."""
     return decided.filter(F.col("matched_rule") == CATCH_ALL)

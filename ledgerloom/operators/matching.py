@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.candidates import candidate_sets
 from ledgerloom.operators.scoring import auto_matchable, confidence_tier, with_score
-from ledgerloom.operators.skew import OFF, Guard
 
 
 def _reason(count: str, match_type: str, ties: str) -> Column:
@@ -69,12 +68,6 @@ def resolve(candidates: DataFrame) -> DataFrame:
     )
 
 
-def run_matching(
-    pg: DataFrame, bank: DataFrame, invoice: DataFrame, scope: tuple[str, ...] = (), guard: Guard = OFF
-) -> DataFrame:
-    return resolve(candidate_sets(pg, bank, invoice, scope, guard))
-
-
 def structural_evidence(matches: DataFrame) -> DataFrame:
     return matches.select(
         "txn_id",

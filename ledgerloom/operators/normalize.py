@@ -83,10 +83,6 @@ def normalized(pg: DataFrame, bank: DataFrame, invoice: DataFrame) -> DataFrame:
     return pg.select(*shape).unionByName(bank.select(*shape)).unionByName(invoice.select(*shape))
 
 
-def by_source(records: DataFrame, source: str) -> DataFrame:
-    return records.filter(F.col("source") == source)
-
-
 def linkage_report(pg: DataFrame, bank: DataFrame, invoice: DataFrame) -> DataFrame:
     """Rows per source and, for bank rows, per way of finding the transaction id."""
     tagged = (

@@ -1,82 +1,38 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""A join to a one-row-per-key side that stays balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 1000  # a key above 1/1000 of the rows is hot, so fewer than 1000 keys can be
-SMALL_BYTES = 256 << 20  # below this a single reduce task takes the whole input
-
-
-@dataclass(frozen=True)
-class Guard:
-    """When to look for hot keys, and how many ways to split them."""
-
-    active: bool = True
-    min_rows: int = 100_000
-    salts: int = 64
-
-
-OFF = Guard(active=False)
+NULL_WAYS = 4096  # partitions that rows without a key are spread over; fixed, and the same plan at every size
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 
 
-def guard_for(*inputs: DataFrame) -> Guard:
-    """Skip the hot-key count when the optimizer's size estimate fits one task anyway."""
-    try:
-        sizes = [int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for d in inputs]
-    except Exception:  # no JVM handle (Connect): assume large
-        return Guard()
-    return Guard(active=max(sizes) > SMALL_BYTES)
+def prepare(spark) -> None:
+    """Adaptive execution splits the partition of a hot key on the many-rows side; jobs rely on it."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
 
 
-def hot_keys(rows: DataFrame, keys: list[str], guard: Guard) -> DataFrame:
-    """Keys holding over 1/SHARE of the rows: by counting, at most SHARE - 1 of them."""
-    total = rows.select(F.count(F.lit(1)).alias("_total")).scalar()
-    present = [F.col(k).isNotNull() for k in keys]
-    keep = present[0]
-    for p in present[1:]:
-        keep = keep & p
-    counts = rows.filter(keep).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter((F.col("_n") > guard.min_rows) & (F.col("_n") * SHARE > total)).select(
-        *keys, F.lit(True).alias("_hot")
-    )
-
-
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    spread: str,
-    guard: Guard,
-    how: str = "left",
-) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "left") -> DataFrame:
     """Join ``left`` to a ``right`` with at most one row per key.
 
-    Rows with a null key are spread over ``salts`` partitions by ``spread`` (a column that varies
-    within a key). Hot keys of ``left`` are spread the same way and only their right rows, at most
-    SHARE - 1, are repeated once per salt; that bound is what makes the broadcast safe.
+    One shuffle of each side and one plan for every size. A row of ``left`` without a key finds nothing; such rows are
+    dealt by ``spread`` (a column that varies within a key) instead of meeting in one task. The partition of a hot key
+    is split by adaptive execution, which may do so because ``right`` has one row for it.
     """
     missing = F.lit(False)
     for k in keys:
         missing = missing | F.col(k).isNull()
-    part = F.pmod(F.xxhash64(spread), F.lit(guard.salts)).cast("int")
-
-    if not guard.active:
-        return left.join(right, keys, how)
-
-    hot = F.broadcast(hot_keys(left, keys, guard))
-    salted_left = (
-        left.join(hot, keys, "left")
-        .withColumn("_salt", F.when(missing | F.col("_hot"), part).otherwise(0))
-        .drop("_hot")
-    )
-    every = F.sequence(F.lit(0), F.lit(guard.salts - 1))
-    salted_right = (
-        right.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+    dealt = left.withColumn(
+        "_way", F.when(missing, F.pmod(F.xxhash64(spread), F.lit(NULL_WAYS))).otherwise(F.lit(-1)).cast("int")
     )
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    # from the key, so that the optimizer doesn't fold it away
+    found = right.withColumn("_way", F.when(~missing, F.lit(-1)).cast("int"))
+    return dealt.join(found, [*keys, "_way"], how).drop("_way")

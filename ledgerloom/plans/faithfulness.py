@@ -76,20 +76,32 @@ _IDENTIFIER_BEFORE = (
 _DATE_NEAR = r"\b20[0-9]{2}[-/][0-9]{1,2}[-/][0-9]{1,2}\b"
 _MONEY_WORD = r"\b(?:amount|tax|gst|tds|payment|charge|fee|balance)\b"
 _CONFIDENCE_REACH = 80
+_NEIGHBOURS = _CONFIDENCE_REACH // 4 + 2
 
 AMOUNTS = ("claimed_amount", "expected_amount")
 TAXES = ("claimed_tax", "expected_tax")
 
 
 def _occurrences(text: Column) -> Column:
-    """Each decimal of a text with everything before and after it."""
+    """Each decimal of a text with its surroundings.
+
+    A sentence part ends at a full stop, and every decimal holds one, so it reaches no further than the next decimal on
+    either side; the fixed reaches are at most ``_CONFIDENCE_REACH`` characters. A decimal and what separates it from
+    the next have at least four, so ``_NEIGHBOURS`` of them are enough, and a long text costs no more than its length.
+    """
     pieces = F.split(text, DECIMAL, -1)
     numbers = F.regexp_extract_all(text, F.lit(DECIMAL), F.lit(0))
 
+    def joined(start: Column, n: Column) -> Column:
+        both = F.zip_with(
+            F.slice(pieces, start, n), F.slice(numbers, start, n), lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))
+        )
+        return F.array_join(both, "")
+
     def at(number: Column, i: Column) -> Column:
-        earlier = F.zip_with(F.slice(pieces, 1, i), F.slice(numbers, 1, i), lambda p, n: F.concat(p, n))
-        before = F.concat(F.array_join(earlier, ""), F.get(pieces, i))
-        after = F.substr(text, F.length(before) + F.length(number) + 1)
+        start = F.greatest(i - _NEIGHBOURS + 1, F.lit(1))
+        before = F.concat(joined(start, i - start + 1), F.get(pieces, i))
+        after = joined(i + 2, F.lit(_NEIGHBOURS))
         return F.struct(number.alias("number"), before.alias("before"), after.alias("after"))
 
     return F.transform(numbers, at)

@@ -12,7 +12,7 @@ from ledgerloom.functions.money import AMOUNT, gst_on, money, within_amount
 from ledgerloom.functions.narration import BANK_REF_PREFIX, ref_txn_id
 from ledgerloom.operators.candidates import near_rows, scored_pairs
 from ledgerloom.operators.gates import gate_join
-from ledgerloom.operators.skew import OFF, Guard, lookup
+from ledgerloom.operators.skew import lookup
 from ledgerloom.plans.reports import percent
 from ledgerloom.session import stage
 
@@ -131,7 +131,7 @@ def tax_mismatch_precision(rows: DataFrame) -> DataFrame:
 SWEEP = tuple(range(60, 100, 5))
 
 
-def fuzzy_sweep(decided: DataFrame, bank: DataFrame, guard: Guard = OFF) -> DataFrame:
+def fuzzy_sweep(decided: DataFrame, bank: DataFrame) -> DataFrame:
     """Selection quality per similarity threshold among anchors that reach tier 3.
 
     The best row is the most similar one, ties by input order. Reaching tier 3 means some row scores
@@ -144,7 +144,7 @@ def fuzzy_sweep(decided: DataFrame, bank: DataFrame, guard: Guard = OFF) -> Data
     key = ["ref", "expected_net", "day"]
     asked = stage(anchors.select(*key).distinct(), "sweep-asked")
     anonymous = F.col("txn_id").isNull().alias("anonymous")
-    near = near_rows(asked, bank, (), guard)
+    near = near_rows(asked, bank, ())
     points = stage(
         near.groupBy("amount", F.col("day").alias("bank_day"), F.coalesce("narration", F.lit("")).alias("text")).agg(
             F.min(F.struct("src_pos", anonymous)).alias("first"), F.max(anonymous).alias("any_anonymous")
@@ -165,7 +165,7 @@ def fuzzy_sweep(decided: DataFrame, bank: DataFrame, guard: Guard = OFF) -> Data
         .agg(F.max(exact).alias("exists"))
     )
     answers = best.join(there, key, "left")
-    per_anchor = lookup(anchors, answers, key, "src_pos", guard)
+    per_anchor = lookup(anchors, answers, key, "src_pos")
     hit = [F.col("best.similarity") >= t for t in SWEEP]
     counts = per_anchor.agg(
         *[F.count_if(h & F.col("best.right")).alias(f"tp{t}") for h, t in zip(hit, SWEEP)],
@@ -356,10 +356,6 @@ def batch_digest(lines: DataFrame) -> DataFrame:
     return lines.agg(F.bit_xor(h).alias("xor_digest"), F.count("*").alias("lines"))
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def amount_control(decided: DataFrame) -> DataFrame:
     """The settlement amount control on its own: rows and value per outcome."""
     off = ~within_amount(F.col("bank.amount"), F.col("expected_net"))
@@ -369,5 +365,3 @@ def amount_control(decided: DataFrame) -> DataFrame:
         .groupBy("differs", F.col("context.amount_mismatch").alias("amount_mismatch"))
         .agg(F.count("*").alias("n"), F.sum((F.col("expected_net") - F.col("bank.amount")).cast(AMOUNT)).cast("decimal(28,2)").alias("gap"))
     )
-
-

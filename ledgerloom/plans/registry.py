@@ -53,7 +53,7 @@ class Job:
     @cached_property
     def exact(self) -> DataFrame:
         b = self.batch
-        return stage(K.exact_groups(b.pg, b.bank, b.invoice, guard=b.guard), "exact")
+        return stage(K.exact_groups(b.pg, b.bank, b.invoice), "exact")
 
     @cached_property
     def decided(self) -> DataFrame:
@@ -65,13 +65,13 @@ class Job:
 
     @property
     def accounts(self) -> DataFrame:
-        return R.bank_completeness(self.batch.bank, self.decided, self.batch.guard)
+        return R.bank_completeness(self.batch.bank, self.decided)
 
     @cached_property
     def attributed(self) -> DataFrame:
         b = self.batch
         native = Q.native_rows(b.bank).filter("utr is null")
-        return stage(attribute_bank_rows(native, b.pg, b.guard), "attributed")
+        return stage(attribute_bank_rows(native, b.pg), "attributed")
 
     @property
     def presence(self) -> DataFrame:
@@ -88,7 +88,7 @@ class Job:
     def _native_owner(self) -> DataFrame:
         """Owners of native-reference rows: by their own utr, else by narration."""
         raw = Q.native_rows(self.feeds["bank"])
-        direct = lookup(raw.filter("utr is not null"), self._utr_owner(self.feeds["pg"]), ["utr"], "src_pos", self.batch.guard)
+        direct = lookup(raw.filter("utr is not null"), self._utr_owner(self.feeds["pg"]), ["utr"], "src_pos")
         direct = direct.select("bank_ref", F.col("owner").alias("txn_id"))
         return direct.unionByName(self.attributed.select("bank_ref", "txn_id"))
 
@@ -105,7 +105,7 @@ class Job:
 
     @cached_property
     def replayed(self) -> DataFrame:
-        return stage(RP.replay_cases(self.feeds, self.cases, self.owned_bank, self.batch.guard), "replayed")
+        return stage(RP.replay_cases(self.feeds, self.cases, self.owned_bank), "replayed")
 
     @property
     def explanations(self) -> DataFrame:
@@ -155,7 +155,7 @@ class Job:
     def narrations(self) -> DataFrame:
         """Bank narrations with the id they ought to yield: their settlement's, where the text carries it."""
         b = self.batch
-        rows = lookup(b.bank.filter("utr is not null"), self._utr_owner(b.pg), ["utr"], "src_pos", b.guard, "inner")
+        rows = lookup(b.bank.filter("utr is not null"), self._utr_owner(b.pg), ["utr"], "src_pos", "inner")
         carries = F.contains(F.upper("narration"), F.col("owner"))
         return rows.select("src_pos", "narration", F.when(carries, F.col("owner")).alias("expected"))
 
@@ -230,7 +230,7 @@ def _tiers(j: Job, column: str) -> DataFrame:
 def _match_fuzzy(j: Job) -> DataFrame:
     b = j.batch
     open_rows = j.exact.filter("exact_tier is null")
-    hits = K.match_fuzzy(open_rows, b.bank, guard=b.guard)
+    hits = K.match_fuzzy(open_rows, b.bank)
     return hits.join(open_rows.select("src_pos", "txn_id"), "src_pos").select(
         "txn_id", F.col("f.n").alias("candidates"), F.col("f.row.bank_ref").alias("bank_ref")
     )
@@ -239,7 +239,7 @@ def _match_fuzzy(j: Job) -> DataFrame:
 def _narration_similarity(j: Job) -> DataFrame:
     b = j.batch
     asked = K.open_keys_of(j.exact.filter("exact_tier is null"))
-    points = K.fuzzy_points(asked, b.bank, (), b.guard)
+    points = K.fuzzy_points(asked, b.bank, ())
     pairs = K.scored_pairs(asked, points, (), C.FUZZY_MIN_SIMILARITY)
     return pairs.select("ref", "text", F.round("similarity", 2).alias("similarity")).distinct()
 
@@ -249,7 +249,7 @@ def _proposals(j: Job) -> DataFrame:
     ids = j.feeds["labels"].select("txn_id")
     made = ids.select(F.concat("txn_id", F.lit("X")).alias("txn_id"))
     rows = ids.unionByName(made).select(F.col("txn_id").alias("proposed_txn_id"), F.xxhash64("txn_id").alias("proposal_id"))
-    return K.proposal_lookup(rows, j.batch.bank, j.batch.guard).select("proposed_txn_id", "found", "bank_rows")
+    return K.proposal_lookup(rows, j.batch.bank).select("proposed_txn_id", "found", "bank_rows")
 
 
 def _rejected_candidates(j: Job) -> DataFrame:
@@ -336,7 +336,7 @@ def _ungrounded(j: Job) -> DataFrame:
 
 
 def _case_rows(j: Job) -> DataFrame:
-    rows = RP.case_rows(j.cases, j.feeds["pg"], j.owned_bank, j.feeds["invoice"], j.batch.guard)
+    rows = RP.case_rows(j.cases, j.feeds["pg"], j.owned_bank, j.feeds["invoice"])
     return RP.case_table(j.cases, rows).select("case_id", "txn_id", "category", "pg_rows", "bank_rows", "invoice_rows")
 
 
@@ -451,7 +451,7 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "rejected_labels": lambda j: Q.rejected_labels(j.labelled),
     "label_reachability": lambda j: Q.label_reachability(j.feeds["labels"]),
     "tier_by_category": lambda j: Q.tier_by_category(j.labelled),
-    "fuzzy_sweep": lambda j: Q.fuzzy_sweep(j.decided, j.batch.bank, j.batch.guard),
+    "fuzzy_sweep": lambda j: Q.fuzzy_sweep(j.decided, j.batch.bank),
     "dq_categories": lambda j: Q.dq_categories(j.feeds["labels"]),
     "dq_pg_gst": lambda j: Q.dq_pg_gst(j.batch.pg),
     "dq_tds_split": lambda j: Q.dq_tds_split(j.batch.pg),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.narration import ref_txn_id
 from ledgerloom.operators.attribution import attribute_bank_rows
 from ledgerloom.operators.ranking import global_rank
-from ledgerloom.operators.skew import OFF, Guard, lookup
+from ledgerloom.operators.skew import lookup
 from ledgerloom.plans.pipeline import batch_from_raw
 from ledgerloom.plans.quality import native_rows
 from ledgerloom.session import stage
@@ -30,17 +30,7 @@ def cases(labels: DataFrame) -> DataFrame:
     return stage(ranked.withColumn("case_id", F.concat(F.lit("E2E_"), padded)), "cases")
 
 
-def bank_owner(bank: DataFrame, pg: DataFrame, guard: Guard = OFF) -> DataFrame:
-    """Bank rows with the transaction they belong to: own reference first, else attribution by narration."""
-    native = native_rows(bank)
-    linked = attribute_bank_rows(native, pg, guard).select("bank_ref", F.col("txn_id").alias("attributed"))
-    once = linked.groupBy("bank_ref").agg(F.min("attributed").alias("attributed"))
-    return bank.join(once, "bank_ref", "left").withColumn(
-        "txn_id", F.coalesce(ref_txn_id(F.col("bank_ref")), F.col("attributed"))
-    ).drop("attributed")
-
-
-def case_rows(case_list: DataFrame, pg: DataFrame, bank: DataFrame, invoice: DataFrame, guard: Guard = OFF) -> DataFrame:
+def case_rows(case_list: DataFrame, pg: DataFrame, bank: DataFrame, invoice: DataFrame) -> DataFrame:
     """Every feed row with the case it belongs to: (case_id, source, src_pos, txn_id).
 
     A case stays a set of rows under one key; it is never folded into one nested value.
@@ -48,7 +38,7 @@ def case_rows(case_list: DataFrame, pg: DataFrame, bank: DataFrame, invoice: Dat
     key = case_list.select("txn_id", "case_id")
 
     def tagged(rows: DataFrame, source: str) -> DataFrame:
-        return lookup(rows.select("txn_id", "src_pos"), key, ["txn_id"], "src_pos", guard, "inner").select(
+        return lookup(rows.select("txn_id", "src_pos"), key, ["txn_id"], "src_pos", "inner").select(
             "case_id", F.lit(source).alias("source"), "src_pos", "txn_id"
         )
 
@@ -64,7 +54,7 @@ def case_table(case_list: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def replay_cases(
-    feeds: dict[str, DataFrame], case_list: DataFrame, owned_bank: DataFrame, guard: Guard = OFF
+    feeds: dict[str, DataFrame], case_list: DataFrame, owned_bank: DataFrame
 ) -> DataFrame:
     """The pipeline over every case at once, each seeing only its own rows.
 
@@ -74,9 +64,9 @@ def replay_cases(
     key = case_list.select("txn_id", "case_id")
     raw = {}
     for source, rows in (("pg", feeds["pg"]), ("bank", owned_bank), ("invoice", feeds["invoice"])):
-        mine = lookup(rows, key, ["txn_id"], "src_pos", guard, "inner")
+        mine = lookup(rows, key, ["txn_id"], "src_pos", "inner")
         raw[source] = from_table(mine, source, scope=("case_id",))
-    batch = batch_from_raw(raw, guard=guard, scope=("case_id",))
+    batch = batch_from_raw(raw, scope=("case_id",))
     decided = batch.decided().select(
         "case_id", F.col("txn_id").alias("decided_txn"), "status", "exception_code", "reason_codes", "confidence_score"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import config as C
 from ledgerloom.functions.money import MONEY, money, money_text
 from ledgerloom.operators.ranking import global_rank
-from ledgerloom.operators.skew import OFF, Guard, lookup
+from ledgerloom.operators.skew import lookup
 
 
 
@@ -198,7 +198,7 @@ def batch_summary(decided: DataFrame) -> DataFrame:
 # --- bank completeness -----------------------------------------------------------------------
 
 
-def bank_completeness(bank: DataFrame, decided: DataFrame, guard: Guard = OFF) -> DataFrame:
+def bank_completeness(bank: DataFrame, decided: DataFrame) -> DataFrame:
     """What became of each bank row: selected, second leg of a claimed transaction, or claimed by nothing."""
     chosen = decided.filter(F.col("bank").isNotNull())
     refs = chosen.select(F.col("bank.bank_ref").alias("bank_ref")).distinct().withColumn("picked", F.lit(True))
@@ -209,8 +209,8 @@ def bank_completeness(bank: DataFrame, decided: DataFrame, guard: Guard = OFF) -
         .withColumn("claimed", F.lit(True))
     )
     rows = bank.select("src_pos", "bank_ref", "txn_id", "amount", "utr", "narration")
-    rows = lookup(rows, refs, ["bank_ref"], "src_pos", guard)
-    rows = lookup(rows, txns, ["txn_id"], "src_pos", guard)
+    rows = lookup(rows, refs, ["bank_ref"], "src_pos")
+    rows = lookup(rows, txns, ["txn_id"], "src_pos")
     return rows.select(
         "bank_ref",
         F.when(F.col("picked"), "SELECTED").when(F.col("claimed"), "DUPLICATE_CREDIT").otherwise("ORPHANED").alias("disposition"),

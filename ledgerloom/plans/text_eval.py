@@ -132,7 +132,10 @@ def keyword_argument(question: Column, tool: Column) -> Column:
     """The id or status a question names, where its tool takes one."""
     q = F.lower(question)
     start = F.locate("txn_", q)
-    token = F.regexp_replace(F.upper(F.substr(question, start, F.lit(9))), r"^[ ?.,\-]+|[ ?.,\-]+$", "")
+    # an id has five to eight digits; anything else after the prefix is cut where the shortest id would end
+    known = F.nullif(F.regexp_extract(F.upper(question), "TXN_[0-9]{5,8}", 0), F.lit(""))
+    other = F.regexp_replace(F.upper(F.substr(question, start, F.lit(9))), r"^[ ?.,\-]+|[ ?.,\-]+$", "")
+    token = F.coalesce(known, other)
     status = F.lit(None).cast("string")
     for name in reversed(_STATUS_WORDS):
         status = F.when(F.contains(q, F.lit(name.replace("_", " ").lower())), name).otherwise(status)

@@ -24,10 +24,16 @@ def build_session(app: str = "ledgerloom", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh temporary one only where none is set."""
+    """The folder that driver and executors share, as the cluster names it.
+
+    A local session without one gets a fresh folder; elsewhere a missing setting is an error, since a machine-local
+    folder would lose rows.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="ledgerloom-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir()

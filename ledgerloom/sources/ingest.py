@@ -11,7 +11,7 @@ import os
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,11 +49,24 @@ def scan_json_array(spark: SparkSession, path: str) -> DataFrame:
 def scan_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON Lines feed, the splittable form for large batches.
 
-    ``src_pos`` is assigned directly on the file scan, so it follows file order and a re-run task
-    assigns the same values.
+    ``src_pos`` follows file name, place in the file and line, however the scan packs its splits. A line that isn't
+    JSON becomes a record that is its text, which validation quarantines.
     """
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("src_pos"), F.parse_json("value").alias("raw")
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    # one row for each split of a file, not for each line
+    splits = (
+        lines.groupBy("_path", "_block")
+        .agg(F.min("_row").alias("_first"))
+        .withColumn("_rank", F.row_number().over(Window.orderBy("_path", "_block")).cast("bigint") - 1)
+    )
+    return lines.join(splits, ["_path", "_block"]).select(
+        (F.shiftleft("_rank", 33) + F.col("_row") - F.col("_first")).alias("src_pos"),
+        F.coalesce(F.try_parse_json("value"), F.expr("cast(value as variant)")).alias("raw"),
     )
 
 
@@ -175,14 +188,6 @@ def ingest(raw: DataFrame, source: str) -> Ingested:
     return Ingested(source, valid, rejects)
 
 
-def load_batch(spark: SparkSession, folder: str) -> dict[str, Ingested]:
-    """The three feeds of one batch folder, by their fixed file names."""
-    return {
-        source: ingest(scan_json_array(spark, os.path.join(folder, name)), source)
-        for source, name in FEED_FILES.items()
-    }
-
-
 def all_rejects(batch: dict[str, Ingested]) -> DataFrame:
     return reduce(DataFrame.unionByName, [part.rejects for part in batch.values()])
 

@@ -6,6 +6,8 @@ Spark jobs summarise groups. Money, dates and lists are text on both sides.
 
 from __future__ import annotations
 
+import re
+
 # Each entry: name -> query. A query below may use any earlier one.
 CTES: dict[str, str] = {}
 
@@ -238,8 +240,14 @@ SELECT txn_id, status, CASE WHEN codes = 'NONE' THEN '' ELSE codes END AS reason
 
 def build(final: str) -> str:
     """``final`` with the chain of definitions it may use in front."""
-    chain = ", ".join(f"{name} AS MATERIALIZED ({sql.strip()})" if name in ("gate", "edge", "d", "sims", "open_pairs") else f"{name} AS ({sql.strip()})" for name, sql in CTES.items())
-    return f"WITH {chain} {final.strip()}"
+    needed, texts = set(), [final]
+    while texts:  # only the definitions it uses, directly or through others
+        used = set(re.findall(r"\w+", texts.pop())) & CTES.keys() - needed
+        needed |= used
+        texts += [CTES[n] for n in used]
+    kept = {name: sql for name, sql in CTES.items() if name in needed}
+    chain = ", ".join(f"{name} AS MATERIALIZED ({sql.strip()})" if name in ("gate", "edge", "d", "sims", "open_pairs") else f"{name} AS ({sql.strip()})" for name, sql in kept.items())
+    return f"WITH {chain} {final.strip()}" if kept else final.strip()
 
 
 def _v(column: str, kind: str = "DECIMAL(18,2)") -> str:
@@ -270,7 +278,7 @@ _TOOL = """CASE WHEN contains(q, 'txn_') THEN 'get_evidence'
 _STATUS_WORD = """CASE WHEN contains(q, 'human review') THEN 'HUMAN_REVIEW' WHEN contains(q, 'ambiguous') THEN 'AMBIGUOUS'
   WHEN contains(q, 'tax mismatch') THEN 'TAX_MISMATCH' WHEN contains(q, 'partial match') THEN 'PARTIAL_MATCH'
   WHEN contains(q, 'unmatched') THEN 'UNMATCHED' WHEN contains(q, 'matched') THEN 'MATCHED' END"""
-_ARG = f"""CASE tool WHEN 'get_evidence' THEN trim(upper(substr(q, instr(q, 'txn_'), 9)), ' ?.,-')
+_ARG = f"""CASE tool WHEN 'get_evidence' THEN COALESCE(nullif(regexp_extract(upper(q), 'TXN_[0-9]{{5,8}}'), ''), trim(upper(substr(q, instr(q, 'txn_'), 9)), ' ?.,-'))
   WHEN 'get_exceptions' THEN {_STATUS_WORD} END"""
 
 
@@ -357,8 +365,8 @@ FINAL: dict[str, str] = {
         SELECT 'invoice', 'own_id', count(*) FROM inv UNION ALL SELECT 'bank', link_method, count(*) FROM bank GROUP BY link_method""",
     "source_partitions": f"""SELECT 'pg' AS source, count(*) AS n, {_v('sum(amount)', 'DECIMAL(28,2)')} AS amount FROM pg UNION ALL
         SELECT 'bank', count(*), {_v('sum(amount)', 'DECIMAL(28,2)')} FROM bank UNION ALL SELECT 'invoice', count(*), {_v('sum(amount)', 'DECIMAL(28,2)')} FROM inv""",
-    "label_coverage": """SELECT txn_id, 'decisions' AS missing_from FROM lab WHERE txn_id NOT IN (SELECT txn_id FROM d) UNION ALL
-        SELECT txn_id, 'labels' FROM d WHERE txn_id NOT IN (SELECT txn_id FROM lab)""",
+    "label_coverage": """SELECT txn_id, 'decisions' AS missing_from FROM lab WHERE NOT EXISTS (SELECT 1 FROM pg WHERE pg.txn_id = lab.txn_id) UNION ALL
+        SELECT txn_id, 'labels' FROM pg WHERE NOT EXISTS (SELECT 1 FROM lab WHERE lab.txn_id = pg.txn_id)""",
     "distinct_rows": "SELECT value_date, count(*) AS n FROM (SELECT DISTINCT utr, credited_amount, value_date, narration FROM bank_raw) GROUP BY value_date",
     "match_exact_utr": """SELECT p.txn_id, count(*) AS candidates, count(*) >= 2 AND count(DISTINCT concat_ws('|', COALESCE(b.txn_id, '?'), CAST(b.amount AS VARCHAR), CAST(b.day AS VARCHAR))) = 1 AS duplicate
         FROM pg p JOIN bank b ON b.utr = p.utr GROUP BY p.txn_id""",

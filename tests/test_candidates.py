@@ -6,7 +6,6 @@ import pytest
 
 from ledgerloom.operators import blocking
 from ledgerloom.operators.candidates import candidate_sets
-from ledgerloom.operators.skew import OFF, Guard
 from tests import brute
 
 DAY0 = dt.date(2026, 8, 1)
@@ -66,11 +65,11 @@ def frames(spark, pg, bank, bills):
 
 
 @pytest.mark.parametrize(
-    "seed,guard,cell_pairs",
-    [(1, OFF, 10**9), (2, Guard(active=True, min_rows=1, salts=4), 0)],
+    "seed,cell_pairs",
+    [(1, 10**9), (2, 0)],
     ids=["plain", "salted-and-blocked"],
 )
-def test_candidate_sets_match_the_definitions(spark, monkeypatch, seed, guard, cell_pairs):
+def test_candidate_sets_match_the_definitions(spark, monkeypatch, seed, cell_pairs):
     monkeypatch.setattr(blocking.gated_pairs, "__defaults__", (cell_pairs,))
     pg, bank, bills = random_batch(seed)
     got = {
@@ -83,7 +82,7 @@ def test_candidate_sets_match_the_definitions(spark, monkeypatch, seed, guard, c
             "rivals": row.bank_ambiguity_count,
             "duplicate": row.duplicate_detected,
         }
-        for row in candidate_sets(*frames(spark, pg, bank, bills), guard=guard).collect()
+        for row in candidate_sets(*frames(spark, pg, bank, bills)).collect()
     }
     want = {p["pos"]: brute.candidates(p, bank, bills) for p in pg}
     assert len(got) == len(want)
