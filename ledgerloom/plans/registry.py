@@ -153,9 +153,10 @@ class Job:
 
     @property
     def narrations(self) -> DataFrame:
-        """Bank narrations with the id they ought to yield: their settlement's, where the text carries it."""
+        """Every bank narration with the id it ought to yield: its settlement's, where the text carries it; else none,
+        as for rows without a UTR, whose right answer is to abstain."""
         b = self.batch
-        rows = lookup(b.bank.filter("utr is not null"), self._utr_owner(b.pg), ["utr"], "src_pos", "inner")
+        rows = lookup(b.bank, self._utr_owner(b.pg), ["utr"], "src_pos")
         carries = F.contains(F.upper("narration"), F.col("owner"))
         return rows.select("src_pos", "narration", F.when(carries, F.col("owner")).alias("expected"))
 
@@ -198,7 +199,8 @@ def _two(column: str):
     return M.money(F.col(column))
 
 
-_PG_RAW = ("src_pos", "settlement_id", "txn_id", "merchant_id", "payment_method", "utr")
+_PG_RAW = ("src_pos", "settlement_id", "txn_id", "merchant_id", "payment_method", "utr", "merchant_gstin")
+_PG_MONEY = ("gross_amount", "pg_fee", "gst_on_fee", "tds_withheld", "net_payout", "merchant_ytd_gross_opening")
 
 
 def _ingest_valid(j: Job) -> DataFrame:
@@ -364,9 +366,9 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "ingest_valid": _ingest_valid,
     "ingest_rejects": lambda j: j.batch.rejects.select("source", "src_pos", "message", "error_code"),
     "ingest_summary": lambda j: ingest_summary(j.batch.raw),
-    "scan_pg": lambda j: j.batch.ingested["pg"].valid.select(*_PG_RAW, _two("net_payout").alias("net_payout")),
-    "scan_bank": lambda j: j.batch.ingested["bank"].valid.select("src_pos", "bank_ref", "utr", "value_date", "narration", _two("bank_charges").alias("bank_charges")),
-    "scan_invoice": lambda j: j.batch.ingested["invoice"].valid.select("src_pos", "invoice_id", "txn_id", "period", _two("claimed_gst").alias("claimed_gst")),
+    "scan_pg": lambda j: j.batch.ingested["pg"].valid.select(*_PG_RAW, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *[_two(c).alias(c) for c in _PG_MONEY]),
+    "scan_bank": lambda j: j.batch.ingested["bank"].valid.select("src_pos", "bank_ref", "utr", "value_date", "narration", _two("credited_amount").alias("credited_amount"), _two("bank_charges").alias("bank_charges")),
+    "scan_invoice": lambda j: j.batch.ingested["invoice"].valid.select("src_pos", "invoice_id", "txn_id", "irn", "gstin", "period", *[_two(c).alias(c) for c in ("invoice_amount", "claimed_gst", "claimed_tds")]),
     "scan_labels": lambda j: j.feeds["labels"],
     "batch_summary": lambda j: R.batch_summary(j.decided),
     "decisions_json": lambda j: as_json(_decisions(j)),

@@ -66,7 +66,7 @@ FROM (SELECT *, CASE WHEN slot = 10 THEN substr(utr, 1, at_pos - 1)
 JOIN (VALUES (0), (1)) c(copy) ON c.copy = 0 OR slot = 1"""
 
 CTES["inv_raw"] = """
-SELECT k * 2 + sibling AS src_pos, 'INV_' || txn_id AS invoice_id, txn_id,
+SELECT k * 2 + sibling AS src_pos, 'INV_' || txn_id AS invoice_id, txn_id, sha256(txn_id) AS irn, '29AAAAA' || substr(merchant_id, 7, 3) || 'A1Z5' AS gstin,
   CAST(CAST(fee + gst AS DECIMAL(18,2)) AS VARCHAR) AS invoice_amount,
   CAST(CAST(CASE WHEN slot = 5 THEN round(fee * CAST(0.12 AS DECIMAL(3,2)), 2) ELSE gst END AS DECIMAL(18,2)) AS VARCHAR) AS claimed_gst,
   CAST(CAST(CASE WHEN slot = 6 THEN round(gross * CAST(0.01 AS DECIMAL(3,2)), 2) ELSE tds END AS DECIMAL(18,2)) AS VARCHAR) AS claimed_tds,
@@ -254,7 +254,8 @@ def _v(column: str, kind: str = "DECIMAL(18,2)") -> str:
     return f"CAST(CAST({column} AS {kind}) AS VARCHAR)"
 
 
-_P = "SELECT src_pos, settlement_id, txn_id, merchant_id, payment_method, utr, net_payout FROM pg_raw WHERE TRY_CAST(gross_amount AS DECIMAL(18,4)) >= 0"
+_MONEY = ", ".join(f"{_v(c)} AS {c}" for c in ("gross_amount", "pg_fee", "gst_on_fee", "tds_withheld", "net_payout", "merchant_ytd_gross_opening"))
+_P = f"SELECT src_pos, settlement_id, txn_id, merchant_id, payment_method, utr, '29AAAAA' || substr(merchant_id, 7, 3) || 'A1Z5' AS merchant_gstin, {_MONEY}, strftime(CAST(\"timestamp\" AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS \"timestamp\" FROM pg_raw WHERE TRY_CAST(gross_amount AS DECIMAL(18,4)) >= 0"
 _SOURCES = "'pg' || CASE WHEN has_b THEN ',bank' ELSE '' END || CASE WHEN has_i THEN ',invoice' ELSE '' END"
 _PCT = "CAST(round(CAST({a} AS DECIMAL(30,6)) * 100 / CAST({b} AS DECIMAL(30,6)), {n}) AS DOUBLE)"
 _BUCKET = """CASE status WHEN 'MATCHED' THEN 'settled_and_verified' WHEN 'PARTIAL_MATCH' THEN 'awaiting_verification'
@@ -296,7 +297,7 @@ SELECT src_pos, narration, CASE WHEN contains(upper(narration), p_txn) THEN p_tx
   COALESCE(nullif(upper(regexp_extract(narration, '(?i)TXN_[0-9]{5,8}')), ''),
            nullif(upper(regexp_extract(narration, '(?i)TXN-[0-9]{4}-[0-9]{4,8}')), ''),
            nullif(upper(regexp_extract(narration, '(?i)PYT_[0-9]{7,8}')), '')) AS predicted
-FROM (SELECT b.src_pos, b.narration, p.txn_id AS p_txn FROM bank b JOIN pg p ON b.utr = p.utr)"""
+FROM (SELECT b.src_pos, b.narration, p.txn_id AS p_txn FROM bank b LEFT JOIN pg p ON b.utr = p.utr)"""
 _QUALITY = """count_if(predicted IS NOT DISTINCT FROM expected) AS correct, count(expected) AS positive_cases,
   count_if(expected IS NOT NULL AND predicted IS NOT DISTINCT FROM expected) AS true_positive, count(predicted) AS proposed,
   count_if(predicted IS NOT NULL AND predicted IS DISTINCT FROM expected) AS false_proposals"""
@@ -334,8 +335,8 @@ FINAL: dict[str, str] = {
               SELECT 'bank', (SELECT count(*) FROM bank), (SELECT count(*) FROM bank_raw) UNION ALL
               SELECT 'invoice', (SELECT count(*) FROM inv), (SELECT count(*) FROM inv_raw)) s""",
     "scan_pg": _P,
-    "scan_bank": "SELECT src_pos, bank_ref, utr, CAST(day AS VARCHAR) AS value_date, narration, '0.00' AS bank_charges FROM bank",
-    "scan_invoice": f"SELECT src_pos, invoice_id, txn_id, period, {_v('gst')} AS claimed_gst FROM inv",
+    "scan_bank": "SELECT src_pos, bank_ref, utr, CAST(day AS VARCHAR) AS value_date, narration, CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR) AS credited_amount, '0.00' AS bank_charges FROM bank",
+    "scan_invoice": f"SELECT src_pos, invoice_id, txn_id, irn, gstin, period, {_v('invoice_amount')} AS invoice_amount, {_v('claimed_gst')} AS claimed_gst, {_v('claimed_tds')} AS claimed_tds FROM inv_raw",
     "scan_labels": "SELECT txn_id, expected_status, expected_exception_code, category FROM lab",
     "batch_summary": """SELECT 'totals' AS section, 'batch' AS key, '{"total":' || count(*) || ',"matched":' || count_if(status = 'MATCHED') || '}' AS document FROM d
         UNION ALL SELECT 'by_status', status, '{"n":' || count(*) || '}' FROM d GROUP BY status
