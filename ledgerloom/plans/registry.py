@@ -70,8 +70,7 @@ class Job:
     @cached_property
     def attributed(self) -> DataFrame:
         b = self.batch
-        native = Q.native_rows(b.bank).filter("utr is null")
-        return stage(attribute_bank_rows(native, b.pg), "attributed")
+        return stage(attribute_bank_rows(Q.native_rows(b.bank), b.pg), "attributed")
 
     @property
     def presence(self) -> DataFrame:
@@ -86,11 +85,8 @@ class Job:
 
     @property
     def _native_owner(self) -> DataFrame:
-        """Owners of native-reference rows: by their own utr, else by narration."""
-        raw = Q.native_rows(self.feeds["bank"])
-        direct = lookup(raw.filter("utr is not null"), self._utr_owner(self.feeds["pg"]), ["utr"], "src_pos")
-        direct = direct.select("bank_ref", F.col("owner").alias("txn_id"))
-        return direct.unionByName(self.attributed.select("bank_ref", "txn_id"))
+        """Owners of native-reference rows by narration."""
+        return self.attributed.select("bank_ref", "txn_id")
 
     @cached_property
     def cases(self) -> DataFrame:

@@ -132,7 +132,11 @@ WHERE abs(date_diff('day', p.day, b.day)) <= 3"""
 CTES["open_pairs"] = """
 SELECT g.a, g.b, p.utr AS ref, b.narration AS txt FROM gate g JOIN pg p ON p.src_pos = g.a JOIN bank b ON b.src_pos = g.b
 WHERE NOT EXISTS (SELECT 1 FROM e1 WHERE e1.a = g.a) AND NOT EXISTS (SELECT 1 FROM e2 WHERE e2.a = g.a)"""
-CTES["sims"] = """
+
+
+def _similarity(pairs: str) -> str:
+    """Similarity of the distinct (ref, txt) of ``pairs``."""
+    return f"""
 SELECT ref, txt, list_max(list_transform(range(2 - n, m + 1), lambda s:
     200.0 * (n - bit_count(list_reduce(list_slice(masks, greatest(s, 1), least(s + n - 1, m)),
        lambda v, q: ((v + (v & q)) | (v & ~q)) & ones, ones)))
@@ -140,7 +144,10 @@ SELECT ref, txt, list_max(list_transform(range(2 - n, m + 1), lambda s:
 FROM (SELECT *, (CAST(1 AS BIGINT) << CAST(n AS INTEGER)) - 1 AS ones,
     list_transform(string_split(txt, ''), lambda c: CAST(list_sum(list_transform(range(0, n), lambda i:
       CASE WHEN substr(ref, i + 1, 1) = c THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE CAST(0 AS BIGINT) END)) AS BIGINT)) AS masks
-  FROM (SELECT DISTINCT ref, txt, length(ref) AS n, length(txt) AS m FROM open_pairs))"""
+  FROM (SELECT DISTINCT ref, txt, length(ref) AS n, length(txt) AS m FROM {pairs}))"""
+
+
+CTES["sims"] = _similarity("open_pairs")
 CTES["e3"] = """
 SELECT o.a, o.b, 'fuzzy' AS tier FROM open_pairs o JOIN sims s ON o.ref = s.ref AND o.txt = s.txt WHERE s.sim >= 85"""
 CTES["edge"] = "SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3"
@@ -228,6 +235,25 @@ SELECT l.txn_id, l.category, (SELECT count(*) FROM pg_raw p WHERE p.txn_id = l.t
   COALESCE(o.n, 0) AS bank_rows, (SELECT count(*) FROM inv_raw i WHERE i.txn_id = l.txn_id) AS invoice_rows
 FROM lab l LEFT JOIN (SELECT s.txn_id, count(*) AS n FROM bank_raw b JOIN settle s ON b.src_pos // 4 = s.k AND (b.src_pos % 4) // 2 = s.sibling
   GROUP BY s.txn_id) o ON o.txn_id = l.txn_id"""
+# Attribution by narration alone. A reference is UTR or UTS and nine digits; a pair at 85 or more keeps four of them in a row.
+CTES["native"] = "SELECT src_pos, bank_ref, narration FROM bank WHERE NOT starts_with(bank_ref, 'BANKREF_')"
+CTES["refs"] = "SELECT utr AS ref, min(src_pos) AS pos, arg_min(txn_id, src_pos) AS txn_id FROM pg WHERE utr <> '' GROUP BY utr"
+CTES["link_pairs"] = """
+SELECT DISTINCT r.ref, t.txt FROM (SELECT ref, substr(ref, i, 4) AS g FROM (SELECT ref, unnest(range(1, length(ref) - 2)) AS i FROM refs)) r
+JOIN (SELECT txt, substr(txt, i, 4) AS g FROM (SELECT txt, unnest(range(1, length(txt) - 2)) AS i FROM (SELECT DISTINCT narration AS txt FROM native))) t
+  ON r.g = t.g WHERE regexp_matches(r.g, '^[0-9]{4}$')"""
+CTES["link_sims"] = _similarity("link_pairs")
+CTES["attr"] = """
+SELECT n.bank_ref, n.narration, x.txn_id, x.sim FROM native n LEFT JOIN (
+  SELECT s.txt, s.sim, r.txn_id, row_number() OVER (PARTITION BY s.txt ORDER BY s.sim DESC, r.pos) AS rn
+  FROM link_sims s JOIN refs r ON r.ref = s.ref WHERE s.sim >= 85) x ON x.txt = n.narration AND x.rn = 1"""
+CTES["presence"] = """
+SELECT l.txn_id, l.category, COALESCE(p.n, 0) AS pg_rows, COALESCE(b.n, 0) AS bank_rows, COALESCE(i.n, 0) AS invoice_rows
+FROM lab l LEFT JOIN (SELECT txn_id, count(*) AS n FROM pg_raw GROUP BY txn_id) p ON p.txn_id = l.txn_id
+LEFT JOIN (SELECT txn_id, count(*) AS n FROM (
+    SELECT nullif(split_part(substr(bank_ref, 9), '_DUP', 1), '') AS txn_id FROM bank_raw WHERE starts_with(bank_ref, 'BANKREF_')
+    UNION ALL SELECT txn_id FROM attr) GROUP BY txn_id) b ON b.txn_id = l.txn_id
+LEFT JOIN (SELECT txn_id, count(*) AS n FROM inv_raw GROUP BY txn_id) i ON i.txn_id = l.txn_id"""
 CTES["facts"] = """
 SELECT txn_id, status, CASE WHEN codes = 'NONE' THEN '' ELSE codes END AS reason_codes, total AS confidence_score,
   CAST(CAST(b_amount AS DECIMAL(18,2)) AS VARCHAR) AS claimed_amount,
@@ -246,7 +272,7 @@ def build(final: str) -> str:
         needed |= used
         texts += [CTES[n] for n in used]
     kept = {name: sql for name, sql in CTES.items() if name in needed}
-    chain = ", ".join(f"{name} AS MATERIALIZED ({sql.strip()})" if name in ("gate", "edge", "d", "sims", "open_pairs") else f"{name} AS ({sql.strip()})" for name, sql in kept.items())
+    chain = ", ".join(f"{name} AS MATERIALIZED ({sql.strip()})" if name in ("gate", "edge", "d", "sims", "open_pairs", "link_sims", "attr") else f"{name} AS ({sql.strip()})" for name, sql in kept.items())
     return f"WITH {chain} {final.strip()}" if kept else final.strip()
 
 
@@ -468,6 +494,18 @@ FINAL: dict[str, str] = {
     "dq_categories": "SELECT category, count(*) AS actual FROM lab GROUP BY category",
     "dq_pg_gst": f"SELECT txn_id, {_v('gst')} AS actual_gst, {_v('round(fee * 0.18, 2)')} AS expected_gst FROM pg WHERE abs(round(fee * 0.18, 2) - gst) > 0.01",
     "dq_tds_split": "SELECT count_if(tds = 0) AS zero_tds, count_if(tds > 0) AS nonzero_tds, count_if(tds > 0) > 0 AS ok FROM pg",
+    "attribute_bank_rows": "SELECT bank_ref, txn_id, round(sim, 2) AS similarity FROM attr",
+    "dq_presence": "SELECT * FROM presence",
+    "dq_referential": """SELECT * FROM presence WHERE NOT CASE category WHEN 'corrupted' THEN true
+        WHEN 'missing_in_source' THEN pg_rows > 0 AND (bank_rows > 0) <> (invoice_rows > 0) ELSE pg_rows > 0 AND bank_rows > 0 AND invoice_rows > 0 END""",
+    "dq_corrupted_similarity": """SELECT a.txn_id, a.bank_ref, round(a.sim, 2) AS similarity, a.sim >= 85 AS recoverable, NOT contains(a.narration, 'UTR') AS prefix_corrupted
+        FROM attr a JOIN lab l ON l.txn_id = a.txn_id WHERE l.category = 'reference_mismatch_fuzzy'""",
+    "numeric_literals": r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(COALESCE(text, ''),
+          '(?:^|[^A-Za-z0-9_])([₹$€£]?\s*-?(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:%\B|\b))', 1), lambda t:
+        CASE WHEN contains(t, '-') AND ltrim(rtrim(regexp_replace(t, '[^0-9.]', '', 'g'), '.'), '0.') <> '' THEN '-' ELSE '' END
+        || COALESCE(nullif(ltrim(regexp_extract(regexp_replace(t, '[^0-9.]', '', 'g'), '^([0-9]*)', 1), '0'), ''), '0')
+        || CASE WHEN rtrim(regexp_extract(t, '\.([0-9]*)', 1), '0') = '' THEN '' ELSE '.' || rtrim(regexp_extract(t, '\.([0-9]*)', 1), '0') END))), ',') AS numbers
+        FROM documents""",
     "dq_duplicate_rows": "SELECT txn_id, bank_rows FROM rowcount WHERE category = 'duplicate' AND bank_rows <> 2",
     "dq_fuzzy_reachable": f"SELECT bank_ref, label_txn, 'exact' AS problem FROM ({_BANK_LINK}) WHERE utr IS NOT NULL OR bank_txn IS NOT NULL OR narration = ''",
     "dq_collisions": f"""SELECT {_v('p.amount')} AS gross, CAST(p.day AS VARCHAR) AS day, count(*) AS n, count(*) >= 2 AS genuine FROM lab l JOIN pg p ON p.txn_id = l.txn_id
