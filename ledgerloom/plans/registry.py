@@ -335,7 +335,7 @@ def _ungrounded(j: Job) -> DataFrame:
 
 def _case_rows(j: Job) -> DataFrame:
     rows = RP.case_rows(j.cases, j.feeds["pg"], j.owned_bank, j.feeds["invoice"])
-    return RP.case_table(j.cases, rows).select("case_id", "txn_id", "category", "pg_rows", "bank_rows", "invoice_rows")
+    return RP.case_table(j.cases, rows).select("case_id", "txn_id", "category", "expected_status", "expected_exception_code", "pg_rows", "bank_rows", "invoice_rows")
 
 
 def _distinct_rows(j: Job) -> DataFrame:

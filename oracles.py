@@ -496,6 +496,10 @@ FINAL: dict[str, str] = {
     "dq_tds_split": "SELECT count_if(tds = 0) AS zero_tds, count_if(tds > 0) AS nonzero_tds, count_if(tds > 0) > 0 AS ok FROM pg",
     "attribute_bank_rows": "SELECT bank_ref, txn_id, round(sim, 2) AS similarity FROM attr",
     "dq_presence": "SELECT * FROM presence",
+    "case_table": """SELECT 'E2E_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS case_id,
+        txn_id, category, expected_status, expected_exception_code, pg_rows, bank_rows, invoice_rows
+        FROM (SELECT p.*, l.expected_status, l.expected_exception_code, row_number() OVER (ORDER BY p.txn_id) AS n
+              FROM presence p JOIN lab l ON l.txn_id = p.txn_id)""",
     "dq_referential": """SELECT * FROM presence WHERE NOT CASE category WHEN 'corrupted' THEN true
         WHEN 'missing_in_source' THEN pg_rows > 0 AND (bank_rows > 0) <> (invoice_rows > 0) ELSE pg_rows > 0 AND bank_rows > 0 AND invoice_rows > 0 END""",
     "dq_corrupted_similarity": """SELECT a.txn_id, a.bank_ref, round(a.sim, 2) AS similarity, a.sim >= 85 AS recoverable, NOT contains(a.narration, 'UTR') AS prefix_corrupted
