@@ -83,3 +83,17 @@ def test_sinks_round_trip(spark, tmp_path):
     assert spark.read.schema(rows.schema).json(str(tmp_path / "j")).count() == 2
     back = spark.read.option("header", True).csv(str(tmp_path / "c"))
     assert back.filter(F.col("b").isNull()).count() == 1
+
+
+def test_json_lines_keep_file_order_and_broken_lines(spark, tmp_path):
+    from ledgerloom.sources.ingest import ingest, scan_json_lines
+
+    good = {"invoice_id": "I", "txn_id": "T", "invoice_amount": "1.00", "claimed_gst": "0", "claimed_tds": "0", "period": "2026-08"}
+    rows = [json.dumps({**good, "invoice_id": f"a{i}"}) for i in range(3)]
+    (tmp_path / "a.jsonl").write_text("\n".join([rows[0], '{"invoice_id": ', rows[2]]) + "\n")
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({**good, "invoice_id": f"b{i}"}) + "\n" for i in range(400)))
+    out = ingest(scan_json_lines(spark, str(tmp_path)), "invoice")
+    names = [r.invoice_id for r in out.valid.orderBy("src_pos").collect()]
+    assert names == ["a0", "a2", *[f"b{i}" for i in range(400)]]
+    (bad,) = out.rejects.collect()
+    assert "invoice_id" in bad.raw and bad.src_pos == 1
