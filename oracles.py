@@ -578,13 +578,14 @@ FINAL["explanation_summary"] = f"""SELECT count(*) AS total, count(*) AS status_
 FINAL["batch_digest"] = """SELECT bit_xor(CAST('0x' || substr(md5(line), 1, 15) AS BIGINT)) AS xor_digest, count(*) AS lines
     FROM (SELECT concat_ws('|', txn_id, status, code, codes, CAST(total AS VARCHAR), rule) AS line FROM d)"""
 FINAL["faithfulness_report"] = f"""SELECT measure, CAST(cases AS BIGINT) AS cases, total, CAST(round(CAST(cases AS DECIMAL(30,6)) * 100 / CAST(total AS DECIMAL(30,6)), 4) AS DOUBLE) AS rate_percent
-  FROM (SELECT count(*) AS total, count(*) AS generation_success, count_if(unsupported_claims <> '') AS safety_failure, CAST(0 AS BIGINT) AS contradiction,
+  FROM (SELECT count(*) AS total, (SELECT count(*) FROM d WHERE src_pos % 9 <> 0) AS generation_success, count_if(unsupported_claims <> '') AS safety_failure, CAST(0 AS BIGINT) AS contradiction,
       count_if(unsupported_claims <> '') AS unsupported_claim, count_if(unsupported_claims = '' AND missing_facts = '') AS semantic_faithfulness,
       count(*) AS status_preserved, count_if(amounts_preserved) AS amounts_preserved, count(*) AS tax_preserved, count_if(confidence_preserved) AS confidence_preserved,
       count_if(reason_codes_preserved) AS reason_codes_preserved, count(*) AS evidence_preserved FROM ({_SCORED}))
   UNPIVOT (cases FOR measure IN (generation_success, safety_failure, contradiction, unsupported_claim, semantic_faithfulness, status_preserved, amounts_preserved,
     tax_preserved, confidence_preserved, reason_codes_preserved, evidence_preserved))"""
-FINAL["case_alignment"] = "SELECT txn_id AS case_id, FALSE AS in_dataset, FALSE AS in_generated, FALSE AS in_scored FROM d WHERE FALSE"
+FINAL["case_alignment"] = """SELECT txn_id AS case_id, TRUE AS in_dataset, src_pos % 11 <> 0 AS in_generated, src_pos % 13 <> 0 AS in_scored
+  FROM d WHERE src_pos % 11 = 0 OR src_pos % 13 = 0"""
 FINAL["faithfulness_gaps"] = f"""SELECT 'material_fact_gap' AS gap, txn_id AS case_id FROM ({_SCORED}) WHERE missing_facts <> ''
     UNION ALL SELECT 'reason_code_semantic_gap', txn_id FROM ({_SCORED}) WHERE NOT reason_codes_preserved"""
 
