@@ -58,6 +58,16 @@ def id_remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
 
 
+def bounded_sample(df: DataFrame, columns: list[str], by: str, rows: int) -> list:
+    """At most ``rows`` rows, in the order of the hash of column ``by``: one, the smallest, of each of ``rows`` hash
+    buckets. Aggregated before it is collected, so neither a task nor the driver gets more, whatever the input."""
+    h = F.xxhash64(by)
+    picked = df.groupBy(F.pmod(h, F.lit(rows)).alias("bucket__")).agg(
+        F.min_by(F.struct(*columns), h).alias("row__"), F.min(h).alias("hash__")
+    )
+    return [r.row__ for r in sorted(picked.collect(), key=lambda r: r.hash__)]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores as needed so that no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import batch, map_batches, staged, table
+from ledgerloom.llm.common import batch, bounded_sample, map_batches, staged, table
 
 #: Orderings, dimensions and bits of a curve (63 bits of key), ranges of an ordering, ranges on either side of a query's.
 CURVES, DIMS, BITS, BLOCKS, SIDE = 12, 7, 9, 64, 4
@@ -205,7 +205,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     curves = {}
     for d in dims:
-        rows = index.where(F.col("dim") == d.dim).select("vec").orderBy(F.xxhash64("cls"), "cls").limit(FIT_ROWS).collect()
+        rows = bounded_sample(index.where(F.col("dim") == d.dim), ["vec"], "cls", FIT_ROWS)
         sample = np.stack([np.frombuffer(r.vec, kind) for r in rows]).astype(float)
         curves[d.dim] = Curves(sample, d.radius2)
     keyed = staged(_keyed(index, curves, kind), "vector-keys")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import batch, fresh, map_batches, staged, table
+from ledgerloom.llm.common import batch, bounded_sample, fresh, map_batches, staged, table
 
 #: Bound of the labelled rows that the list is fitted on.
 FIT_ROWS = 20_000
@@ -210,20 +210,18 @@ def learn(x: np.ndarray, bad: np.ndarray) -> DecisionList:
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> DecisionList:
-    """The list learned from at most ``FIT_ROWS`` labelled rows, those with the smallest hashed ids."""
+    """The list learned from at most ``FIT_ROWS`` labelled rows, one of each bucket of hashed ids."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id")
         .agg(F.min("quality").alias("label__"))
     )
-    rows = (
-        stats.join(known, "doc_id")
-        .select((F.col("label__") == 0).alias("bad"), *[ratio(n).alias(n) for n, _, _ in RATIOS], "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *[n for n, _, _ in RATIOS])
-        .limit(FIT_ROWS)
-        .collect()
+    names = [n for n, _, _ in RATIOS]
+    seen = stats.join(known, "doc_id").select(
+        "doc_id", (F.col("label__") == 0).alias("bad"), *[ratio(n).alias(n) for n in names]
     )
-    x = np.array([[r[n] for n, _, _ in RATIOS] for r in rows], float).reshape(len(rows), len(RATIOS))
+    rows = bounded_sample(seen, ["bad", *names], "doc_id", FIT_ROWS)
+    x = np.array([[r[n] for n in names] for r in rows], float).reshape(len(rows), len(RATIOS))
     return learn(x, np.array([r.bad for r in rows], bool))
 
 
