@@ -9,6 +9,13 @@ of them in a short list, and each with the first ``HUBS`` in a long one. Either
 how often its lists bring two documents together; one meeting is chance, unless one of the two has few keys. Set sizes
 and sketches of the union drop clear misses; full sets confirm every link. Components of confirmed links give the groups.
 
+What hubs miss is compared afterwards, through runs of ``RUN`` neighbouring retained values (two in small sets). Only
+lists with members of several components count. Their hubs are the members that meet most others of foreign components,
+so the original of a family of independent copies comes first. Then lists of up to ``WHOLE`` members are compared in
+full; members of longer ones meet where they share two such lists (one, in small sets), with four times the hubs in
+every round until no list has members that were not compared. No list is cut; where a family has no original, its
+pairs are all compared.
+
 Scale: lists are never gathered: a task sees them as sorted rows and keeps a few hubs. Before the shuffle, a list that
 is long within one batch passes only its hubs on. A set of a third of all rows is one class. Joins are on ids and left
 to adaptive skew handling.
@@ -24,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import batch, fresh, map_batches, staged, table
@@ -41,6 +48,9 @@ SHORT, HUBS, LOCAL = 8, 4, 64
 #: Meetings in lists that a pair needs, and the set size under which one is enough. With 16 keys or more, fewer than two
 #: common ones have a chance below 1e-3 only at the very border of 0.75 and below 1e-6 with all 31.
 MEETINGS, FEW = 2, 24
+#: The rest: values in a run; sets that have runs of two (below the second) and of RUN (from the first on), so that any
+#: linked two have one kind in common; at 0.75 no common run of RUN has a chance below 1e-5. Lists compared in full.
+RUN, MIDDLE, WHOLE = 3, (36, 48), 64
 _LONG = pa.int64()
 
 
@@ -236,6 +246,99 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs, task, "id long, members binary")
 
 
+def run_entries(reps: DataFrame) -> DataFrame:
+    """(key, rep, n) from (rep, sketch, n): runs of neighbouring values among the ``KEYS`` smallest."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for i, raw in enumerate(rows.column(1).to_pylist()):
+                x = np.frombuffer(raw, np.uint64)
+                for width in [2] * (len(x) < MIDDLE[1]) + [RUN] * (len(x) >= MIDDLE[0]):
+                    values = x[:KEYS]
+                    many = max(0, len(values) - width + 1)
+                    key = np.full(many, width, np.uint64)
+                    for k in range(width):
+                        key = mix(key * np.uint64(3) + values[k : k + many])
+                    keys.append(key)
+                    of.append(np.full(many, i))
+            at = pa.array(np.concatenate(of))
+            yield batch(
+                key=pa.array(np.concatenate(keys).view(np.int64)), rep=rows.column(0).take(at), n=rows.column(2).take(at)
+            )
+
+    return map_batches(reps.select("rep", "sketch", "n"), task, "key long, rep long, n long")
+
+
+def _open_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, n, comp, members) of the lists that have members of several components."""
+    placed = (
+        entries.select("key", "rep", "n")
+        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    )
+    lists = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
+    return staged(placed.join(lists.where("lo < hi").select("key", "members"), "key"), "open-lists")
+
+
+def _hub_pairs(lists: DataFrame, hubs: int) -> DataFrame:
+    """Pairs (a, b) of every member of a list with the ``hubs`` that meet most members of foreign components."""
+    own = lists.groupBy("key", "comp").agg(F.count("*").alias("own"))
+    weights = lists.join(own, ["key", "comp"]).groupBy("rep").agg(F.sum(F.col("members") - F.col("own")).alias("weight"))
+    first = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
+    chosen = (
+        lists.join(weights, "rep")
+        .withColumn("nth", F.row_number().over(first))
+        .where(F.col("nth") <= hubs)
+        .select("key", F.col("rep").alias("hub"), F.col("n").alias("n_hub"), F.col("comp").alias("comp_hub"))
+    )
+    sized = 100 * F.least("n", "n_hub") >= PERCENT * F.greatest("n", "n_hub")
+    return (
+        lists.join(chosen, "key")
+        .where((F.col("comp") != F.col("comp_hub")) & sized)
+        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+        .distinct()
+    )
+
+
+def _twice(lists: DataFrame) -> DataFrame:
+    """(key, rep, n): lists of the members that two lists have in common; small sets stay in each list as well."""
+    left = lists.select("rep", "n", F.col("key").alias("k1"))
+    right = lists.select("rep", F.col("key").alias("k2"))
+    both = left.join(right, "rep").where("k1 < k2").select(F.xxhash64("k1", "k2").alias("key"), "rep", "n")
+    return both.unionByName(lists.where(F.col("n") < MIDDLE[0]).select("key", "rep", "n"))
+
+
+def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (u, v) among compared pairs."""
+    pairs = staged(_estimated(pairs, reps), "pairs")
+    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(nodes, "id", "left_semi")
+    return staged(_confirmed(pairs, full_sets(texts)), "links")
+
+
+def _with_rest(docs: DataFrame, reps: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) after comparing what the hubs of the first rounds left apart."""
+    entries, hubs, long_lists = run_entries(reps), HUBS, False
+    entries = staged(entries, "runs")
+    while True:
+        lists = _open_lists(entries, roots)
+        most = lists.agg(F.max("members")).first()[0]
+        if most is None:
+            return roots
+        if hubs > HUBS and not long_lists:  # what the first hubs left of the runs
+            pairs = _hub_pairs(lists.where(F.col("members") <= WHOLE), WHOLE)
+            entries, hubs, long_lists = staged(_twice(lists.where(F.col("members") > WHOLE)), "two-runs"), HUBS, True
+            last = most <= WHOLE
+        else:
+            pairs, entries, last = _hub_pairs(lists, hubs), lists, most <= hubs
+            hubs *= 4
+        links = links.unionByName(_linked(docs, reps, pairs))
+        roots = staged(components(links), "roots")
+        if last:
+            return roots
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row (doc_id, text)."""
     marks = staged(sketches(docs), "sketches")
@@ -255,12 +358,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
             placed = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
                 "comp", F.coalesce("root", "rep")
             )
-        pairs = staged(_estimated(compared_pairs(placed, turn), reps), "pairs")
-        nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(nodes, "id", "left_semi")
-        found = staged(_confirmed(pairs, full_sets(texts)), "links")
+        found = _linked(docs, reps, compared_pairs(placed, turn))
         links = found if links is None else links.unionByName(found)
         roots = components(links)
+    roots = _with_rest(docs, reps, links, roots)
     return (
         marks.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -399,3 +399,26 @@ def test_empty_tables(none, spark):
     assert quality.keep_good(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest_vectors.nearest(vectors, F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("originals", [1, 2])
+def test_near_duplicates_of_star_families(spark, originals):
+    """Copies edited independently: each resembles an original, but not another copy, and an original is rarely a hub."""
+    rng, rows = random.Random(8), []
+    words = [f"w{i}" for i in range(3000)]
+    for f, size in enumerate((20, 60, 200)):
+        base, texts = [rng.choice(words) for _ in range(200)], []
+        for o in range(originals):
+            texts.append(" ".join(base))
+            for i in range(size):
+                copy = list(base)
+                for k in rng.sample(range(200), 4):
+                    copy[k] = f"own{f}-{o}-{i}-{k}"
+                texts.append(" ".join(copy))
+            for k in rng.sample(range(200), 3):  # the next original is a copy of this one
+                base[k] = f"next{f}-{o}-{k}"
+        rng.shuffle(texts)
+        rows += [(1000 * f + i, t) for i, t in enumerate(texts)]
+    want = brute_components(rows)
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
