@@ -5,6 +5,10 @@ A value is read as a number in the mixed radix of its format and permuted by a k
 range (cycle walking), so the pseudonym has the same format and validity, and equal values get equal pseudonyms in
 every document. Digits keep the value's own punctuation.
 
+Of US-style phones, bare digit groups follow the numbering plan (area code and exchange begin with 2-9). With
+``any_area``, as the queries have it, '+1 (ddd) ddd-dddd' and '(ddd) ddd-dddd' are phones whatever their digits, and such
+a form is permuted within all ten-digit numbers.
+
 Cases: null text stays null, empty text empty; a value is replaced wherever it stands, however long the text; repeated
 rows give repeated results; every other column, whatever its name, passes unchanged. A permutation over a small range
 can map a value to itself (chance 1 / size of the range).
@@ -43,6 +47,10 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w.-])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])"
     r"|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d+\)?){1,6}(?![\w-]))"
 )
+#: A phone whose area code stands in brackets.
+BRACKETS = r"(?:\+?1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}"
+WRITTEN = re.compile(BRACKETS)
+ANY_AREA = re.compile(PATTERN.pattern.replace("(?P<phone>", rf"(?P<phone>(?<![\w.-]){BRACKETS}(?![\w-])|"))
 _RUN = re.compile(r"[A-Za-z0-9]++|.", re.DOTALL)
 _HINT = re.compile(r"[0-9@]")
 
@@ -134,8 +142,11 @@ def _ssn(text: str, key: bytes) -> str | None:
     return f"{a:03d}-{g + 1:02d}-{s + 1:04d}"
 
 
-def _phone(text: str, key: bytes) -> str | None:
+def _phone(text: str, key: bytes, any_area: bool = False) -> str | None:
     digits = re.sub(r"\D", "", text)
+    if any_area and WRITTEN.fullmatch(text):
+        new = permute_digits([(int(c), 10) for c in digits[-10:]], key, "phone-any")
+        return _filled(text, digits[:-10] + "".join(map(str, new)))
     if text[0] == "+" and digits[0] != "1":  # other countries: the first two digits, which hold the code, stay
         if not 8 <= len(digits) <= 15:
             return None
@@ -182,26 +193,29 @@ _MAKERS: dict[str, Callable[[str, bytes], str | None]] = {
     "iban": _iban,
     "card": _card,
     "ssn": _ssn,
-    "phone": _phone,
     "ip": _ip,
     "date": _date,
 }
 
 
-def pseudonym(kind: str, value: str, key: bytes) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes, any_area: bool = False) -> str | None:
     """The pseudonym of a found value; None where it isn't valid."""
+    if kind == "phone":
+        return _phone(value, key, any_area)
     if kind == "secret":
         head = "AKIA" if value.startswith("AKIA") else ""
         return head + permute_text(value[len(head) :], key, "secret")
     return _MAKERS[kind](value, key)
 
 
-def replace(text: str, known: Callable[[tuple[str, str]], str | None], counts: list[int]) -> str:
+def replace(
+    text: str, known: Callable[[tuple[str, str]], str | None], counts: list[int], pattern: re.Pattern = PATTERN
+) -> str:
     """``text`` with pseudonyms; ``counts`` gets the number of values of each of ``KINDS``."""
     if not _HINT.search(text) and "=" not in text and ":" not in text:
         return text
     out, last, at = [], 0, 0
-    while m := PATTERN.search(text, at):
+    while m := pattern.search(text, at):
         kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
         group = "hidden" if kind == "secret" and m["hidden"] is not None else kind
         made = known((kind, m[group]))
@@ -215,18 +229,21 @@ def replace(text: str, known: Callable[[tuple[str, str]], str | None], counts: l
     return "".join(out) + text[last:] if out else text
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text: str = "text", counts: bool = True) -> DataFrame:
-    """``docs`` with the text column replaced and, if ``counts``, a column n_<kind> for each of ``KINDS``."""
+def pseudonymise(
+    docs: DataFrame, key: bytes = KEY, text: str = "text", counts: bool = True, any_area: bool = False
+) -> DataFrame:
+    """``docs`` with the text column replaced and, if ``counts``, a column n_<kind> for each of ``KINDS``; ``any_area``:
+    phones in brackets have any area code."""
     names = [fresh(docs, f"n_{k}") for k in KINDS] if counts else []
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Recent(lambda kv: pseudonym(kv[0], kv[1], key), MEMO)
+        memo = Recent(lambda kv: pseudonym(kv[0], kv[1], key, any_area), MEMO)
         for rows in batches:
             at = rows.schema.get_field_index(text)
             made, found = [], []
             for x in rows.column(at).to_pylist():
                 c = [0] * len(KINDS)
-                made.append(None if x is None else replace(x, memo.__getitem__, c))
+                made.append(None if x is None else replace(x, memo.__getitem__, c, ANY_AREA if any_area else PATTERN))
                 found.append(c)
             arrays = list(rows.columns)
             arrays[at] = pa.array(made, pa.string())
@@ -239,4 +256,4 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text: str = "text", counts:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", *[f"n_{k}" for k in KINDS], "text", F.sha2("text", 256).alias("text_sha256"))
+    return pseudonymise(docs, any_area=True).select("doc_id", *[f"n_{k}" for k in KINDS], "text", F.sha2("text", 256).alias("text_sha256"))

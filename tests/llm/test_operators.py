@@ -422,3 +422,18 @@ def test_near_duplicates_of_star_families(spark, originals):
     want = brute_components(rows)
     got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_phones_in_brackets_have_any_area_code(spark, tmp_path):
+    phones = ["+1 (017) 555-7713", "+1 (156) 555-2186", "(099) 155-0000", "+1 (456) 555-2186"]
+    bare = "017-555-7713 and 156 555 2186"
+    rows = [(i, f"call {p} now") for i, p in enumerate(phones)] + [(9, bare)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pii.op5_pii(spark, str(tmp_path)).collect()}
+    assert got[9].text == bare and got[9].n_phone == 0
+    for i, p in enumerate(phones):
+        assert got[i].n_phone == 1 and p not in got[i].text
+        assert "".join("d" if c.isdigit() else c for c in got[i].text) == "".join("d" if c.isdigit() else c for c in rows[i][1])
+        assert got[i].text.startswith("call +1 (" if p[0] == "+" else "call (")
+    seen = {pii.pseudonym("phone", f"({n:03d}) 000-0000", b"k", True) for n in range(1000)}
+    assert len(seen) == 1000
