@@ -10,12 +10,15 @@ from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.language import op7_language
 from ledgerloom.llm.lines import OP10_SQL, op10_lines
 from ledgerloom.llm.maxent import op2_maxent
+from ledgerloom.llm.middles import op11_middles
 from ledgerloom.llm.minhash import op1_minhash
 from ledgerloom.llm.nearest_vectors import op6_nearest
 from ledgerloom.llm.packing import op9_packing
+from ledgerloom.llm.periods import op13_periods
 from ledgerloom.llm.pii import op5_pii
 from ledgerloom.llm.quality import op8_quality
 from ledgerloom.llm.suffixes import OP4_SQL, op4_repeats
+from ledgerloom.llm.toxicity import op12_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_lines": op10_lines,
+    "op11_middles": op11_middles,
+    "op12_toxicity": op12_toxicity,
+    "op13_periods": op13_periods,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_repeats": OP4_SQL, "op10_lines": OP10_SQL}
