@@ -1,17 +1,17 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 Words are folded (lower case, look-alike digits and signs as letters, stretched letters shortened) and cut into pieces of five characters with the
-word's borders marked. Spark counts in how many labelled texts of either class each folded word and piece occurs, over all of
-them; the significant ones, with their log odds, are the lexicon. A text becomes ``FEATURES``: lexicon densities and weights,
-how near the hits are to second-person words, capitals, punctuation and obfuscation rates. Trees of few levels are boosted on a
-bounded sample of labelled texts. Labelled texts are dealt into ``FOLDS`` by id: a fold's features come from the lexicon of the
+word's borders marked. The model is fitted on a bounded sample of the labelled texts (``FIT_ROWS``). Spark counts in how many of them of either
+class each folded word and piece occurs; the significant ones, with their log odds, are the lexicon. A text becomes ``FEATURES``: lexicon densities and weights,
+how near the hits are to second-person words, capitals, punctuation and obfuscation rates. Trees of few levels are
+boosted on them. Labelled texts are dealt into ``FOLDS`` by id: a fold's features come from the lexicon of the
 others, and the isotonic calibration learns from margins of trees that didn't see the text.
 
-Scale: counting is one pass with partial sums and one shuffle of (term, counts); the lexicon (``TERMS``) and the trees are of fixed
-size, and scoring is one pass without a shuffle.
+Scale: the sample is one row of each bucket of hashed ids, joined to the texts by broadcast (its size is bounded); terms are counted
+with partial sums; the lexicon (``TERMS``) and the trees are of fixed size; scoring is one pass over all whole texts without a shuffle.
 
 Cases: null, empty and blank texts have all features 0 and the score that the trees give that; a document with several labels counts
-as toxic if any says so; labels without a document and null labels are ignored; without labels of both classes the score is the
+as toxic if any says so; labels without a document and null labels are ignored; of several texts of one id the smallest is learned from; without labels of both classes the score is the
 share of toxic ones (0 without any) for every text; null ids count as the empty id and have no label; repeated rows give repeated
 results; an empty table gives no rows; of the input only ``doc_id`` and ``text`` are read.
 """
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Recent, batch, bounded_sample, id_remainder, map_batches, staged, table, words_of
 
-#: Folds of the labelled texts; bound of the labelled rows that trees and calibration are fitted on.
-FOLDS, FIT_ROWS = 3, 20_000
+#: Folds of the labelled texts; bound of the labelled rows that lexicon, trees and calibration are fitted on.
+FOLDS, FIT_ROWS = 3, 10_000
 #: Bound of the lexicon; least standard errors between the classes, and least toxic texts, for a term to be in it.
 TERMS, LEAST_SIGNIFICANCE, LEAST_TEXTS = 4096, 5.0, 3
 PIECE = 5
@@ -131,7 +131,7 @@ class Lexicon:
         """(weight as a word, largest weight of a piece) of a folded word; 0 where it is not in the lexicon."""
         marked, found = f"^{word}$", self.weights
         pieces = [found[p] for i in range(len(marked) - PIECE + 1) if (p := marked[i : i + PIECE]) in found]
-        return found.get(marked, 0.0), max(pieces, default=0.0)
+        return found.get(marked, 0.0), max(pieces) if pieces else 0.0
 
 
 def lexicons(counts: DataFrame, totals: dict[tuple[int, int], int]) -> list[Lexicon]:
@@ -172,12 +172,16 @@ class Describer:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.profile_of = Recent(self._profile, 100_000)
+        self.profile_of = Recent(self._profile, 200_000)
         self.numbers: dict[tuple[float, ...], int] = {}
         self.profiles = np.zeros((1024, 11))
 
     def _profile(self, raw: bytes) -> int:
-        profile = self._word(raw.decode())
+        word = raw.decode()
+        if raw.islower() and raw.isalpha() and not _STRETCHED.search(word):  # most words: nothing to fold or count
+            profile = (*self.lexicon.of(word), word in SECOND_PERSON, len(word), 0, False, False, 0, False, False, len(word) == 1)
+        else:
+            profile = self._word(word)
         number = self.numbers.setdefault(profile, len(self.numbers))
         if number == len(self.profiles):
             self.profiles = np.concatenate([self.profiles, np.zeros_like(self.profiles)])
@@ -375,20 +379,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
     known = known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
-    rows_of = docs.select("doc_id").join(known, "doc_id").groupBy("fold", "toxic").agg(F.count("*").alias("n"))
-    totals = {(r.fold, r.toxic): r.n for r in rows_of.collect()}
+    picked = bounded_sample(docs.select("doc_id").join(known, "doc_id"), ["doc_id", "fold", "toxic"], "doc_id", FIT_ROWS)
+    totals = Counter((r.fold, r.toxic) for r in picked)
     both = [sum(n for (_, x), n in totals.items() if x == c) for c in (0, 1)]
     share = both[1] / max(sum(both), 1)
     if not all(both):
         return ToxicityModel(Lexicon({}), None, None, share)
-    found = lexicons(term_counts(docs.select("doc_id", "text").join(known, "doc_id")), totals)
-    picked = bounded_sample(docs.select("doc_id").join(known, "doc_id"), ["doc_id", "fold", "toxic"], "doc_id", FIT_ROWS)
-    # at most FIT_ROWS ids
+    # at most FIT_ROWS ids, each with one text
     few = docs.sparkSession.createDataFrame(picked, "doc_id long, fold int, toxic int")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    rows = sorted(_described(chosen, found).collect(), key=lambda r: (r.doc_id, r.x))
-    if len(rows) > len(picked):  # repeated ids
-        rows = list({r.doc_id: r for r in reversed(rows)}.values())[::-1]
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    texts = staged(texts.groupBy("doc_id", "fold", "toxic").agg(F.min("text").alias("text")), "labelled-texts")
+    found = lexicons(term_counts(texts), totals)
+    rows = sorted(_described(texts, found).collect(), key=lambda r: r.doc_id)
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
     y, fold = (np.array([r[c] for r in rows], float) for c in ("toxic", "fold"))
     margin = np.zeros(len(y))
