@@ -43,6 +43,35 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables of one job, each removed as soon as the job says that no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove the files of ``tables``; the rest of what was staged stays."""
+        gone = [(t, p) for t, p in self.paths if any(t is x for x in tables)]
+        self.paths = [(t, p) for t, p in self.paths if not any(t is x for x in tables)]
+        for _, path in gone:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def named(self, *names: str) -> list[DataFrame]:
+        return [t for t, p in self.paths if p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*[t for t, _ in self.paths if not any(t is x for x in tables)])
+
+
 def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str):
     return df.mapInArrow(task, schema)
 

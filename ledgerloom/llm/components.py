@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import Scratch
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,17 +24,18 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node in ``links`` (u, v); root is the smallest node of its component."""
-    edges = staged(
+    edges = scratch.staged(
         links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
-        edges = staged(_starred(_starred(edges, True), False), "edges")
+        before, edges = edges, scratch.staged(_starred(_starred(edges, True), False), "edges")
+        scratch.drop(before)
     # Converged: every node hangs on its root.
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

@@ -1,24 +1,23 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-A document's set is its distinct five-word shingles. Its sketch is the ``SKETCH`` smallest hashes. Documents with equal
-sets are one class. Inverted lists are keyed by two neighbouring values among the ``KEYS`` smallest retained ones:
-for a similarity of 0.75 the chance that no such pair is shared is below 1e-7, and sets kept whole always share one.
-Lists have their members in one common order. In a first round every member of a list is compared with its first
-member, so a group of copies costs few comparisons. The second round compares only members of different components: all
-of them in a short list, and each with the first ``HUBS`` in a long one. Either round counts, without looking at sets,
-how often its lists bring two documents together; one meeting is chance, unless one of the two has few keys. Set sizes
-and sketches of the union drop clear misses; full sets confirm every link. Components of confirmed links give the groups.
-
-What hubs miss is compared afterwards, through runs of ``RUN`` neighbouring retained values (two in small sets). Only
-lists with members of several components count. Their hubs are the members that meet most others of foreign components,
-so the original of a family of independent copies comes first. Then lists of up to ``WHOLE`` members are compared in
-full; members of longer ones meet where they share two such lists (one, in small sets), with four times the hubs in
-every round until no list has members that were not compared. No list is cut; where a family has no original, its
-pairs are all compared.
-
-Scale: lists are never gathered: a task sees them as sorted rows and keeps a few hubs. Before the shuffle, a list that
-is long within one batch passes only its hubs on. A set of a third of all rows is one class. Joins are on ids and left
-to adaptive skew handling.
+A document's set is its distinct five-word shingles. Its sketch is the ``SKETCH`` smallest hashes. Documents with equal sets are
+one class. Inverted lists hold, for each of the ``KEYS`` smallest retained values, the classes that retain it there: two sets of
+similarity 0.75 share no list with a chance of 0.25 ** 12 (6e-8), and sets of up to ``KEYS`` shingles always share one.
+
+Rounds. In every list with members of several components one member is the centre: the one that meets most members over all its
+lists and was no centre before, so that the original of a family of independent copies comes first. A member meets the centres
+of its lists; of those in foreign components, union sketches estimate the similarity, clear misses go, the most similar centre
+stays, and full sets confirm the link. A round costs at most one pair for each list entry. Rounds go on while they close lists.
+
+The rest. What is still in lists with several components is compared exactly, without a limit. Of a set that links to a foreign
+component, three quarters of the shingles at least occur in foreign components of the rest; counting, for each shingle, the
+smallest and largest component that has it proves most of the rest apart (copies with too many edits, documents that share a passage). Those
+left are compared list by list with full sets, lists with the same members once, in blocks of bounded size.
+
+Scale: lists, families and hot shingles are counted with partial sums, never gathered; the partition of a hot key is split by
+adaptive execution. A set of a third of all rows is one class. Sets of listed documents are written once. Steps are
+written under the shared folder and removed when nothing reads them any more. Only in families whose members share most of their shingles and
+yet are not linked does the last comparison grow with the square of their number, in blocks.
 
 Cases: no words or null text: no shingles, linked with nothing, kept; a null doc_id: linked with nothing, component
 null, kept; rows of equal doc_id are one node, linked by the set of any of them, and kept if that id is the smallest
@@ -30,27 +29,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import batch, fresh, map_batches, staged, table
+from ledgerloom.llm.common import Scratch, batch, map_batches, table
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shingles import Powers, mix, shingle_sets
+from ledgerloom.llm.shingles import Powers, shingle_sets
+from ledgerloom.operators.skew import prepare
 
-#: Retained hashes, those that make list keys, and the link: 100 * common >= PERCENT * union.
-SKETCH, KEYS, PERCENT = 64, 32, 75
+#: Retained hashes, those that name lists, and the link: 100 * common >= PERCENT * union.
+SKETCH, KEYS, PERCENT = 64, 12, 75
 #: Estimates below this are clear misses: more than four standard errors under 0.75 at 64 values.
 ESTIMATE = 0.5
-#: After the first round, lists up to SHORT members are compared in full, longer ones through HUBS hubs. Within one
-#: batch, a list of more than LOCAL members is starred before the shuffle.
-SHORT, HUBS, LOCAL = 8, 4, 64
-#: Meetings in lists that a pair needs, and the set size under which one is enough. With 16 keys or more, fewer than two
-#: common ones have a chance below 1e-3 only at the very border of 0.75 and below 1e-6 with all 31.
-MEETINGS, FEW = 2, 24
-#: The rest: values in a run; sets that have runs of two (below the second) and of RUN (from the first on), so that any
-#: linked two have one kind in common; at 0.75 no common run of RUN has a chance below 1e-5. Lists compared in full.
-RUN, MIDDLE, WHOLE = 3, (36, 48), 64
+#: Rounds end when they find fewer links than this share of the listed sets; counts when they drop less of the rest.
+PROGRESS = 0.02
+#: Members and bytes of a block of the last comparison.
+BLOCK_SETS, BLOCK_BYTES = 256, 8 << 20
 _LONG = pa.int64()
 
 
@@ -76,299 +72,297 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), task, "doc_id long, n long, s1 long, s2 long, sketch binary")
 
 
-def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted keys: each row's place in its list, and where the list begins."""
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    first = np.repeat(new, np.diff(np.concatenate([new, [len(key)]])))
-    return np.arange(len(key)) - first, first
-
-
-def _star(
-    key: np.ndarray, rep: np.ndarray, comp: np.ndarray, few: np.ndarray, short: int, hubs: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Compared pairs (smaller, larger) of rows sorted by key, and how many meetings each counts for: rows with the
-    ``short`` - 1 before them while a list has at most ``short`` rows so far, later rows with the first ``hubs``; only
-    where components differ."""
-    if not len(key):
-        return rep, rep, np.zeros(0, np.int32)
-    place, first = _places(key)
-    a, b = [], []
-    for d in range(1, short):
-        late = np.flatnonzero((place >= d) & (place < short))
-        a.append(late - d)
-        b.append(late)
-    for h in range(hubs):
-        late = np.flatnonzero(place >= short)
-        a.append(first[late] + h)
-        b.append(late)
-    left, right = np.concatenate(a), np.concatenate(b)
-    keep = (comp[left] != comp[right]) & (rep[left] != rep[right])
-    left, right = left[keep], right[keep]
-    meetings = np.where(few[left] | few[right], MEETINGS, 1).astype(np.int32)
-    return np.minimum(rep[left], rep[right]), np.maximum(rep[left], rep[right]), meetings
-
-
-def _shape(turn: int) -> tuple[int, int]:
-    """Rows compared in full and hubs of a round."""
-    return (SHORT, HUBS) if turn else (1, 1)
-
-
-def list_rows(reps: DataFrame, turn: int) -> DataFrame:
-    """From (rep, sketch, comp): list entries (key, ord, rep, comp, few; other null), or pairs (rep, other, meetings) of
-    long lists within a batch (key null)."""
-    short, hubs = _shape(turn)
+def list_entries(reps: DataFrame) -> DataFrame:
+    """(key, rep, n): the lists of each class, named by its smallest retained values."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            ids = np.asarray(rows.column(0).to_numpy(zero_copy_only=False), np.int64)
-            roots = np.asarray(rows.column(2).to_numpy(zero_copy_only=False), np.int64)
-            raw = rows.column(1).to_pylist()
-            counts = np.array([len(x) // 8 for x in raw], np.int64)
-            flat = np.frombuffer(b"".join(raw), np.uint64)
-            start = np.cumsum(counts) - counts
-            n = np.maximum(np.minimum(counts, KEYS) - 1, 0)
-            at = np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            key = mix(flat[at] * np.uint64(3) + mix(flat[at + 1])) if len(at) else np.zeros(0, np.uint64)
-            rep, comp, few = np.repeat(ids, n), np.repeat(roots, n), np.repeat(counts < FEW, n)
-            order = mix(rep.view(np.uint64))
-            by = np.lexsort((order, key))
-            key, rep, comp, few, order = key[by], rep[by], comp[by], few[by], order[by]
-            a = b = np.zeros(0, np.int64)
-            meetings = np.zeros(0, np.int32)
-            if len(key):
-                place, _ = _places(key)
-                size = np.diff(np.concatenate([np.flatnonzero(place == 0), [len(key)]]))
-                long_list = np.repeat(size > LOCAL, size)
-                a, b, meetings = _star(*(x[long_list] for x in (key, rep, comp, few)), short, hubs)
-                keep = ~long_list | (place < max(short, hubs))
-                key, rep, comp, few, order = key[keep], rep[keep], comp[keep], few[keep], order[keep]
-            none = lambda k, kind=_LONG: pa.nulls(k, kind)
-            both = lambda x, y: pa.concat_arrays([x, y])
+            values = [np.frombuffer(x, np.int64)[:KEYS] for x in rows.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
             yield batch(
-                key=both(pa.array(key.view(np.int64)), none(len(a))),
-                ord=both(pa.array(order.view(np.int64)), none(len(a))),
-                rep=both(pa.array(rep), pa.array(a)),
-                comp=both(pa.array(comp), none(len(a))),
-                few=both(pa.array(few, pa.bool_()), none(len(a), pa.bool_())),
-                other=both(none(len(key)), pa.array(b)),
-                meetings=both(none(len(key), pa.int32()), pa.array(meetings, pa.int32())),
+                key=(np.concatenate([np.zeros(0, np.int64), *values]), _LONG),
+                rep=rows.column(0).take(at),
+                n=rows.column(1).take(at),
             )
 
-    return map_batches(
-        reps.select("rep", "sketch", "comp"),
-        task,
-        "key long, ord long, rep long, comp long, few boolean, other long, meetings int",
-    )
+    return map_batches(reps.select("rep", "n", "sketch"), task, "key long, rep long, n long")
 
 
-def listed_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """(a, b, meetings) from list entries: rows arrive sorted and only the first of an open list are kept."""
-    short, hubs = _shape(turn)
+def full_sets(docs: DataFrame) -> DataFrame:
+    """(id, members): whole shingle sets as bytes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        powers = Powers()
         for rows in batches:
-            columns = [
-                np.concatenate([h, rows.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)
-            ]
-            a, b, meetings = _star(*columns, short, hubs)
-            yield batch(a=(a, _LONG), b=(b, _LONG), meetings=(meetings, pa.int32()))
-            # The first rows of the open list stand for it in the next batch; their pairs may count twice.
-            key = columns[0]
-            open_list = np.flatnonzero(key == key[-1])[: max(short, hubs)] if len(key) else np.zeros(0, int)
-            held = [x[open_list] for x in columns]
+            members = [s.tobytes() for s in shingle_sets(rows.column(1).to_pylist(), powers)]
+            yield batch(id=rows.column(0), members=(members, pa.binary()))
+
+    return map_batches(docs, task, "id long, members binary")
 
-    ordered = entries.repartition("key").sortWithinPartitions("key", "ord").select("key", "rep", "comp", "few")
-    return map_batches(ordered, task, "a long, b long, meetings int")
 
+def _open(entries: DataFrame) -> DataFrame:
+    """(key, rep, n, comp, used, members) of the lists that have members of several components, from (key, rep, n, comp, used)."""
+    lists = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
+    return entries.select("key", "rep", "n", "comp", "used").join(lists.where("lo < hi").select("key", "members"), "key")
 
-def compared_pairs(reps: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) that the lists of a round bring together often enough."""
-    rows = staged(list_rows(reps, turn), "list-rows")
-    listed = listed_pairs(rows.where("key is not null").select("key", "ord", "rep", "comp", "few"), turn)
-    local = rows.where("key is null").select(F.col("rep").alias("a"), F.col("other").alias("b"), "meetings")
-    met = listed.unionByName(local).groupBy("a", "b").agg(F.sum("meetings").alias("met"))
-    return met.where(F.col("met") >= MEETINGS).select("a", "b")
 
+def _centres(lists: DataFrame) -> DataFrame:
+    """(key, centre, n_centre, comp_centre): of each list the member, not used before, that meets most."""
+    weights = lists.groupBy("rep").agg(F.sum("members").alias("weight"))
+    weighed = lists.where("not used").join(weights, "rep")
+    best = F.max_by(F.struct("rep", "n", "comp"), F.struct("weight", (-F.col("rep")).alias("first")))
+    return weighed.groupBy("key").agg(best.alias("c")).select(
+        "key", F.col("c.rep").alias("centre"), F.col("c.n").alias("n_centre"), F.col("c.comp").alias("comp_centre")
+    )
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose union sketch estimates at least ``ESTIMATE``; exact where both sets are held whole."""
+
+def _meetings(lists: DataFrame, centres: DataFrame) -> DataFrame:
+    """(rep, centre) of foreign components whose sizes allow a link."""
+    sized = 100 * F.least("n", "n_centre") >= PERCENT * F.greatest("n", "n_centre")
+    met = lists.join(centres, "key").where((F.col("comp") != F.col("comp_centre")) & sized)
+    return met.select("rep", "centre").distinct()
+
+
+def _closest(meetings: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): each member with the centre of the highest estimate from union sketches, clear misses left out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            a, b, left, right = (rows.column(k).to_pylist() for k in range(4))
-            keep = []
-            for i in range(len(a)):
-                x, y = np.frombuffer(left[i], np.uint64), np.frombuffer(right[i], np.uint64)
-                union, n = np.unique(np.concatenate([x, y]), return_counts=True)
+            left, right = (rows.column(k).to_pylist() for k in (2, 3))
+            share = []
+            for x, y in zip(left, right):
+                union, n = np.unique(np.frombuffer(x + y, np.uint64), return_counts=True)
                 size = min(SKETCH, len(union))
-                keep.append(size > 0 and (n[:size] == 2).sum() >= ESTIMATE * size)
-            yield batch(
-                a=(np.array(a, np.int64)[keep] if a else [], _LONG), b=(np.array(b, np.int64)[keep] if b else [], _LONG)
-            )
+                share.append(float((n[:size] == 2).sum() / size) if size else 0.0)
+            yield batch(rep=rows.column(0), centre=rows.column(1), share=(share, pa.float64()))
+
+    own = reps.select("rep", F.col("sketch").alias("left"))
+    other = reps.select(F.col("rep").alias("centre"), F.col("sketch").alias("right"))
+    joined = meetings.join(own, "rep").join(other, "centre").select("rep", "centre", "left", "right")
+    shares = map_batches(joined, task, "rep long, centre long, share double").where(F.col("share") >= ESTIMATE)
+    return shares.groupBy(F.col("rep").alias("a")).agg(
+        F.max_by("centre", F.struct("share", (-F.col("centre")).alias("first"))).alias("b")
+    )
 
-    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("left"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("right"))
-    sized = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    joined = pairs.join(left, "a").join(right, "b").where(sized).select("a", "b", "left", "right")
-    return map_batches(joined, task, "a long, b long")
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v): pairs whose full sets have 100 * common >= PERCENT * union."""
+    """Links (u, v): pairs (a, b) whose full sets have 100 * common >= PERCENT * union."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            u, v = [], []
-            for a, b, left, right in zip(*(rows.column(k).to_pylist() for k in range(4))):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                    u.append(b)
-                    v.append(a)
-            yield batch(u=(u, _LONG), v=(v, _LONG))
-
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
+            columns = (rows.column(k).to_pylist() for k in range(4))
+            links = [
+                (a, b)
+                for a, b, x, y in zip(*columns)
+                if _similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+            ]
+            yield batch(u=([a for a, _ in links], _LONG), v=([b for _, b in links], _LONG))
+
+    left = sets.select(F.col("rep").alias("a"), F.col("members").alias("left"))
+    right = sets.select(F.col("rep").alias("b"), F.col("members").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return map_batches(joined, task, "u long, v long")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(id, members): whole shingle sets as bytes."""
+def _joined_up(scratch: Scratch, state: DataFrame, links: DataFrame) -> DataFrame:
+    """``state`` (rep, comp, used) with the components of the links (u, v) between reps taken together."""
+    ends = state.select("rep", "comp")
+    between = links.join(ends.toDF("u", "cu"), "u").join(ends.toDF("v", "cv"), "v").where("cu <> cv")
+    merged = components(between.select(F.col("cu").alias("u"), F.col("cv").alias("v")), scratch)
+    moved = state.join(merged.toDF("comp", "root"), "comp", "left")
+    return scratch.staged(moved.select("rep", F.coalesce("root", "comp").alias("comp"), "used"), "state")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for rows in batches:
-            members = [s.tobytes() for s in shingle_sets(rows.column(1).to_pylist(), powers)]
-            yield batch(id=rows.column(0), members=(members, pa.binary()))
-
-    return map_batches(docs, task, "id long, members binary")
 
-
-def run_entries(reps: DataFrame) -> DataFrame:
-    """(key, rep, n) from (rep, sketch, n): runs of neighbouring values among the ``KEYS`` smallest."""
+def _with_foreign_shingles(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """The reps (rep, comp) that can still link: PERCENT of their shingles occur in another component of ``rest``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, raw in enumerate(rows.column(1).to_pylist()):
-                x = np.frombuffer(raw, np.uint64)
-                for width in [2] * (len(x) < MIDDLE[1]) + [RUN] * (len(x) >= MIDDLE[0]):
-                    values = x[:KEYS]
-                    many = max(0, len(values) - width + 1)
-                    key = np.full(many, width, np.uint64)
-                    for k in range(width):
-                        key = mix(key * np.uint64(3) + values[k : k + many])
-                    keys.append(key)
-                    of.append(np.full(many, i))
-            at = pa.array(np.concatenate(of))
+            members = [np.frombuffer(x, np.int64) for x in rows.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(members)), [len(m) for m in members]))
             yield batch(
-                key=pa.array(np.concatenate(keys).view(np.int64)), rep=rows.column(0).take(at), n=rows.column(2).take(at)
+                v=(np.concatenate([np.zeros(0, np.int64), *members]), _LONG),
+                rep=rows.column(0).take(at),
+                comp=rows.column(1).take(at),
+                n=rows.column(3).take(at),
             )
 
-    return map_batches(reps.select("rep", "sketch", "n"), task, "key long, rep long, n long")
-
-
-def _open_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, rep, n, comp, members) of the lists that have members of several components."""
-    placed = (
-        entries.select("key", "rep", "n")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    held = rest.join(sets, "rep").select("rep", "comp", "members", "n")
+    shingles = map_batches(held, task, "v long, rep long, comp long, n long")
+    shared = shingles.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
+    counts = shingles.join(shared, "v", "left_semi").groupBy("rep", "comp").agg(
+        F.count("*").alias("foreign"), F.max("n").alias("n")
     )
-    lists = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
-    return staged(placed.join(lists.where("lo < hi").select("key", "members"), "key"), "open-lists")
-
-
-def _hub_pairs(lists: DataFrame, hubs: int) -> DataFrame:
-    """Pairs (a, b) of every member of a list with the ``hubs`` that meet most members of foreign components."""
-    own = lists.groupBy("key", "comp").agg(F.count("*").alias("own"))
-    weights = lists.join(own, ["key", "comp"]).groupBy("rep").agg(F.sum(F.col("members") - F.col("own")).alias("weight"))
-    first = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
-    chosen = (
-        lists.join(weights, "rep")
-        .withColumn("nth", F.row_number().over(first))
-        .where(F.col("nth") <= hubs)
-        .select("key", F.col("rep").alias("hub"), F.col("n").alias("n_hub"), F.col("comp").alias("comp_hub"))
+    return counts.where(100 * F.col("foreign") >= PERCENT * F.col("n")).select("rep", "comp")
+
+
+def _block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between components among the members of each list (key, rep, comp), by full sets."""
+    sized = lists.join(sets.select("rep", "n", "members"), "rep")
+    shape = lists.join(sets.select("rep", "n"), "rep").groupBy("key").agg(
+        F.count("*").alias("many"),
+        F.sum("n").alias("values"),
+        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"),
+        F.min("comp").alias("lo"),
+        F.max("comp").alias("hi"),
     )
-    sized = 100 * F.least("n", "n_hub") >= PERCENT * F.greatest("n", "n_hub")
-    return (
-        lists.join(chosen, "key")
-        .where((F.col("comp") != F.col("comp_hub")) & sized)
-        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        .distinct()
+    # lists with the same members are one
+    once = shape.where("lo < hi").groupBy("many", "who").agg(F.min("key").alias("key"), F.first("values").alias("values"))
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK_SETS), F.ceil(F.col("values") * 8 / BLOCK_BYTES)).cast("int")
+    dealt = (
+        sized.join(once.select("key", blocks.alias("blocks")), "key")
+        .withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .select(
+            "key",
+            F.least("own", "other").alias("i"),
+            F.greatest("own", "other").alias("j"),
+            "own",
+            "rep",
+            "comp",
+            "members",
+        )
     )
 
-
-def _twice(lists: DataFrame) -> DataFrame:
-    """(key, rep, n): lists of the members that two lists have in common; small sets stay in each list as well."""
-    left = lists.select("rep", "n", F.col("key").alias("k1"))
-    right = lists.select("rep", F.col("key").alias("k2"))
-    both = left.join(right, "rep").where("k1 < k2").select(F.xxhash64("k1", "k2").alias("key"), "rep", "n")
-    return both.unionByName(lists.where(F.col("n") < MIDDLE[0]).select("key", "rep", "n"))
-
-
-def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links (u, v) among compared pairs."""
-    pairs = staged(_estimated(pairs, reps), "pairs")
-    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(nodes, "id", "left_semi")
-    return staged(_confirmed(pairs, full_sets(texts)), "links")
-
-
-def _with_rest(docs: DataFrame, reps: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root) after comparing what the hubs of the first rounds left apart."""
-    entries, hubs, long_lists = run_entries(reps), HUBS, False
-    entries = staged(entries, "runs")
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rep, comp, own = (rows[c].to_numpy() for c in ("rep", "comp", "own"))
+        values = [np.frombuffer(x, np.uint64) for x in rows["members"]]
+        n = np.array([len(v) for v in values])
+        left = np.flatnonzero(own == rows["i"].iloc[0])
+        right = np.flatnonzero(own == rows["j"].iloc[0])
+        every, where = np.unique(np.concatenate(values), return_inverse=True)
+        of = np.repeat(np.arange(len(values)), n)
+        common = np.zeros((len(left), len(right)), np.float32)
+        place_l, place_r = np.full(len(values), -1), np.full(len(values), -1)
+        place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+        width = max(1, (32 << 20) // (4 * len(values)))
+        order = np.argsort(where, kind="stable")
+        where, of = where[order], of[order]
+        for begin in range(0, len(every), width):  # a stripe of shingles at a time
+            a, b = np.searchsorted(where, [begin, begin + width])
+            m = np.zeros((len(values), min(width, len(every) - begin)), np.float32)
+            m[of[a:b], where[a:b] - begin] = 1
+            common += m[left] @ m[right].T
+        union = n[left][:, None] + n[right][None] - common
+        hit = (100 * common >= PERCENT * union) & (comp[left][:, None] != comp[right][None])
+        x, y = np.nonzero(hit)
+        return pd.DataFrame({"u": rep[left[x]], "v": rep[right[y]], "cu": comp[left[x]], "cv": comp[right[y]]})
+
+    found = dealt.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long, cu long, cv long")
+    # one link for each two components
+    return found.groupBy(F.least("cu", "cv").alias("c1"), F.greatest("cu", "cv").alias("c2")).agg(
+        F.min(F.struct("u", "v")).alias("l")
+    ).select("l.u", "l.v")
+
+
+def _listed_sets(docs: DataFrame, reps: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(rep, n, members): whole sets of the documents of ``reps``; a set that several rows of one id have once."""
+    ids = reps.select(F.col("rep").alias("id"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    if repeated.isEmpty():
+        sets = full_sets(texts)
+    else:
+        once = full_sets(texts.join(repeated, "id", "left_semi")).dropDuplicates(["id", "members"])
+        sets = full_sets(texts.join(repeated, "id", "left_anti")).unionByName(once)
+    n = (F.octet_length("members") / 8).cast("long")
+    return sets.select(F.col("id").alias("rep"), n.alias("n"), "members").where("n > 0")
+
+
+def _grouped(scratch: Scratch, docs: DataFrame, reps: DataFrame, same_id: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(rep, comp) of the reps (rep, n, sketch) that share a list with others or are ends of ``same_id`` (u, v)."""
+    every = list_entries(reps)
+    shared = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    entries = scratch.staged(every.join(shared, "key", "left_semi"), "entries")
+    listed = entries.select("rep").unionByName(same_id.select(F.col("u").alias("rep"))).unionByName(
+        same_id.select(F.col("v").alias("rep"))
+    )
+    state = scratch.staged(
+        listed.distinct().select("rep", F.col("rep").alias("comp"), F.lit(False).alias("used")), "state"
+    )
+    sets = scratch.staged(_listed_sets(docs, state, repeated), "sets")
+    if not same_id.isEmpty():
+        state = _joined_up(scratch, state, same_id)
+    own = [reps, same_id, repeated, *scratch.named("sketches", "classes")]
     while True:
-        lists = _open_lists(entries, roots)
-        most = lists.agg(F.max("members")).first()[0]
-        if most is None:
-            return roots
-        if hubs > HUBS and not long_lists:  # what the first hubs left of the runs
-            pairs = _hub_pairs(lists.where(F.col("members") <= WHOLE), WHOLE)
-            entries, hubs, long_lists = staged(_twice(lists.where(F.col("members") > WHOLE)), "two-runs"), HUBS, True
-            last = most <= WHOLE
-        else:
-            pairs, entries, last = _hub_pairs(lists, hubs), lists, most <= hubs
-            hubs *= 4
-        links = links.unionByName(_linked(docs, reps, pairs))
-        roots = staged(components(links), "roots")
-        if last:
-            return roots
+        lists = scratch.staged(_open(entries.select("key", "rep", "n").join(state, "rep")), "lists")
+        size = lists.count()
+        if not size:
+            break
+        centres = scratch.staged(_centres(lists), "centres")
+        pairs = scratch.staged(_closest(_meetings(lists, centres), reps), "pairs")
+        links = scratch.staged(_confirmed(pairs, sets), "links")
+        used = centres.select(F.col("centre").alias("rep"), F.lit(True).alias("now")).distinct()
+        marked = state.join(used, "rep", "left").select(
+            "rep", "comp", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")
+        )
+        state = _joined_up(scratch, scratch.staged(marked, "marked"), links)
+        # a closed list stays closed
+        entries = lists
+        if links.count() < PROGRESS * size / KEYS:
+            state = _rest_joined(scratch, lists, state, sets)
+            break
+        scratch.drop_all_but(entries, sets, state, *own)
+    scratch.drop_all_but(state, *scratch.named("sketches", "classes"))
+    return state.select("rep", "comp")
+
+
+def _rest_joined(scratch: Scratch, lists: DataFrame, state: DataFrame, sets: DataFrame) -> DataFrame:
+    """``state`` with what is still apart in open ``lists`` compared exactly."""
+    lists = scratch.staged(_open(lists.select("key", "rep", "n").join(state, "rep")), "lists")
+    rest = lists.select("rep", "comp").distinct()
+    size = rest.count()
+    while size:
+        left = scratch.staged(_with_foreign_shingles(rest, sets), "rest")
+        size, was = left.count(), size
+        rest = left
+        if size > (1 - PROGRESS) * was:
+            break
+    if not size:
+        return state
+    links = _block_links(lists.select("key", "rep").join(rest, "rep"), sets)
+    return _joined_up(scratch, state, scratch.staged(links, "links"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row (doc_id, text)."""
-    marks = staged(sketches(docs), "sketches")
+    prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    marks = scratch.staged(sketches(docs), "sketches")
     linkable = marks.where("n > 0 and doc_id is not null")
-    classes = staged(linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("size")), "classes")
+    classes = scratch.staged(
+        linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("size")), "classes"
+    )
     # One row of each class; of repeated ids, only a row with the class's own set.
-    reps = staged(
+    reps = scratch.staged(
         linkable.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"])
         .groupBy(F.col("doc_id").alias("rep"), "s1", "s2")
         .agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")),
         "representatives",
     )
-    links, roots = None, None
-    for turn in range(2):
-        placed = reps.withColumn("comp", F.col("rep"))
-        if roots is not None:
-            placed = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-                "comp", F.coalesce("root", "rep")
-            )
-        found = _linked(docs, reps, compared_pairs(placed, turn))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-    roots = _with_rest(docs, reps, links, roots)
+    of_class = classes.select("s1", "s2", "rep")
+    # rows of one id may be in several classes
+    own = linkable.select("doc_id", "s1", "s2").join(of_class, ["s1", "s2"]).select("doc_id", "rep")
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("hi")).where("u < hi")
+    same_id = scratch.staged(
+        own.join(several, "doc_id").where("rep > u").select("u", F.col("rep").alias("v")).distinct(), "same-id"
+    )
+    repeated = scratch.staged(
+        linkable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("id")),
+        "repeated",
+    )
+    roots = _grouped(scratch, docs, reps, same_id, repeated)
     return (
-        marks.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        marks.join(of_class, ["s1", "s2"], "left")
+        .join(roots, "rep", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
-            F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
+            F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "rep"))
             .otherwise(F.col("doc_id"))
             .alias("component_id"),
         )

@@ -131,6 +131,56 @@ def test_near_duplicates_in_a_large_chain(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def _edited(rng, words, edits, tag):
+    out = list(words)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = f"{tag}-{k}"
+    return out
+
+
+@pytest.mark.parametrize("shape", ["star", "no original", "mixed", "chain", "contained", "tiny"])
+def test_near_duplicates_in_families(spark, shape):
+    """Families whose members resemble an original, each other by chance, or only their neighbours."""
+    rng = random.Random(shape)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows = []
+    for family in range(3):
+        base = [rng.choice(vocab) for _ in range(200)]
+        tag = f"{shape[0]}{family}"
+        if shape == "tiny":
+            base = base[: 6 + family]
+        if shape in ("star", "mixed", "contained", "tiny"):
+            rows.append(base)
+        for i in range(220):
+            if shape == "star":
+                rows.append(_edited(rng, base, 4, f"{tag}{i}"))
+            elif shape == "no original":
+                rows.append(_edited(rng, base, 3, f"{tag}{i}"))
+            elif shape == "mixed":  # some too far from all others
+                rows.append(_edited(rng, base, rng.randrange(1, 14), f"{tag}{i % 150}"))
+            elif shape == "chain":
+                base = _edited(rng, base, 4, f"{tag}{i}")
+                rows.append(base)
+            elif shape == "contained":
+                a = rng.randrange(60)
+                rows.append(base[a : a + rng.randrange(120, 200)])
+            else:
+                rows.append([*base, f"end{i}"] if i % 2 else base[: 5 + i % 4])
+    order = rng.sample(range(len(rows)), len(rows))
+    pairs = [(i, " ".join(rows[k])) for i, k in enumerate(order)]
+    want = brute_components(pairs)
+    got = minhash.near_groups(spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_ids_with_several_texts_are_one_node(spark):
+    long = [" ".join(f"{c}{i}" for i in range(50)) for c in "abc"]
+    rows = [(3, long[0]), (15, long[0]), (15, long[1]), (7, long[1]), (20, long[2]), (15, long[1])] + [(9, long[2])] * 300
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (15, 3), (7, 3), (20, 9), (9, 9)}
+    assert len(got) == len(rows)
+
+
 def test_language_model(docs, rows):
     got = maxent.train_and_score(docs).collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
