@@ -45,7 +45,8 @@ PATTERN = re.compile(
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<phone>(?<![\w.-])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])"
-    r"|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d+\)?){1,6}(?![\w-]))"
+    # digit runs are taken whole, so there is one way to match
+    r"|(?<![\w+])\+[2-9]\d*+(?:[ .-]?\(\d++\)?|[ .-]\d++\)?|(?<=\))\d++){0,6}(?![\w-]))"
 )
 #: A phone whose area code stands in brackets.
 BRACKETS = r"(?:\+?1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}"
