@@ -13,6 +13,7 @@ as they occur; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -33,6 +34,9 @@ WORDS = 300_000
 SPECIAL = {"<|endoftext|>": 50256}
 #: Where a text holds a run of white space, cutting it at single spaces isn't exact and it is encoded whole.
 _SPECIAL_MARK = "<|endoftext|>"
+#: White space from this length on is cut out before the pattern sees it, whose backtracking would overflow the stack.
+#: The white space of the tokenizer's pattern.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{512,}")
 
 
 class ByteEncoder:
@@ -58,9 +62,20 @@ class ByteEncoder:
             return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
+    def parted(self, text: str) -> bytes:
+        """``direct`` with long white space cut out: before another character its last sign goes with what follows,
+        and the rest is one piece; at the end the whole of it is."""
+        out, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out.append(self.direct(text[at : run.start()]))
+            out.append(np.array(self.encoding._encode_single_piece(text[run.start() : end]), "<u4").tobytes())
+            at = end
+        return b"".join([*out, self.direct(text[at:])])
+
     def __call__(self, text: str) -> bytes:
         if "  " in text or _SPECIAL_MARK in text or text[-1:].isspace() or text[:1].isspace():
-            return self.direct(text)
+            return self.parted(text)
         first, *rest = text.split(" ")
         memo = self.memo
         return memo[first] + b"".join([memo[" " + x] for x in rest])
