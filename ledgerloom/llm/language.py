@@ -32,7 +32,11 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def letters(text: str) -> bytes:
     """Lower-case letters with one space for every run of other characters."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode()
+    plain = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    if not plain.replace(" ", "").isalpha():  # numbers that are no decimal digits, such as fractions
+        plain = " ".join("".join(c if c.isalpha() else " " for c in plain).split(" ")).strip()
+        plain = re.sub(" +", " ", plain)
+    return plain.encode()
 
 
 @dataclass(frozen=True)
