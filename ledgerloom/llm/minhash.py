@@ -9,10 +9,12 @@ lists and was no centre before, so that the original of a family of independent
 of its lists; of those in foreign components, union sketches estimate the similarity, clear misses go, the most similar centre
 stays, and full sets confirm the link. A round costs at most one pair for each list entry. Rounds go on while they close lists.
 
-The rest. What is still in lists with several components is compared exactly, without a limit. Of a set that links to a foreign
-component, three quarters of the shingles at least occur in foreign components of the rest; counting, for each shingle, the
-smallest and largest component that has it proves most of the rest apart (copies with too many edits, documents that share a passage). Those
-left are compared list by list with full sets, lists with the same members once, in blocks of bounded size.
+Proof of apartness. Of a set that links to another component, three quarters of the shingles at least occur there, and so do more
+than ``RETAINED`` of its retained values among theirs. Counting, for each value, the smallest and largest component
+that has it proves most listed sets apart: documents that share a passage go before the first round.
+
+The rest. What is still in lists with several components after the rounds is compared exactly, without a limit. The same count, over retained
+values and then over whole sets, proves copies with too many edits apart. Those left are compared list by list with full sets, lists with the same members once, in blocks of bounded size.
 
 Scale: lists, families and hot shingles are counted with partial sums, never gathered; the partition of a hot key is split by
 adaptive execution. A set of a third of all rows is one class. Sets of listed documents are written once. Steps are
@@ -43,8 +45,10 @@ from ledgerloom.operators.skew import prepare
 SKETCH, KEYS, PERCENT = 64, 12, 75
 #: Estimates below this are clear misses: more than four standard errors under 0.75 at 64 values.
 ESTIMATE = 0.5
+#: A set of which a smaller share of the retained values occurs elsewhere links with nothing: at 0.75 that is more than six standard errors.
+RETAINED = 0.375
 #: Rounds end when they find fewer links than this share of the listed sets; counts when they drop less of the rest.
-PROGRESS = 0.02
+PROGRESS, FEWER = 0.02, 0.2
 #: Members and bytes of a block of the last comparison.
 BLOCK_SETS, BLOCK_BYTES = 256, 8 << 20
 _LONG = pa.int64()
@@ -165,7 +169,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("rep").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("rep").alias("b"), F.col("members").alias("right"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    centres = right.join(pairs.select("b").distinct(), "b", "left_semi")
+    joined = pairs.join(left, "a").join(centres, "b").select("a", "b", "left", "right")
     return map_batches(joined, task, "u long, v long")
 
 
@@ -178,27 +183,40 @@ def _joined_up(scratch: Scratch, state: DataFrame, links: DataFrame) -> DataFram
     return scratch.staged(moved.select("rep", F.coalesce("root", "comp").alias("comp"), "used"), "state")
 
 
-def _with_foreign_shingles(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """The reps (rep, comp) that can still link: PERCENT of their shingles occur in another component of ``rest``."""
+def _foreign(held: DataFrame, share: float) -> DataFrame:
+    """The reps (rep, comp, values: bytes) of which that share of the values occurs in another component too."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            members = [np.frombuffer(x, np.int64) for x in rows.column(2).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(members)), [len(m) for m in members]))
+            values = [np.frombuffer(x, np.int64) for x in rows.column(2).to_pylist()]
+            counts = [len(v) for v in values]
+            at = pa.array(np.repeat(np.arange(len(values)), counts))
             yield batch(
-                v=(np.concatenate([np.zeros(0, np.int64), *members]), _LONG),
+                v=(np.concatenate([np.zeros(0, np.int64), *values]), _LONG),
                 rep=rows.column(0).take(at),
                 comp=rows.column(1).take(at),
-                n=rows.column(3).take(at),
+                n=pa.array(counts, pa.int32()).take(at),
             )
 
-    held = rest.join(sets, "rep").select("rep", "comp", "members", "n")
-    shingles = map_batches(held, task, "v long, rep long, comp long, n long")
-    shared = shingles.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
-    counts = shingles.join(shared, "v", "left_semi").groupBy("rep", "comp").agg(
+    values = map_batches(held.select("rep", "comp", "values"), task, "v long, rep long, comp long, n int")
+    shared = values.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
+    counts = values.join(shared, "v", "left_semi").groupBy("rep", "comp").agg(
         F.count("*").alias("foreign"), F.max("n").alias("n")
     )
-    return counts.where(100 * F.col("foreign") >= PERCENT * F.col("n")).select("rep", "comp")
+    return counts.where(F.col("foreign") >= share * F.col("n")).select("rep", "comp")
+
+
+def _linkable(scratch: Scratch, rest: DataFrame, reps: DataFrame) -> DataFrame:
+    """The reps (rep, comp) of ``rest`` that other components share enough retained values with. Counted again while
+    that drops many, since what is dropped no longer counts for the others."""
+    size = rest.count()
+    while True:
+        held = rest.join(reps.select("rep", F.col("sketch").alias("values")), "rep")
+        left = scratch.staged(_foreign(held, RETAINED), "linkable")
+        scratch.drop(rest)
+        rest, was, size = left, size, left.count()
+        if size > (1 - FEWER) * was:
+            return rest
 
 
 def _block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -278,11 +296,12 @@ def _grouped(scratch: Scratch, docs: DataFrame, reps: DataFrame, same_id: DataFr
     every = list_entries(reps)
     shared = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     entries = scratch.staged(every.join(shared, "key", "left_semi"), "entries")
-    listed = entries.select("rep").unionByName(same_id.select(F.col("u").alias("rep"))).unionByName(
-        same_id.select(F.col("v").alias("rep"))
-    )
+    listed = entries.select("rep", F.col("rep").alias("comp")).distinct()
+    few = _linkable(scratch, scratch.staged(listed, "listed"), reps).select("rep")
+    entries = scratch.staged(entries.join(few, "rep", "left_semi"), "entries")
+    nodes = few.unionByName(same_id.select(F.col("u").alias("rep"))).unionByName(same_id.select(F.col("v").alias("rep")))
     state = scratch.staged(
-        listed.distinct().select("rep", F.col("rep").alias("comp"), F.lit(False).alias("used")), "state"
+        nodes.distinct().select("rep", F.col("rep").alias("comp"), F.lit(False).alias("used")), "state"
     )
     sets = scratch.staged(_listed_sets(docs, state, repeated), "sets")
     if not same_id.isEmpty():
@@ -304,27 +323,22 @@ def _grouped(scratch: Scratch, docs: DataFrame, reps: DataFrame, same_id: DataFr
         # a closed list stays closed
         entries = lists
         if links.count() < PROGRESS * size / KEYS:
-            state = _rest_joined(scratch, lists, state, sets)
+            state = _rest_joined(scratch, lists, state, reps, sets)
             break
         scratch.drop_all_but(entries, sets, state, *own)
     scratch.drop_all_but(state, *scratch.named("sketches", "classes"))
     return state.select("rep", "comp")
 
 
-def _rest_joined(scratch: Scratch, lists: DataFrame, state: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest_joined(scratch: Scratch, lists: DataFrame, state: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """``state`` with what is still apart in open ``lists`` compared exactly."""
     lists = scratch.staged(_open(lists.select("key", "rep", "n").join(state, "rep")), "lists")
-    rest = lists.select("rep", "comp").distinct()
-    size = rest.count()
-    while size:
-        left = scratch.staged(_with_foreign_shingles(rest, sets), "rest")
-        size, was = left.count(), size
-        rest = left
-        if size > (1 - PROGRESS) * was:
-            break
-    if not size:
+    rest = _linkable(scratch, scratch.staged(lists.select("rep", "comp").distinct(), "rest"), reps)
+    held = rest.join(sets.select("rep", F.col("members").alias("values")), "rep")
+    rest = scratch.staged(_foreign(held, PERCENT / 100), "rest")
+    if rest.isEmpty():
         return state
-    links = _block_links(lists.select("key", "rep").join(rest, "rep"), sets)
+    links = _block_links(lists.select("key", "rep").join(rest, "rep"), sets.join(rest.select("rep"), "rep", "left_semi"))
     return _joined_up(scratch, state, scratch.staged(links, "links"))
 
 
