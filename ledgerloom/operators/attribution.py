@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.functions.narration import similar_pairs
-from ledgerloom.operators.blocking import hay_keys, needle_keys
+from ledgerloom.operators.blocking import hay_keys, needle_keys, shared_lead
 from ledgerloom.operators.skew import lookup
 from ledgerloom.session import stage
 
@@ -65,7 +65,8 @@ def _best_reference(refs: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
 def _sharing_keys(needles: DataFrame, hays: DataFrame, needle: str, hay: str, floor: int) -> DataFrame:
     # distinct needle lengths: a handful, however many needles there are
     sizes = needles.select(F.collect_set(F.length(needle)).alias("sizes")).first().sizes
-    left = needles.select(needle, F.explode(needle_keys(needle, floor)).alias("key"))
+    lead = shared_lead(needles, needle)
+    left = needles.select(needle, F.explode(needle_keys(needle, floor, lead)).alias("key"))
     listed = "array(" + ", ".join(str(n) for n in sorted(sizes)) + ")"
-    right = hays.select(hay, F.explode(hay_keys(hay, listed, floor)).alias("key"))
+    right = hays.select(hay, F.explode(hay_keys(hay, listed, floor, lead)).alias("key"))
     return left.join(right, "key").select("ref", "text")

@@ -1,10 +1,14 @@
 """Which (reference, narration) pairs are worth comparing.
 
-A pair scores at least ``floor`` only if some window of the longer text and the shorter text share a
-common subsequence of a known length. For short references that subsequence itself is the block key:
-delete as few characters as needed from both sides and compare (the published deletion-neighbourhood
-scheme). For longer ones the reference is cut into one more piece than there can be edits, so one
-piece survives untouched. Both lose no pair; neither lists the pairs of a group.
+A pair scores at least ``floor`` only if the shorter text and some window of the longer one have a common subsequence of
+a known length, so the edits between them (characters deleted on either side) are bounded. The shorter text is cut into
+parts; by the pigeonhole principle one part and the stretch of the window aligned with it have at most their share of the
+edits. That part with its share of deletions spent is a subsequence of the stretch: the block key. Both sides list their keys:
+the shorter text deletes from its parts, the longer one from its substrings, which begin and end with a kept character.
+
+Up to 19 characters (floor 85) there is one part, the text itself, so a key holds nearly all of it however much all
+references share; up to 26 there are two, then parts of eight or more. Keys of parts grow with the length of a text times a
+constant. No pair is lost, and no group's pairs are listed.
 """
 
 from __future__ import annotations
@@ -14,7 +18,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.gates import in_gate, point_cells, query_cells
 
-CELL_PAIRS = 1_000_000  # a gate cell above this many pairs is paired through block keys
+PAIRS_PER_ROW = 64  # a gate cell with more pairs than this for each of its rows is paired through block keys
+WHOLE_DELETIONS = 4  # a text that needs no more deletions than this is one part
+TWO_PART_EDITS = 7  # up to so many edits two parts do, beyond there are as many as leave two edits to one of them
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and bind it to ``name`` inside ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _common(n: str, w: str, floor: int) -> str:
@@ -35,68 +46,75 @@ def _drop(values: str) -> str:
 
 
 def _dropped(value: str, k: str) -> str:
-    """Every text left after deleting exactly ``k`` (at most 3) characters."""
-    one = _drop(f"array({value})")
-    return (
-        f"case {k} when 0 then array({value}) when 1 then {one} "
-        f"when 2 then {_drop(one)} else {_drop(_drop(one))} end"
+    """Every text left after deleting exactly ``k`` (at most ``WHOLE_DELETIONS``) characters."""
+    made, cases = f"array({value})", []
+    for count in range(WHOLE_DELETIONS + 1):
+        cases.append(f"when {count} then {made}")
+        made = _drop(made)
+    return f"case {k} {' '.join(cases)} end"
+
+
+def _shape(n: str, floor: int) -> str:
+    """How a needle of ``n`` characters is cut: most edits ``e``, deletions in the needle ``k`` and in a window ``d``,
+    and the number of parts ``p``, over all windows that can reach the floor."""
+    need = _common(n, "w", floor)
+    sizes = f"filter(sequence({_least(n, floor)}, {n}), w -> {need} <= w)"
+    most = (
+        f"named_struct('e', array_max(transform(ws, w -> {n} + w - 2 * {need})), "
+        f"'k', array_max(transform(ws, w -> {n} - {need})), 'd', array_max(transform(ws, w -> w - {need})))"
     )
+    parts = (
+        f"named_struct('e', x.e, 'k', x.k, 'd', x.d, 'p', cast(case when x.k <= {WHOLE_DELETIONS} then 1 "
+        f"when x.e <= {TWO_PART_EDITS} then 2 else floor(x.e / 3) + 1 end as int))"
+    )
+    return _let("ws", sizes, _let("x", most, parts))
 
 
-def _is_short(n: str, floor: int) -> str:
-    """One deletion per full window is enough (at most 13 characters at floor 85)."""
-    return f"({n} - {_common(n, n, floor)} <= 1 and {n} - {_common(n, _least(n, floor), floor)} <= 3)"
-
-
-def _pieces(n: str, floor: int) -> str:
-    """One more piece than the largest number of edits a pair at the floor can have."""
-    return f"cast(floor(2 * {n} * {100 - floor} / 100) + 1 as int)"
+def _parts(n: str, lead: int) -> str:
+    """(b, a): first place and length of each part; what most needles begin with does not count as length."""
+    skip = f"if(z.p > 1 and {n} - {lead} >= 6 * z.p, {lead}, 0)"
+    first = f"if(i = 0, 0, {skip} + cast(floor(i * ({n} - {skip}) / z.p) as int))"
+    end = f"if(i = z.p - 1, {n}, {skip} + cast(floor((i + 1) * ({n} - {skip}) / z.p) as int))"
+    return f"transform(sequence(0, z.p - 1), i -> named_struct('b', {first}, 'a', {end} - {first}))"
 
 
-def _hashed(n: str, keys: str) -> str:
-    return f"array_distinct(transform({keys}, q -> xxhash64({n}, q)))"
+#: Deletions left for the part where the window spends ``d`` of a part's share.
+_SHARE = "cast(floor(z.e / z.p) as int)"
+_SPENT = f"least({_SHARE} - d, z.k)"
 
 
-def needle_keys(text: str, floor: int) -> Column:
-    """Block keys of the shorter text."""
-    n = f"length({text})"
-    windows = f"filter(sequence({_least(n, floor)}, {n}), w -> {_common(n, 'w', floor)} <= w)"
-    cuts = f"array_distinct(transform({windows}, w -> {n} - {_common(n, 'w', floor)}))"
-    near = f"flatten(transform({cuts}, k -> {_dropped(text, 'k')}))"
-    p = _pieces(n, floor)
-    cut = f"cast(floor(j * {n} / {p}) as int)"
-    end = f"cast(floor((j + 1) * {n} / {p}) as int)"
-    pieces = f"transform(sequence(0, {p} - 1), j -> substr({text}, {cut} + 1, {end} - {cut}))"
-    return F.expr(
-        f"case when {n} = 0 then array() when {_is_short(n, floor)} then {_hashed(n, near)} else {_hashed(n, pieces)} end"
-    )
+def needle_keys(text: str, floor: int, lead: int = 0) -> Column:
+    """Block keys of the shorter text. ``lead``: characters that most needles begin with, a hint."""
+    dropped = _dropped(f"substr({text}, s.b + 1, s.a)", _SPENT)
+    per_part = f"flatten(transform(sequence(0, least({_SHARE}, z.d)), d -> {dropped}))"
+    keys = f"flatten(transform({_parts('n', lead)}, s -> {per_part}))"
+    hashed = f"array_distinct(transform({keys}, q -> xxhash64(n, q)))"
+    body = _let("n", f"length({text})", _let("z", _shape("n", floor), hashed))
+    return F.expr(f"case when length({text}) = 0 then array() else {body} end")
 
 
-def hay_keys(text: str, sizes: str, floor: int) -> Column:
-    """Block keys of the longer text, for every shorter-text length in the array ``sizes``."""
+def hay_keys(text: str, sizes: str, floor: int, lead: int = 0) -> Column:
+    """Block keys of the longer text, for every shorter-text length in the array ``sizes``; ``lead`` as for the needles."""
     m = f"length({text})"
-    full = (
-        f"flatten(transform(sequence(1, {m} - n + 1), s -> "
-        f"{_dropped(f'substr({text}, s, n)', 'n - ' + _common('n', 'n', floor))}))"
-    )
-    edges = f"filter(sequence({_least('n', floor)}, n), w -> w < n and {_common('n', 'w', floor)} <= w)"
-    cut = f"w - {_common('n', 'w', floor)}"
-    edge_keys = (
-        f"flatten(transform({edges}, w -> concat({_dropped(f'substr({text}, 1, w)', cut)}, "
-        f"{_dropped(f'substr({text}, {m} - w + 1, w)', cut)})))"
-    )
-    p = _pieces("n", floor)
-    grams = (
-        f"flatten(transform(array_distinct(array(cast(floor(n / {p}) as int), cast(ceil(n / {p}) as int))), "
-        f"g -> transform(sequence(1, {m} - g + 1), s -> substr({text}, s, g))))"
-    )
-    per_size = (
-        f"case when {_is_short('n', floor)} then {_hashed('n', f'concat({full}, {edge_keys})')} "
-        f"else {_hashed('n', grams)} end"
-    )
+    inner = _dropped(f"substr({text}, s + 1, c + d - 2)", "d")
+    ends = f"transform({inner}, y -> concat(substr({text}, s, 1), y, substr({text}, s + c + d - 1, 1)))"
+    at_start = f"if(d = 0, array(substr({text}, s, c)), {ends})"
+    starts = f"if(c + d > {m} or (d > 0 and c < 2), array(), flatten(transform(sequence(1, {m} - c - d + 1), s -> {at_start})))"
+    per_share = f"flatten(transform(sequence(0, least({_SHARE}, z.d)), d -> {_let('c', f'a - {_SPENT}', starts)}))"
+    lengths = f"array_distinct(transform({_parts('n', lead)}, y -> y.a))"
+    keys = f"flatten(transform({lengths}, a -> {per_share}))"
+    per_size = _let("z", _shape("n", floor), f"transform({keys}, q -> xxhash64(n, q))")
     return F.expr(f"array_distinct(flatten(transform(filter({sizes}, n -> n > 0 and n <= {m}), n -> {per_size})))")
 
 
+def shared_lead(texts: DataFrame, column: str) -> int:
+    """How many characters a quarter of the texts begin with alike: even numbers up to 16, counted once each."""
+    begun = texts.select(F.explode(F.expr(f"transform(sequence(2, 16, 2), j -> named_struct('j', j, 'x', substr({column}, 1, j)))")).alias("h"))
+    counts = begun.groupBy("h.j", "h.x").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("j").agg(F.max("n").alias("top"), F.sum("n").alias("total")).collect()
+    return max((r.j for r in rows if 4 * r.top >= r.total), default=0)
+
+
 def _sizes(rows: DataFrame, cells: list[str], text: str) -> DataFrame:
     """Distinct text lengths per cell: bounded by the longest text, whatever the row count."""
     return rows.groupBy(*cells).agg(F.collect_set(F.length(text)).alias("sizes"))
@@ -107,10 +125,11 @@ def gated_pairs(
     points: DataFrame,
     scope: tuple[str, ...],
     floor: int,
-    cell_pairs: int = CELL_PAIRS,
+    pairs_per_row: int = PAIRS_PER_ROW,
 ) -> DataFrame:
     """Distinct references (ref, expected_net, day) with the distinct narrations (text, amount, bank_day)
-    in their gate. Cells of ordinary size pair directly; hot cells only through block keys."""
+    in their gate. A cell pairs directly while that lists few pairs for each of its rows, so that the pairs stay in
+    proportion to the rows; beyond, through block keys. Both find every pair that can reach the floor."""
     cells = [*scope, "_paise", "_week"]
     asks = query_cells(open_keys)
     rows = point_cells(points)
@@ -119,7 +138,7 @@ def gated_pairs(
     rows_n = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("rows"))
     hot = (
         asks_n.join(rows_n, cells)
-        .filter(F.col("asks") * F.col("rows") > cell_pairs)
+        .filter(F.col("asks") * F.col("rows") > pairs_per_row * (F.col("asks") + F.col("rows")))
         .select(*cells)
     )
     identity = [*scope, "ref", "expected_net", "day", "text", "amount", "bank_day"]

@@ -2,11 +2,12 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.narration import partial_ratio
-from ledgerloom.operators.attribution import attribute_bank_rows
-from ledgerloom.operators.blocking import gated_pairs
+from ledgerloom.operators.attribution import _sharing_keys, attribute_bank_rows
+from ledgerloom.operators.blocking import gated_pairs, shared_lead
 from tests import brute
 
 
@@ -73,6 +74,35 @@ def test_block_keys_lose_no_pair(spark):
     assert len(listed) < len(refs) * len(texts) / 4
 
 
+def banked(n, seed):
+    """References that share a bank's code, and narrations that hold edited ones."""
+    r = random.Random(seed)
+    refs = sorted({"HDFC" + word(r, "0123456789", n - 4, n - 4) for _ in range(300)})
+    texts = {mutated(r, x) if r.random() < 0.5 else "NEFT/" + mutated(r, x) + "/ACME"[: r.randrange(6)] for x in refs}
+    return refs, sorted(texts), r
+
+
+@pytest.mark.parametrize("n", [14, 16, 19, 20, 22, 26, 27, 34])
+def test_block_keys_stay_selective_where_references_share_a_prefix(spark, n):
+    refs, texts, r = banked(n, n)
+    left = spark.createDataFrame([(x,) for x in refs], "ref string")
+    right = spark.createDataFrame([(x,) for x in texts], "text string")
+    pairs = _sharing_keys(left, right, "ref", "text", 85).unionByName(
+        _sharing_keys(right.filter(F.length("text") <= n), left, "text", "ref", 85)
+    )
+    listed = {(x.ref, x.text) for x in pairs.distinct().collect()}
+    for text in r.sample(texts, 5):
+        assert {a for a in refs if brute.similarity(a, text) >= 85} <= {a for a, b in listed if b == text}
+    assert len(listed) < 10 * len(texts)
+
+
+def test_shared_lead(spark):
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "t string")
+    assert shared_lead(frame([f"HDFC{i}{i}" for i in range(9)] + ["X"]), "t") == 4
+    assert shared_lead(frame(["ab", "cd", "ef", "gh", "ij"]), "t") == 0
+    assert shared_lead(frame([]), "t") == 0
+
+
 def test_attribution_is_the_argmax(spark):
     refs, texts = texts_and_refs()
     refs, texts = [x for x in refs if x], [x for x in texts if x]
