@@ -350,10 +350,57 @@ def decision_lines(decided: DataFrame) -> DataFrame:
     return decided.select("txn_id", line.alias("line")).withColumn("digest", F.sha2("line", 256))
 
 
+# A Mersenne prime: sums of digests modulo it stay below 2^61.
+DIGEST_PRIME = 2**61 - 1
+
+
+def _halves(line: Column) -> list[Column]:
+    """Two 60-bit numbers from a line's digest."""
+    digest = F.sha2(line, 256)
+    return [F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(2)]
+
+
 def batch_digest(lines: DataFrame) -> DataFrame:
-    """Order-free digest of a batch: xor and count of 60-bit row hashes, combined map-side."""
+    """Order-free digest of a batch, combined map-side: count, xor, and two sums of 60-bit row hashes modulo a prime.
+
+    The xor is blind to lines that come in pairs; the sums count every line as often as it occurs. Digests of parts
+    merge by adding them modulo the prime.
+    """
     h = F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return lines.agg(F.bit_xor(h).alias("xor_digest"), F.count("*").alias("lines"))
+    first, second = _halves(F.col("line"))
+    prime = F.lit(DIGEST_PRIME).cast("decimal(38,0)")
+
+    def total(half: Column) -> Column:
+        return F.coalesce((F.sum(half) % prime).cast("bigint"), F.lit(0))
+
+    return lines.agg(
+        F.bit_xor(h).alias("xor_digest"),
+        F.count("*").alias("lines"),
+        total(first).alias("sum_digest_1"),
+        total(second).alias("sum_digest_2"),
+    )
+
+
+def range_digests(lines: DataFrame, width: int) -> DataFrame:
+    """The same sums for each range of transaction ids that begin alike, to find where two batches differ: (range,
+    lines, sum_digest_1, sum_digest_2). Their sums modulo the prime are those of the batch."""
+    first, second = _halves(F.col("line"))
+    prime = F.lit(DIGEST_PRIME).cast("decimal(38,0)")
+    return lines.groupBy(F.substring("txn_id", 1, width).alias("range")).agg(
+        F.count("*").alias("lines"),
+        (F.sum(first) % prime).cast("bigint").alias("sum_digest_1"),
+        (F.sum(second) % prime).cast("bigint").alias("sum_digest_2"),
+    )
+
+
+def range_snapshot(lines: DataFrame, low: str, high: str) -> DataFrame:
+    """One digest that depends on the order: of the lines of ids in [low, high), sorted and joined by line feeds.
+
+    The lines of the range meet in one row; whoever asks names a range of a size that suits.
+    """
+    inside = lines.filter((F.col("txn_id") >= low) & (F.col("txn_id") < high))
+    text = F.array_join(F.array_sort(F.collect_list("line")), "\n")
+    return inside.agg(F.count("*").alias("lines"), F.sha2(text, 256).alias("digest"))
 
 
 def amount_control(decided: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -20,6 +21,7 @@ from ledgerloom.operators import matching as MT
 from ledgerloom.operators import normalize as N
 from ledgerloom.operators import scoring as S
 from ledgerloom.operators.attribution import attribute_bank_rows
+from ledgerloom.operators.near import near_verdicts
 from ledgerloom.operators.skew import lookup
 from ledgerloom.plans import faithfulness as FF
 from ledgerloom.plans import pipeline as P
@@ -27,9 +29,9 @@ from ledgerloom.plans import quality as Q
 from ledgerloom.plans import replay as RP
 from ledgerloom.plans import reports as R
 from ledgerloom.plans import text_eval as X
-from ledgerloom.session import stage
-from ledgerloom.sources.ingest import checked, ingest_summary
-from ledgerloom.sources.sinks import as_json
+from ledgerloom.session import checkpoint_dir, stage
+from ledgerloom.sources.ingest import checked, ingest, ingest_summary, scan_json_array
+from ledgerloom.sources.sinks import as_json, write_json_arrays
 
 
 class Job:
@@ -344,6 +346,22 @@ def _case_alignment(j: Job) -> DataFrame:
     return FF.case_alignment(j.answers, part(11), j.scores.join(part(13), "case_id", "left_semi"))
 
 
+def _scan_array(j: Job) -> DataFrame:
+    """The bank feed written as JSON arrays and read back through the array scan."""
+    path = os.path.join(checkpoint_dir(j.spark), f"array-{uuid.uuid4().hex}")
+    write_json_arrays(j.feeds["bank"], path, "src_pos")
+    found = ingest(scan_json_array(j.spark, path), "bank")
+    valid = found.valid.select("bank_ref", "utr", "value_date", "narration", _two("credited_amount").alias("credited_amount"))
+    gone = found.rejects.select(
+        F.variant_get(F.parse_json("raw"), "$.bank_ref", "string").alias("bank_ref"),
+        F.col("error_code").alias("utr"),
+        F.lit(None).cast("date").alias("value_date"),
+        F.col("message").alias("narration"),
+        F.lit("").alias("credited_amount"),
+    )
+    return valid.withColumn("kind", F.lit("valid")).unionByName(gone.withColumn("kind", F.lit("rejected")))
+
+
 def _distinct_rows(j: Job) -> DataFrame:
     """Bank rows and their copies without the position: exact copies collapse."""
     rows = j.feeds["bank"].drop("src_pos", "bank_ref")
@@ -370,6 +388,7 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "ingest_summary": lambda j: ingest_summary(j.batch.raw),
     "scan_pg": lambda j: j.batch.ingested["pg"].valid.select(*_PG_RAW, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *[_two(c).alias(c) for c in _PG_MONEY]),
     "scan_bank": lambda j: j.batch.ingested["bank"].valid.select("src_pos", "bank_ref", "utr", "value_date", "narration", _two("credited_amount").alias("credited_amount"), _two("bank_charges").alias("bank_charges")),
+    "scan_array": _scan_array,
     "scan_invoice": lambda j: j.batch.ingested["invoice"].valid.select("src_pos", "invoice_id", "txn_id", "irn", "gstin", "period", *[_two(c).alias(c) for c in ("invoice_amount", "claimed_gst", "claimed_tds")]),
     "scan_labels": lambda j: j.feeds["labels"],
     "batch_summary": lambda j: R.batch_summary(j.decided),
@@ -470,9 +489,12 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "net_collisions": lambda j: Q.net_collisions(j.batch.pg, j.feeds["labels"]),
     "mdr_mix": lambda j: Q.mdr_mix(j.batch.pg),
     "tax_mismatch_precision": lambda j: Q.tax_mismatch_precision(j.labelled),
+    "near_verdicts": lambda j: near_verdicts(j.batch.pg, j.batch.bank).drop("src_pos"),
+    "fuzzy_checked": lambda j: j.decided.filter("bank_match_type in ('fuzzy', 'none')").select("txn_id", "bank_match_type", F.col("gated_bank_rows").alias("fuzzy_candidates_checked")),
     "ambiguity_diagnosis": lambda j: Q.ambiguity_diagnosis(j.decided, j.batch.bank),
     "decision_lines": lambda j: Q.decision_lines(j.decided),
     "batch_digest": lambda j: Q.batch_digest(Q.decision_lines(j.decided)),
+    "range_digests": lambda j: Q.range_digests(Q.decision_lines(j.decided), 8),
     "case_table": _case_rows,
     "replay_cases": lambda j: j.replayed.select("case_id", "txn_id", "status", "exception_code", "confidence_score", "outcome"),
     "gold_comparison": lambda j: RP.gold_comparison(j.replayed),

@@ -575,8 +575,21 @@ FINAL["explanation_summary"] = f"""SELECT count(*) AS total, count(*) AS status_
     count_if(confidence_preserved) AS confidence_preserved, count_if(reason_codes_preserved) AS reason_codes_preserved, count(*) AS evidence_preserved,
     count_if(unsupported_claims = '' AND missing_facts = '') AS semantically_faithful, count_if(unsupported_claims <> '') AS safety_critical,
     CAST(0 AS BIGINT) AS contradictory_cases, count_if(unsupported_claims <> '') AS unsupported_claim_cases FROM ({_SCORED})"""
-FINAL["batch_digest"] = """SELECT bit_xor(CAST('0x' || substr(md5(line), 1, 15) AS BIGINT)) AS xor_digest, count(*) AS lines
-    FROM (SELECT concat_ws('|', txn_id, status, code, codes, CAST(total AS VARCHAR), rule) AS line FROM d)"""
+_LINES = "SELECT txn_id, concat_ws('|', txn_id, status, code, codes, CAST(total AS VARCHAR), rule) AS line FROM d"
+_SUMS = ", ".join(
+    f"CAST(COALESCE(sum(CAST('0x' || substr(sha256(line), {1 + 15 * k}, 15) AS HUGEINT)) % 2305843009213693951, 0) AS BIGINT) AS sum_digest_{k + 1}" for k in range(2)
+)
+FINAL["batch_digest"] = f"""SELECT bit_xor(CAST('0x' || substr(md5(line), 1, 15) AS BIGINT)) AS xor_digest, count(*) AS lines, {_SUMS} FROM ({_LINES})"""
+FINAL["range_digests"] = f"SELECT substr(txn_id, 1, 8) AS range, count(*) AS lines, {_SUMS} FROM ({_LINES}) GROUP BY 1"
+FINAL["scan_array"] = f"""SELECT bank_ref, utr, CAST(day AS VARCHAR) AS value_date, narration, {_v('amount')} AS credited_amount, 'valid' AS kind FROM bank
+  UNION ALL SELECT b.bank_ref, r.error_code, NULL, r.message, '', 'rejected' FROM rej r JOIN bank_raw b ON b.src_pos = r.src_pos WHERE r.source = 'bank'"""
+# near the amount at any date: the anchor's own rows, rivals in the date window, and the rest
+FINAL["near_verdicts"] = """SELECT p.txn_id, COALESCE(x.near_rows, 0) AS near_rows, COALESCE(x.skipped, 0) AS skipped_rows, COALESCE(x.evidence, 0) AS evidence_rows,
+    COALESCE(x.near_rows - x.skipped - x.evidence, 0) AS rejected_rows
+  FROM pg p LEFT JOIN (SELECT p.src_pos, count(*) AS near_rows, count_if(COALESCE(b.txn_id = p.txn_id, FALSE)) AS skipped,
+      count_if(NOT COALESCE(b.txn_id = p.txn_id, FALSE) AND abs(date_diff('day', p.day, b.day)) <= 3) AS evidence
+    FROM pg p JOIN bank b ON b.amount BETWEEN p.net - 0.01 AND p.net + 0.01 GROUP BY p.src_pos) x ON x.src_pos = p.src_pos"""
+FINAL["fuzzy_checked"] = "SELECT txn_id, tier AS bank_match_type, gated_n AS fuzzy_candidates_checked FROM d WHERE tier IN ('fuzzy', 'none')"
 FINAL["faithfulness_report"] = f"""SELECT measure, CAST(cases AS BIGINT) AS cases, total, CAST(round(CAST(cases AS DECIMAL(30,6)) * 100 / CAST(total AS DECIMAL(30,6)), 4) AS DOUBLE) AS rate_percent
   FROM (SELECT count(*) AS total, (SELECT count(*) FROM d WHERE src_pos % 9 <> 0) AS generation_success, count_if(unsupported_claims <> '') AS safety_failure, CAST(0 AS BIGINT) AS contradiction,
       count_if(unsupported_claims <> '') AS unsupported_claim, count_if(unsupported_claims = '' AND missing_facts = '') AS semantic_faithfulness,
