@@ -24,17 +24,19 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root: no node has two smaller neighbours, and no smaller neighbour has any."""
+    nodes = edges.groupBy("u").agg(F.count("*").alias("n"))
+    roots = edges.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(True))
+    return nodes.join(roots, "u", "left").where("n > 1 or root").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node in ``links`` (u, v); root is the smallest node of its component."""
     edges = scratch.staged(
         links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
+    while not _stars(edges):
         before, edges = edges, scratch.staged(_starred(_starred(edges, True), False), "edges")
         scratch.drop(before)
     # Converged: every node hangs on its root.

@@ -47,8 +47,8 @@ SKETCH, KEYS, PERCENT = 64, 12, 75
 ESTIMATE = 0.5
 #: A set of which a smaller share of the retained values occurs elsewhere links with nothing: at 0.75 that is more than six standard errors.
 RETAINED = 0.375
-#: Rounds end when they find fewer links than this share of the listed sets; counts when they drop less of the rest.
-PROGRESS, FEWER = 0.02, 0.2
+#: Rounds end when they find fewer links than this share of the listed sets.
+PROGRESS = 0.02
 #: Members and bytes of a block of the last comparison.
 BLOCK_SETS, BLOCK_BYTES = 256, 8 << 20
 _LONG = pa.int64()
@@ -206,17 +206,9 @@ def _foreign(held: DataFrame, share: float) -> DataFrame:
     return counts.where(F.col("foreign") >= share * F.col("n")).select("rep", "comp")
 
 
-def _linkable(scratch: Scratch, rest: DataFrame, reps: DataFrame) -> DataFrame:
-    """The reps (rep, comp) of ``rest`` that other components share enough retained values with. Counted again while
-    that drops many, since what is dropped no longer counts for the others."""
-    size = rest.count()
-    while True:
-        held = rest.join(reps.select("rep", F.col("sketch").alias("values")), "rep")
-        left = scratch.staged(_foreign(held, RETAINED), "linkable")
-        scratch.drop(rest)
-        rest, was, size = left, size, left.count()
-        if size > (1 - FEWER) * was:
-            return rest
+def _linkable(rest: DataFrame, reps: DataFrame) -> DataFrame:
+    """The reps (rep, comp) of ``rest`` that other components share enough retained values with."""
+    return _foreign(rest.join(reps.select("rep", F.col("sketch").alias("values")), "rep"), RETAINED)
 
 
 def _block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -297,7 +289,7 @@ def _grouped(scratch: Scratch, docs: DataFrame, reps: DataFrame, same_id: DataFr
     shared = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     entries = scratch.staged(every.join(shared, "key", "left_semi"), "entries")
     listed = entries.select("rep", F.col("rep").alias("comp")).distinct()
-    few = _linkable(scratch, scratch.staged(listed, "listed"), reps).select("rep")
+    few = scratch.staged(_linkable(listed, reps), "linkable").select("rep")
     entries = scratch.staged(entries.join(few, "rep", "left_semi"), "entries")
     nodes = few.unionByName(same_id.select(F.col("u").alias("rep"))).unionByName(same_id.select(F.col("v").alias("rep")))
     state = scratch.staged(
@@ -306,7 +298,7 @@ def _grouped(scratch: Scratch, docs: DataFrame, reps: DataFrame, same_id: DataFr
     sets = scratch.staged(_listed_sets(docs, state, repeated), "sets")
     if not same_id.isEmpty():
         state = _joined_up(scratch, state, same_id)
-    own = [reps, same_id, repeated, *scratch.named("sketches", "classes")]
+    own = [reps, same_id, repeated, *scratch.named("sketches")]
     while True:
         lists = scratch.staged(_open(entries.select("key", "rep", "n").join(state, "rep")), "lists")
         size = lists.count()
@@ -326,14 +318,14 @@ def _grouped(scratch: Scratch, docs: DataFrame, reps: DataFrame, same_id: DataFr
             state = _rest_joined(scratch, lists, state, reps, sets)
             break
         scratch.drop_all_but(entries, sets, state, *own)
-    scratch.drop_all_but(state, *scratch.named("sketches", "classes"))
+    scratch.drop_all_but(state, reps, *scratch.named("sketches"))
     return state.select("rep", "comp")
 
 
 def _rest_joined(scratch: Scratch, lists: DataFrame, state: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """``state`` with what is still apart in open ``lists`` compared exactly."""
     lists = scratch.staged(_open(lists.select("key", "rep", "n").join(state, "rep")), "lists")
-    rest = _linkable(scratch, scratch.staged(lists.select("rep", "comp").distinct(), "rest"), reps)
+    rest = _linkable(lists.select("rep", "comp").distinct(), reps)
     held = rest.join(sets.select("rep", F.col("members").alias("values")), "rep")
     rest = scratch.staged(_foreign(held, PERCENT / 100), "rest")
     if rest.isEmpty():
@@ -348,27 +340,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     marks = scratch.staged(sketches(docs), "sketches")
     linkable = marks.where("n > 0 and doc_id is not null")
-    classes = scratch.staged(
-        linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("size")), "classes"
-    )
-    # One row of each class; of repeated ids, only a row with the class's own set.
+    # one row of each class, with the smallest id that has the set
+    first = F.min_by(F.struct("doc_id", "sketch", "n"), "doc_id").alias("first")
     reps = scratch.staged(
-        linkable.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"])
-        .groupBy(F.col("doc_id").alias("rep"), "s1", "s2")
-        .agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")),
+        linkable.groupBy("s1", "s2").agg(first).select("s1", "s2", F.col("first.doc_id").alias("rep"), "first.sketch", "first.n"),
         "representatives",
     )
-    of_class = classes.select("s1", "s2", "rep")
-    # rows of one id may be in several classes
-    own = linkable.select("doc_id", "s1", "s2").join(of_class, ["s1", "s2"]).select("doc_id", "rep")
-    several = own.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("hi")).where("u < hi")
-    same_id = scratch.staged(
-        own.join(several, "doc_id").where("rep > u").select("u", F.col("rep").alias("v")).distinct(), "same-id"
-    )
+    of_class = reps.select("s1", "s2", "rep")
     repeated = scratch.staged(
         linkable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("id")),
         "repeated",
     )
+    # rows of one id may be in several classes
+    again = linkable.join(repeated.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    own = again.select("doc_id", "s1", "s2").join(of_class, ["s1", "s2"]).select("doc_id", "rep").distinct()
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("u"))
+    same_id = own.join(several, "doc_id").where("rep > u").select("u", F.col("rep").alias("v"))
+    if repeated.isEmpty():
+        same_id = same_id.limit(0)
+    same_id = scratch.staged(same_id, "same-id")
     roots = _grouped(scratch, docs, reps, same_id, repeated)
     return (
         marks.join(of_class, ["s1", "s2"], "left")
