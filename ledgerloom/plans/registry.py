@@ -351,7 +351,7 @@ def _scan_array(j: Job) -> DataFrame:
     path = os.path.join(checkpoint_dir(j.spark), f"array-{uuid.uuid4().hex}")
     write_json_arrays(j.feeds["bank"], path, "src_pos")
     found = ingest(scan_json_array(j.spark, path), "bank")
-    valid = found.valid.select("bank_ref", "utr", "value_date", "narration", _two("credited_amount").alias("credited_amount"))
+    valid = found.valid.select("bank_ref", "utr", "value_date", "narration", _two("credited_amount").cast("string").alias("credited_amount"))
     gone = found.rejects.select(
         F.variant_get(F.parse_json("raw"), "$.bank_ref", "string").alias("bank_ref"),
         F.col("error_code").alias("utr"),
