@@ -22,6 +22,7 @@ from ledgerloom.operators import normalize as N
 from ledgerloom.operators import scoring as S
 from ledgerloom.operators.attribution import attribute_bank_rows
 from ledgerloom.operators.near import near_verdicts
+from ledgerloom.operators.rejected import rejected_rows
 from ledgerloom.operators.skew import lookup
 from ledgerloom.plans import faithfulness as FF
 from ledgerloom.plans import pipeline as P
@@ -426,6 +427,7 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "best_bank": lambda j: j.decided.select("txn_id", F.col("bank.bank_ref").alias("bank_ref"), _two("bank.amount").alias("amount")),
     "best_invoice": lambda j: j.decided.select("txn_id", F.col("invoice.invoice_id").alias("invoice_id")),
     "rejected_candidates": _rejected_candidates,
+    "rejected_rows": lambda j: rejected_rows(j.decided, j.batch.bank).select("tier", "key", "ask_day", _two("ask_net").alias("ask_net"), "anchors", "rank", "bank_ref"),
     "duplicate_flag": lambda j: _by(j, "duplicate_detected"),
     "ambiguity_flag": lambda j: _by(j, "is_ambiguous"),
     "authoritative": lambda j: j.decided.select("txn_id", "authoritative_match", F.col("sources_present").alias("sources")),

@@ -583,6 +583,12 @@ FINAL["batch_digest"] = f"""SELECT bit_xor(CAST('0x' || substr(md5(line), 1, 15)
 FINAL["range_digests"] = f"SELECT substr(txn_id, 1, 8) AS range, count(*) AS lines, {_SUMS} FROM ({_LINES}) GROUP BY 1"
 FINAL["scan_array"] = f"""SELECT bank_ref, utr, CAST(day AS VARCHAR) AS value_date, narration, {_v('amount')} AS credited_amount, 'valid' AS kind FROM bank
   UNION ALL SELECT b.bank_ref, r.error_code, NULL, r.message, '', 'rejected' FROM rej r JOIN bank_raw b ON b.src_pos = r.src_pos WHERE r.source = 'bank'"""
+# one list for each question; groups of one day and amount have one order for all
+FINAL["rejected_rows"] = f"""SELECT tier, key, CAST(ask_day AS VARCHAR) AS ask_day, {_v('ask_net')} AS ask_net, count(*) AS anchors, rn - 1 AS rank, bank_ref
+  FROM (SELECT r.tier, r.rn, r.bank_ref, CASE WHEN r.tier = 'exact_txn' THEN p.txn_id ELSE p.utr END AS key,
+      CASE WHEN r.tier = 'fuzzy' OR NOT r.uniform THEN p.day END AS ask_day, CASE WHEN r.tier = 'fuzzy' OR NOT r.uniform THEN p.net END AS ask_net
+    FROM (SELECT *, min(day) OVER (PARTITION BY a) = max(day) OVER (PARTITION BY a) AND min(amount) OVER (PARTITION BY a) = max(amount) OVER (PARTITION BY a) AS uniform
+      FROM ranked WHERE n > 1) r JOIN pg p ON p.src_pos = r.a) WHERE rn > 1 GROUP BY ALL"""
 # near the amount at any date: the anchor's own rows, rivals in the date window, and the rest
 FINAL["near_verdicts"] = """SELECT p.txn_id, COALESCE(x.near_rows, 0) AS near_rows, COALESCE(x.skipped, 0) AS skipped_rows, COALESCE(x.evidence, 0) AS evidence_rows,
     COALESCE(x.near_rows - x.skipped - x.evidence, 0) AS rejected_rows
