@@ -2,8 +2,8 @@
 
 Every document is encoded, gets an end id and, only where it is longer than a sequence, is cut into pieces of full
 length of which the first may be shorter. Pieces are dealt by hash to groups of a bounded number of pieces, and each group
-is packed on its own: fill greedily (longest first, each into the fullest bin that has room), then take a bin's
-smallest piece out wherever two unplaced pieces fill the widened gap more tightly. With ``GROUP_PIECES`` pieces in a
+is packed on its own: a sequence is filled greedily (the longest unpacked piece that fits, again and again), then its
+smallest piece is taken out wherever two unpacked pieces fill the widened gap more tightly, before the next one begins. With ``GROUP_PIECES`` pieces in a
 group, dealing costs at most one partly filled sequence in thousands.
 
 Cases: null and empty texts are the end id alone; a null id is packed like any other; repeated rows are packed as often
@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,73 +117,75 @@ def pieces(docs: DataFrame, ranks_path: str) -> DataFrame:
     )
 
 
-def best_two_fit(lengths: list[int], most: int = SEQUENCE) -> list[list[int]]:
-    """Bins of indices. First best-fit, longest first; then bins that are not full give up their smallest piece for the
-    two pieces of the emptiest bins that fill the gap best, and emptied bins vanish."""
-    room: list[list[int]] = [[] for _ in range(most + 1)]  # bins by free space
-    free_sizes: list[int] = []  # free spaces that some bin has, ascending
-    bins: list[list[int]] = []
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
-        at = bisect_right(free_sizes, n - 1)
-        if at < len(free_sizes):
-            free = free_sizes[at]
-            b = room[free].pop()
-            if not room[free]:
-                del free_sizes[at]
-        else:
-            free, b = most, len(bins)
-            bins.append([])
-        bins[b].append(i)
-        if free > n:
-            if not room[free - n]:
-                insort(free_sizes, free - n)
-            room[free - n].append(b)
-    return _refine(bins, lengths, most)
-
-
-def _refine(bins: list[list[int]], lengths: list[int], most: int) -> list[list[int]]:
-    """Open the emptiest bins, and let the others take two of the loose pieces for their smallest one where that leaves
-    less room. Kept only if what stays loose then needs fewer bins."""
-    used = [sum(lengths[i] for i in b) for b in bins]
-    order = sorted(range(len(bins)), key=lambda b: (used[b], b))
-    spare = sum(most - u for u in used)
-    opened = order[: max(1, min(len(bins) // 20, 2 * (spare // most)))] if bins else []
-    if spare < most:
-        return bins
-    loose: list[tuple[int, int]] = sorted((lengths[i], i) for b in opened for i in bins[b])
-    out = []
-    for b in sorted(order[len(opened) :], key=lambda b: (used[b], b)):
-        items, gap = list(bins[b]), most - used[b]
-        if gap and loose:
-            small = min(items, key=lambda i: (lengths[i], i))
-            wide = gap + lengths[small]
-            best = None
-            lo, hi = 0, len(loose) - 1
-            while lo < hi:  # the pair with the largest sum that fits
-                both = loose[lo][0] + loose[hi][0]
-                if both > wide:
-                    hi -= 1
-                    continue
-                if best is None or both > best[0]:
-                    best = (both, lo, hi)
-                lo += 1
-            if best and best[0] > lengths[small]:
-                first, second = loose[best[1]], loose[best[2]]
-                del loose[best[2]], loose[best[1]]
-                insort(loose, (lengths[small], small))
-                items = [i for i in items if i != small] + [first[1], second[1]]
-        out.append(items)
-    rest: list[tuple[int, list[int]]] = []  # best-fit of what is still loose, longest first
-    for n, i in reversed(loose):
-        at = next((k for k, (free, _) in enumerate(rest) if free >= n), None)
-        if at is None:
-            rest.append((most - n, [i]))
-        else:
-            rest[at] = (rest[at][0] - n, [*rest[at][1], i])
-        rest.sort(key=lambda x: x[0])
-    packed = out + [b for _, b in rest]
-    return packed if len(packed) < len(bins) else bins
+class _Unpacked:
+    """The lengths that are still unpacked, as a set of bits each way, and the pieces of each length."""
+
+    def __init__(self, lengths: list[int], most: int):
+        self.most = most
+        self.pieces: list[list[int]] = [[] for _ in range(most + 1)]
+        for i in sorted(range(len(lengths)), reverse=True):
+            self.pieces[lengths[i]].append(i)
+        self.bits = sum(1 << n for n in range(1, most + 1) if self.pieces[n])
+        #: The same from the other end, so that one shift lines up lengths of equal sum.
+        self.mirror = sum(1 << (most - n) for n in range(1, most + 1) if self.pieces[n])
+
+    def largest(self, room: int) -> int:
+        """The largest length of at most ``room``; 0 if there is none."""
+        return max(0, (self.bits & ((1 << (room + 1)) - 1)).bit_length() - 1)
+
+    def two(self, room: int, above: int) -> tuple[int, int] | None:
+        """Two lengths of the largest sum up to ``room`` that exceeds ``above``."""
+        for total in range(room, max(above, 1), -1):
+            # a bit y is set in the shifted mirror where total - y is unpacked
+            shift = self.most - total
+            other = self.mirror >> shift if shift >= 0 else self.mirror << -shift
+            found = self.bits & other & ((1 << total) - 2)
+            if total % 2 == 0 and len(self.pieces[total // 2]) == 1:
+                found &= ~(1 << (total // 2))
+            if found:
+                one = found.bit_length() - 1
+                return one, total - one
+        return None
+
+    def take(self, n: int) -> int:
+        i = self.pieces[n].pop()
+        if not self.pieces[n]:
+            self.bits ^= 1 << n
+            self.mirror ^= 1 << (self.most - n)
+        return i
+
+    def give_back(self, n: int, i: int) -> None:
+        if not self.pieces[n]:
+            self.bits ^= 1 << n
+            self.mirror ^= 1 << (self.most - n)
+        self.pieces[n].append(i)
+
+
+def best_two_fit(lengths: list[int], most: int = SEQUENCE, replace: bool = True) -> list[list[int]]:
+    """Bins of indices. A bin takes the largest unpacked piece that fits while there is one. Then its smallest piece goes
+    back wherever two unpacked pieces fill the widened gap more tightly, until none do; only then the next bin begins.
+    ``replace``: without it the greedy filling alone."""
+    unpacked = _Unpacked(lengths, most)
+    bins = []
+    while unpacked.bits:
+        items: list[int] = []
+        gap = most
+        while n := unpacked.largest(gap):
+            items.append(unpacked.take(n))
+            gap -= n
+        while replace and gap and len(items) > 1:
+            # largest first, so the smallest is the last
+            small = items[-1]
+            pair = unpacked.two(gap + lengths[small], lengths[small])
+            if pair is None:
+                break
+            items.pop()
+            gap += lengths[small] - sum(pair)
+            new = [unpacked.take(n) for n in pair]
+            unpacked.give_back(lengths[small], small)
+            items = sorted(items + new, key=lambda i: -lengths[i])
+        bins.append(items)
+    return bins
 
 
 def pack(parts: DataFrame, count: int) -> DataFrame:
