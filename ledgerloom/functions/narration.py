@@ -94,25 +94,43 @@ def _bits_best(needle: str, hay: str, floor: int) -> str:
     return _let("n", f"length({needle})", with_ones)
 
 
-def _rows_best(needle: str, hay: str, floor: int) -> str:
-    """The same score by the row-wise recurrence, for needles longer than one word."""
-    cell = (
-        "concat(acc, array(if(get(part, j - 1) = ch, if(j > 1, get(row, j - 2), 0) + 1, "
-        "greatest(if(j > 1, get(acc, j - 2), 0), get(row, j - 1)))))"
+def _words_best(needle: str, hay: str, floor: int) -> str:
+    """The same over several words of needle positions: the sum of a word passes its carry on to the next one."""
+    full = (1 << _WORD) - 1
+    positions = (
+        f"aggregate(slice(letters, {_WORD} * b + 1, {_WORD}), named_struct('bit', 1L, 'mask', 0L), (acc, x) -> named_struct("
+        "'bit', shiftleft(acc.bit, 1), 'mask', if(x = c, acc.mask | acc.bit, acc.mask)), acc -> acc.mask)"
+    )
+    places = "transform(places, b -> {})".format(positions)
+    none = "transform(places, b -> 0L)"
+    masks = f"transform(split({hay}, ''), h -> coalesce(get(table, cast(array_position(alphabet, h) - 1 as int)), {none}))"
+    word = (
+        "named_struct('carry', shiftright(s, {w}), 'done', concat(acc.done, "
+        "array(((s & {full}L) | (get(v, i) & ~get(k, i))) & get(ones, i))))"
+    ).format(w=_WORD, full=full)
+    added = "get(v, i) + (get(v, i) & get(k, i)) + acc.carry"
+    step = (
+        "aggregate(places, named_struct('carry', 0L, 'done', cast(array() as array<bigint>)), "
+        f"(acc, i) -> {_let('s', added, word)}, acc -> acc.done)"
     )
-    step = f"aggregate(sequence(1, w.size), slice(row, 1, 0), (acc, j) -> {cell})"
-    last = f"aggregate(split({needle}, ''), array_repeat(0, w.size), (row, ch) -> {step})"
-    score = f"element_at({last}, -1) * 200.0D / (length({needle}) + w.size)"
-    windows = _windows(f"length({needle})", f"length({hay})", floor)
-    scored = _let("part", f"slice(split({hay}, ''), w.start, w.size)", score)
-    return f"array_max(transform({windows}, w -> {scored}))"
+    state = f"aggregate(slice(masks, w.start, w.size), ones, (v, k) -> {step})"
+    left = f"aggregate({state}, 0, (acc, x) -> acc + cast(bit_count(x) as int))"
+    score = f"(n - {left}) * 200.0D / (n + w.size)"
+    best = f"array_max(transform({_windows('n', 'size(masks)', floor)}, w -> {score}))"
+    with_masks = _let("masks", masks, best)
+    with_table = _let("table", f"transform(alphabet, c -> {places})", with_masks)
+    with_alphabet = _let("alphabet", "array_distinct(letters)", with_table)
+    sizes = f"transform(places, b -> shiftleft(1L, cast(least({_WORD}, n - {_WORD} * b) as int)) - 1L)"
+    with_ones = _let("ones", sizes, with_alphabet)
+    with_places = _let("places", f"sequence(0, cast(ceil(n / {_WORD}) as int) - 1)", with_ones)
+    return _let("letters", f"split({needle}, '')", _let("n", f"length({needle})", with_places))
 
 
 def _best_window(needle: str, hay: str, floor: int) -> str:
     return (
         f"case when contains({hay}, {needle}) then 100.0D "
         f"when length({needle}) <= {_WORD} then {_bits_best(needle, hay, floor)} "
-        f"else {_rows_best(needle, hay, floor)} end"
+        f"else {_words_best(needle, hay, floor)} end"
     )
 
 

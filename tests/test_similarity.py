@@ -36,6 +36,10 @@ def test_partial_ratio_matches_the_definition(spark):
     pairs = [("UTR694524394", "UPI/3TR694524394/MERCH_004/NET STLMNT"), ("", ""), ("", "a"), ("abc", None), (None, None)]
     pairs += [(word(r, "abc1", 0, 15), word(r, "abc1", 0, 20)) for _ in range(250)]
     pairs += [(word(r, "abc1", 65, 70), word(r, "abc1", 65, 80)) for _ in range(3)]
+    # around the ends of words of needle positions
+    pairs += [(word(r, "abc1", n, n), word(r, "abc1", n, n + 6)) for n in (60, 61, 62, 121, 122, 123)]
+    long = word(r, "abcdefgh", 150, 150)
+    pairs += [(mutated(r, long), word(r, "abc", 0, 5) + mutated(r, long)), (long[:100], long)]
     rows = spark.createDataFrame(pairs, "a string, b string").select(
         "a", "b", partial_ratio("a", "b").alias("full"), partial_ratio("a", "b", 85).alias("cut")
     )
