@@ -342,9 +342,10 @@ def _case_rows(j: Job) -> DataFrame:
 
 
 def _case_alignment(j: Job) -> DataFrame:
-    """Generations and scores with cases left out, so that the three tables differ."""
-    part = lambda n: j.answers.filter(F.pmod("src_pos", F.lit(n)) != 0)
-    return FF.case_alignment(j.answers, part(11), j.scores.join(part(13), "case_id", "left_semi"))
+    """Every case, the cases whose explanation has an amount to quote, and the scores of cases that need a review."""
+    quoting = j.answers.filter("claimed_amount is not null")
+    reviewed = j.answers.filter("status <> 'MATCHED'")
+    return FF.case_alignment(j.answers, quoting, j.scores.join(reviewed, "case_id", "left_semi"))
 
 
 def _scan_array(j: Job) -> DataFrame:
@@ -514,7 +515,7 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "explanation_scores": lambda j: j.scores.drop("category"),
     "explanation_summary": lambda j: FF.explanation_summary(j.scores),
     "case_alignment": _case_alignment,
-    "faithfulness_report": lambda j: FF.faithfulness_report(j.answers, j.answers.select("case_id", (F.pmod("src_pos", F.lit(9)) != 0).alias("succeeded")), j.scores),
+    "faithfulness_report": lambda j: FF.faithfulness_report(j.answers, j.answers.select("case_id", F.col("claimed_amount").isNotNull().alias("succeeded")), j.scores),
     "faithfulness_gaps": lambda j: FF.faithfulness_gaps(j.scores),
 }
 

@@ -597,14 +597,14 @@ FINAL["near_verdicts"] = """SELECT p.txn_id, COALESCE(x.near_rows, 0) AS near_ro
     FROM pg p JOIN bank b ON b.amount BETWEEN p.net - 0.01 AND p.net + 0.01 GROUP BY p.src_pos) x ON x.src_pos = p.src_pos"""
 FINAL["fuzzy_checked"] = "SELECT txn_id, tier AS bank_match_type, gated_n AS fuzzy_candidates_checked FROM d WHERE tier IN ('fuzzy', 'none')"
 FINAL["faithfulness_report"] = f"""SELECT measure, CAST(cases AS BIGINT) AS cases, total, CAST(round(CAST(cases AS DECIMAL(30,6)) * 100 / CAST(total AS DECIMAL(30,6)), 4) AS DOUBLE) AS rate_percent
-  FROM (SELECT count(*) AS total, (SELECT count(*) FROM d WHERE src_pos % 9 <> 0) AS generation_success, count_if(unsupported_claims <> '') AS safety_failure, CAST(0 AS BIGINT) AS contradiction,
+  FROM (SELECT count(*) AS total, (SELECT count(*) FROM d WHERE has_b) AS generation_success, count_if(unsupported_claims <> '') AS safety_failure, CAST(0 AS BIGINT) AS contradiction,
       count_if(unsupported_claims <> '') AS unsupported_claim, count_if(unsupported_claims = '' AND missing_facts = '') AS semantic_faithfulness,
       count(*) AS status_preserved, count_if(amounts_preserved) AS amounts_preserved, count(*) AS tax_preserved, count_if(confidence_preserved) AS confidence_preserved,
       count_if(reason_codes_preserved) AS reason_codes_preserved, count(*) AS evidence_preserved FROM ({_SCORED}))
   UNPIVOT (cases FOR measure IN (generation_success, safety_failure, contradiction, unsupported_claim, semantic_faithfulness, status_preserved, amounts_preserved,
     tax_preserved, confidence_preserved, reason_codes_preserved, evidence_preserved))"""
-FINAL["case_alignment"] = """SELECT txn_id AS case_id, TRUE AS in_dataset, src_pos % 11 <> 0 AS in_generated, src_pos % 13 <> 0 AS in_scored
-  FROM d WHERE src_pos % 11 = 0 OR src_pos % 13 = 0"""
+FINAL["case_alignment"] = """SELECT txn_id AS case_id, TRUE AS in_dataset, has_b AS in_generated, status <> 'MATCHED' AS in_scored
+  FROM d WHERE NOT (has_b AND status <> 'MATCHED')"""
 FINAL["faithfulness_gaps"] = f"""SELECT 'material_fact_gap' AS gap, txn_id AS case_id FROM ({_SCORED}) WHERE missing_facts <> ''
     UNION ALL SELECT 'reason_code_semantic_gap', txn_id FROM ({_SCORED}) WHERE NOT reason_codes_preserved"""
 
