@@ -272,7 +272,7 @@ def build(final: str) -> str:
         needed |= used
         texts += [CTES[n] for n in used]
     kept = {name: sql for name, sql in CTES.items() if name in needed}
-    chain = ", ".join(f"{name} AS MATERIALIZED ({sql.strip()})" if name in ("gate", "edge", "d", "sims", "open_pairs", "link_sims", "attr") else f"{name} AS ({sql.strip()})" for name, sql in kept.items())
+    chain = ", ".join(f"{name} AS MATERIALIZED ({sql.strip()})" if name in ("gate", "edge", "d", "sims", "open_pairs", "link_sims", "attr", "scored") else f"{name} AS ({sql.strip()})" for name, sql in kept.items())
     return f"WITH {chain} {final.strip()}" if kept else final.strip()
 
 
@@ -568,9 +568,10 @@ _SCORED = f"""SELECT *, CASE WHEN unsupported_claims <> '' THEN 0 ELSE 20 + CASE
     status <> 'MATCHED' OR reason_codes = '' AS reason_codes_preserved,
     CASE WHEN stray IS NOT NULL AND stray <> claimed_amount AND stray <> expected_amount THEN {_short('stray')} ELSE '' END AS unsupported_claims
     FROM (SELECT *, {_SAID} AS said FROM ({_ANSWERS}))))"""
+CTES["scored"] = _SCORED
 _FLAGS = "TRUE AS status_preserved, amounts_preserved, TRUE AS tax_preserved, confidence_preserved, reason_codes_preserved, TRUE AS evidence_preserved"
 FINAL["explanation_scores"] = f"""SELECT txn_id AS case_id, {_FLAGS}, '' AS contradictions, unsupported_claims, missing_facts, unsupported_claims <> '' AS safety_critical,
-    unsupported_claims = '' AND missing_facts = '' AS semantically_faithful, CAST(score AS BIGINT) AS score FROM ({_SCORED})"""
+    unsupported_claims = '' AND missing_facts = '' AS semantically_faithful, CAST(score AS BIGINT) AS score FROM scored"""
 FINAL["explanation_summary"] = f"""SELECT count(*) AS total, count(*) AS status_preserved, count_if(amounts_preserved) AS amounts_preserved, count(*) AS tax_preserved,
     count_if(confidence_preserved) AS confidence_preserved, count_if(reason_codes_preserved) AS reason_codes_preserved, count(*) AS evidence_preserved,
     count_if(unsupported_claims = '' AND missing_facts = '') AS semantically_faithful, count_if(unsupported_claims <> '') AS safety_critical,
