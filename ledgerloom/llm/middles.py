@@ -154,3 +154,32 @@ def op11_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
     )
+
+
+#: The same in SQL, over ids that are not null.
+OP11_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS parts,
+    sha256('7:' || CAST(doc_id AS VARCHAR)) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(parts) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM units
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), split AS (
+  SELECT *, coalesce(array_to_string(parts[1:a], ''), '') AS pre, coalesce(array_to_string(parts[a + 1:b], ''), '') AS mid,
+    coalesce(array_to_string(parts[b + 1:n], ''), '') AS suf
+  FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM split
+"""

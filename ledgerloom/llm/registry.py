@@ -10,7 +10,7 @@ from ledgerloom.llm.bpe import op3_bpe
 from ledgerloom.llm.language import op7_language
 from ledgerloom.llm.lines import OP10_SQL, op10_lines
 from ledgerloom.llm.maxent import op2_maxent
-from ledgerloom.llm.middles import op11_middles
+from ledgerloom.llm.middles import OP11_SQL, op11_middles
 from ledgerloom.llm.minhash import op1_minhash
 from ledgerloom.llm.nearest_vectors import op6_nearest
 from ledgerloom.llm.packing import op9_packing
@@ -36,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_periods": op13_periods,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_repeats": OP4_SQL, "op10_lines": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_repeats": OP4_SQL, "op10_lines": OP10_SQL, "op11_middles": OP11_SQL}
