@@ -1,13 +1,17 @@
 """Largest inner products through shifted Hilbert orderings.
 
-Maximum inner product becomes nearest neighbour by one more coordinate: sqrt(M^2 - |x|^2) for an indexed vector and 0 for
-a query, M being the largest norm. Several random projections to a few dimensions, each shifted at random, are laid
-along a Hilbert curve. Each ordering is cut into ``BLOCKS`` ranges of equal numbers of rows; a query is scored, in double
-precision, against every vector of its own and the neighbouring ranges, and the results of all orderings are merged.
+The vectors of one length are cut into at most ``BANDS`` bands by norm, each a factor of sqrt(2) wide (the last takes all
+smaller norms), so that a few long vectors don't press the rest into a corner. In a band, maximum inner product becomes
+nearest neighbour by one more coordinate: sqrt(M^2 - |x|^2) for an indexed vector and 0 for a query of norm M, M being the
+band's largest norm. Several random projections to a few dimensions, each shifted at random, are laid along a Hilbert
+curve. Each ordering is cut into ``BLOCKS`` ranges of equal numbers of rows; a query is scored, in double precision,
+against every vector of its own and the neighbouring ranges, in every band, and the results of all orderings are merged.
+A band no larger than one window is scored whole, once, without curves.
 
 A window is a share of the rows, the same at every size. On nearly isotropic vectors no index finds nine in ten of the
 neighbours from a small share; the share here is chosen for that. Ranges and queries are cut into pieces of bounded
-rows, so a task's size doesn't grow. Equal vectors are one entry that knows its 21 smallest ids.
+rows, so a task's size doesn't grow. Equal vectors are one entry that knows its 21 smallest ids. A score is one plain
+sum over the components, so equal products are equal numbers whichever block they come from.
 
 Cases: null, zero, or vectors holding null or non-finite components take no part, nor do rows without an id; vectors
 meet only vectors of their own length; repeated rows of one id and vector count once; ties go to the smaller id;
@@ -30,8 +34,11 @@ from ledgerloom.llm.common import batch, bounded_sample, map_batches, staged, ta
 CURVES, DIMS, BITS, BLOCKS, SIDE = 12, 7, 9, 64, 4
 #: Rows and queries scored at once; vectors sampled to scale the projections (the documented bound of the fit).
 BLOCK_ROWS, BLOCK_QUERIES, FIT_ROWS = 20_000, 5_000, 2_000
+WINDOW = 2 * SIDE + 1
 #: A range holds at least so many rows, so small tables have fewer ranges.
 LEAST_ROWS = 128
+#: Bands of norms of one vector length.
+BANDS = 16
 TOP = 20
 SEED = 7
 
@@ -66,7 +73,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Projections with their scaling for vectors of one length."""
+    """Projections with their scaling for one band of vectors of one length."""
 
     def __init__(self, sample: np.ndarray, radius2: float):
         rng = np.random.default_rng(SEED)
@@ -81,14 +88,17 @@ class Curves:
             self.parts.append((basis, low, np.where(spread > 0, spread, 1.0), rng.random(dims)))
 
     def lifted(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
-        rest = np.sqrt(np.maximum(0.0, self.radius2 - (vectors**2).sum(1)))
-        return np.hstack([vectors, (rest * 0 if query else rest)[:, None]])
+        norm2 = (vectors**2).sum(1)
+        if query:
+            scaled = vectors * np.sqrt(self.radius2 / np.maximum(norm2, np.finfo(float).tiny))[:, None]
+            return np.hstack([scaled, np.zeros((len(vectors), 1))])
+        return np.hstack([vectors, np.sqrt(np.maximum(0.0, self.radius2 - norm2))[:, None]])
 
     def keys(self, vectors: np.ndarray, query: bool = False) -> list[np.ndarray]:
         points = self.lifted(vectors, query)
         out = []
         for basis, low, spread, shift in self.parts:
-            unit = np.clip(((points @ basis - low) / spread + shift) / 2, 0, 1 - 1e-12)
+            unit = np.clip(np.nan_to_num(((points @ basis - low) / spread + shift) / 2), 0, 1 - 1e-12)
             out.append(hilbert_keys((unit * (1 << BITS)).astype(np.int64), BITS))
         return out
 
@@ -127,8 +137,13 @@ def _entries(vectors: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def _keyed(index: DataFrame, curves: dict[int, Curves], kind: str) -> DataFrame:
-    """(curve, key, query, cls, dim, vec): each entry on every curve, and again as a query where it is one."""
+def _keyed(index: DataFrame, curves: dict[tuple[int, int], Curves | None], kind: str) -> DataFrame:
+    """(curve, key, query, cls, dim, band, vec): each entry on every curve of its band, and again, where it is a query, on
+    those of every band of its length. A band without curves has one key."""
+
+    def keys(group: tuple[int, int], vectors: np.ndarray, query: bool) -> list[np.ndarray]:
+        made = curves[group]
+        return made.keys(vectors, query) if made else [np.zeros(len(vectors), np.int64)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -136,22 +151,27 @@ def _keyed(index: DataFrame, curves: dict[int, Curves], kind: str) -> DataFrame:
             for dim, part in frame.groupby("dim"):
                 v = np.frombuffer(b"".join(part["vec"]), kind).reshape(len(part), dim).astype(float)
                 asks = part["is_query"].to_numpy(bool)
-                for query, chosen in ((False, np.ones(len(part), bool)), (True, asks)):
-                    sub = part[chosen]
-                    for c, key in enumerate(curves[dim].keys(v[chosen], query)):
-                        yield batch(
-                            curve=([c] * len(sub), pa.int32()),
-                            key=(key, pa.int64()),
-                            query=([query] * len(sub), pa.bool_()),
-                            cls=(sub["cls"].to_numpy(), pa.int64()),
-                            dim=([dim] * len(sub), pa.int32()),
-                            vec=(sub["vec"].tolist(), pa.binary()),
-                        )
+                own = part["band"].to_numpy()
+                for band in [b for d, b in curves if d == dim]:
+                    for query, chosen in ((False, own == band), (True, asks)):
+                        sub = part[chosen]
+                        if sub.empty:
+                            continue
+                        for c, key in enumerate(keys((dim, band), v[chosen], query)):
+                            yield batch(
+                                curve=([c] * len(sub), pa.int32()),
+                                key=(key, pa.int64()),
+                                query=([query] * len(sub), pa.bool_()),
+                                cls=(sub["cls"].to_numpy(), pa.int64()),
+                                dim=([dim] * len(sub), pa.int32()),
+                                band=([band] * len(sub), pa.int32()),
+                                vec=(sub["vec"].tolist(), pa.binary()),
+                            )
 
     return map_batches(
-        index.select("cls", "dim", "vec", "is_query"),
+        index.select("cls", "dim", "band", "vec", "is_query"),
         task,
-        "curve int, key long, query boolean, cls long, dim int, vec binary",
+        "curve int, key long, query boolean, cls long, dim int, band int, vec binary",
     )
 
 
@@ -164,17 +184,21 @@ def _score(rows: pd.DataFrame, asks: pd.DataFrame, kind: str, top: int) -> pd.Da
     rows = rows.sort_values("cls", kind="stable")
     cls = rows["cls"].to_numpy()
     x = np.frombuffer(b"".join(rows["vec"]), kind).reshape(len(rows), dim).astype(float)
+    longest = np.sqrt((x**2).sum(1).max())
     out = []
     for at in range(0, len(asks), 500):
         part = asks.iloc[at : at + 500]
         q = np.frombuffer(b"".join(part["vec"]), kind).reshape(len(part), dim).astype(float)
         scores = q @ x.T
         k = min(top, len(cls))
-        floor = np.partition(scores, -k, axis=1)[:, -k]
+        # the block's products may differ from the plain sum by their rounding
+        slack = 4 * dim * np.finfo(float).eps * longest * np.sqrt((q**2).sum(1))
+        floor = np.partition(scores, -k, axis=1)[:, -k] - slack
         for i, name in enumerate(part["cls"].to_numpy()):
-            good = np.flatnonzero(scores[i] >= floor[i])
-            good = good[np.argsort(-scores[i, good], kind="stable")][:k]
-            out.append(pd.DataFrame({"q": name, "cls": cls[good], "score": scores[i, good]}))
+            good = np.flatnonzero(~(scores[i] < floor[i]))
+            plain = (x[good] * q[i]).sum(1)
+            best = np.argsort(-plain, kind="stable")[:k]
+            out.append(pd.DataFrame({"q": name, "cls": cls[good[best]], "score": plain[best]}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -198,51 +222,64 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
         .select("c1", "c2", "cls", "ids", "norm2", "dim", "vec", F.coalesce("is_query", F.lit(False)).alias("is_query")),
         "vector-index",
     )
-    dims = index.groupBy("dim").agg(
-        F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("asks"), F.max("norm2").alias("radius2")
-    ).collect()  # one row for each vector length
-    if not dims:
+    radii = index.groupBy("dim").agg(F.max("norm2").alias("longest2")).collect()  # one row for each vector length
+    if not radii:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    curves = {}
-    for d in dims:
-        rows = bounded_sample(index.where(F.col("dim") == d.dim), ["vec"], "cls", FIT_ROWS)
-        sample = np.stack([np.frombuffer(r.vec, kind) for r in rows]).astype(float)
-        curves[d.dim] = Curves(sample, d.radius2)
-    keyed = staged(_keyed(index, curves, kind), "vector-keys")
+    lengths = vectors.sparkSession.createDataFrame(radii, "dim int, longest2 double")
+    halvings = F.floor(F.log2("longest2") - F.log2("norm2"))
+    banded = index.join(F.broadcast(lengths), "dim").withColumn(
+        "band", F.coalesce(F.greatest(F.least(halvings, F.lit(BANDS - 1)), F.lit(0)), F.lit(BANDS - 1)).cast("int")
+    )
+    groups = banded.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("norm2").alias("radius2")).collect()
+    asks_of = {r.dim: r.n for r in index.where("is_query").groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    curves: dict[tuple[int, int], Curves | None] = {}
+    for g in groups:
+        curves[g.dim, g.band] = None
+        if g.n > LEAST_ROWS * WINDOW:
+            rows = bounded_sample(banded.where((F.col("dim") == g.dim) & (F.col("band") == g.band)), ["vec"], "cls", FIT_ROWS)
+            sample = np.stack([np.frombuffer(r.vec, kind) for r in rows]).astype(float)
+            curves[g.dim, g.band] = Curves(sample, g.radius2)
+    keyed = staged(_keyed(banded, curves, kind), "vector-keys")
+    with_curves = [f"(dim = {d} and band = {b})" for (d, b), c in curves.items() if c]
     cuts = {
-        (r.dim, r.curve): r.cuts
-        for r in keyed.where("not query")
-        .groupBy("dim", "curve")
+        (r.dim, r.band, r.curve): r.cuts
+        for r in keyed.where("not query and (" + (" or ".join(with_curves) or "false") + ")")
+        .groupBy("dim", "band", "curve")
         .agg(F.percentile_approx("key", [i / BLOCKS for i in range(1, BLOCKS)], 10_000).alias("cuts"))
         .collect()
     }
-    ranges = {d.dim: max(1, min(BLOCKS, d.n // LEAST_ROWS)) for d in dims}
+    layout = []
+    for g in groups:
+        made = curves[g.dim, g.band]
+        ranges = min(BLOCKS, g.n // LEAST_ROWS) if made else 1
+        pieces = -(-g.n // (ranges * BLOCK_ROWS))
+        parts = max(1, -(-(asks_of.get(g.dim, 0) * min(WINDOW, ranges)) // (ranges * BLOCK_QUERIES)))
+        for c in range(CURVES if made else 1):
+            layout.append((g.dim, g.band, c, list(cuts.get((g.dim, g.band, c), [])), ranges, pieces, parts))
     bounds = vectors.sparkSession.createDataFrame(
-        [(d, c, list(x), ranges[d]) for (d, c), x in cuts.items()], "dim int, curve int, cuts array<long>, ranges int"
+        layout, "dim int, band int, curve int, cuts array<long>, ranges int, pieces int, parts int"
     )
-    pieces = max(-(-d.n // (BLOCKS * BLOCK_ROWS)) for d in dims)
-    parts = max(1, max(-(-(d.asks * (2 * SIDE + 1)) // (BLOCKS * BLOCK_QUERIES)) for d in dims))
-    placed = keyed.join(F.broadcast(bounds), ["dim", "curve"]).withColumn(
+    placed = keyed.join(F.broadcast(bounds), ["dim", "band", "curve"]).withColumn(
         "block", F.expr(f"cast(size(filter(cuts, x -> x <= key)) * ranges div {BLOCKS} as int)")
     )
-    first = F.greatest(F.least(F.col("block") - SIDE, F.col("ranges") - 1 - 2 * SIDE), F.lit(0))
+    first = F.greatest(F.least(F.col("block") - SIDE, F.col("ranges") - WINDOW), F.lit(0))
     last = F.least(first + 2 * SIDE, F.col("ranges") - 1)
-    split = lambda name, n, salt: F.pmod(F.xxhash64(name, F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    split = lambda name, n, salt: F.pmod(F.xxhash64(name, F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["dim", "band", "curve", "block", "piece", "part"]
     data = (
         placed.where("not query")
-        .withColumn("piece", split("cls", pieces, 1))
-        .withColumn("part", every(parts))
-        .select("dim", "curve", "block", "piece", "part", "cls", "vec")
+        .withColumn("piece", split("cls", "pieces", 1))
+        .withColumn("part", every("parts"))
+        .select(*keys, "cls", "vec")
     )
     asks = (
         placed.where("query")
-        .withColumn("part", split("cls", parts, 2))
+        .withColumn("part", split("cls", "parts", 2))
         .withColumn("block", F.explode(F.sequence(first, last)))
-        .withColumn("piece", every(pieces))
-        .select("dim", "curve", "block", "piece", "part", "cls", "vec")
+        .withColumn("piece", every("pieces"))
+        .select(*keys, "cls", "vec")
     )
-    keys = ["dim", "curve", "block", "piece", "part"]
     both = data.withColumn("query", F.lit(False)).unionByName(asks.withColumn("query", F.lit(True)))
     found = both.groupBy(*keys).applyInPandas(
         lambda g: _score(g[~g["query"]], g[g["query"]], kind, top + 1), "q long, cls long, score double"

@@ -305,6 +305,40 @@ def test_nearest(spark):
     assert set(got) == {*range(0, 600, 20), 1040}
 
 
+@pytest.mark.parametrize("norms", ["outlier", "mixed"])
+def test_nearest_with_unlike_norms(spark, norms):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "outlier":
+        x[4321] *= 20
+        x[77] *= 1e-9
+    else:
+        x *= np.exp(rng.normal(scale=0.7, size=(len(x), 1)))
+    x = x.astype(np.float32)
+    asked = list(range(0, 12_000, 240))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in nearest_vectors.nearest(df, F.col("vec_id") % 240 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    wide, found = x.astype(float), []
+    for q in asked:
+        scores = (wide * wide[q]).sum(1)
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -scores))[:20]
+        found.append(len(set(best) & {i for i, _ in got[q]}) / 20)
+        assert all(scores[i] == s for i, s in got[q])  # one plain sum, whatever the block
+    assert len(got) == len(asked) and np.mean(found) >= 0.9
+
+
+def test_nearest_extremes(spark):
+    huge, tiny = [1e200, 1e200, 0.0], [1e-200, 0.0, 0.0]
+    data = [(0, huge), (20, tiny), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [-1.0, 2.0, 0.5])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    rows = nearest_vectors.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in rows] == [(0, 1), (0, 2), (0, 3), (0, 20), (20, 0), (20, 1), (20, 2), (20, 3)]
+
+
 def test_language(docs, none, spark):
     texts = {"en": "the cat and the dog were in the house ", "de": "der hund und die katze waren im haus "}
     rows = [(i, (("en", "de")[i % 2]), texts[("en", "de")[i % 2]] * 3 + str(i)) for i in range(40)]
