@@ -25,6 +25,7 @@ from ledgerloom.operators.near import near_verdicts
 from ledgerloom.operators.rejected import rejected_rows
 from ledgerloom.operators.skew import lookup
 from ledgerloom.plans import faithfulness as FF
+from ledgerloom.plans import gold as G
 from ledgerloom.plans import pipeline as P
 from ledgerloom.plans import quality as Q
 from ledgerloom.plans import replay as RP
@@ -106,6 +107,12 @@ class Job:
     def replayed(self) -> DataFrame:
         return stage(RP.replay_cases(self.feeds, self.cases, self.owned_bank), "replayed")
 
+    @cached_property
+    def batch_gold(self) -> DataFrame:
+        """What the whole batch decided of each case, frozen, against its replay in isolation."""
+        frozen = RP.frozen_decisions(self.cases, self.decided)
+        return stage(G.compare_records(frozen, RP.replayed_records(self.replayed)), "gold")
+
     @property
     def explanations(self) -> DataFrame:
         return X.explained(self.decided)
@@ -501,7 +508,9 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "case_table": _case_rows,
     "replay_cases": lambda j: j.replayed.select("case_id", "txn_id", "status", "exception_code", "confidence_score", "outcome"),
     "gold_comparison": lambda j: RP.gold_comparison(j.replayed),
-    "gold_baseline": lambda j: RP.gold_baseline(RP.gold_comparison(j.replayed)),
+    "gold_baseline": lambda j: G.baseline(RP.gold_comparison(j.replayed)),
+    "gold_fields": lambda j: j.batch_gold.select("case_id", F.explode("differences").alias("d"), "comparison").select("case_id", "comparison", F.col("d.field").alias("field"), F.col("d.expected").alias("expected"), F.col("d.actual").alias("actual")),
+    "gold_field_report": lambda j: G.field_report(j.batch_gold),
     # text
     "narration_metrics": lambda j: X.narration_metrics(j.narrations),
     "extraction_metrics": lambda j: X.extraction_metrics(j.extraction_outcomes),
@@ -519,14 +528,24 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "faithfulness_gaps": lambda j: FF.faithfulness_gaps(j.scores),
 }
 
-_jobs: dict[tuple[str, str], Job] = {}
+_jobs: dict[tuple[str, str], tuple[tuple, Job]] = {}
 
 
-def job(spark: SparkSession, sf_dir: str) -> Job:
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _jobs:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        _jobs[key] = Job(spark, sf_dir)
-    return _jobs[key]
+def _files(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of every file under ``folder``: a table that changed is another table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing, found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while listing.hasNext():
+        f = listing.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
+def job(spark: SparkSession, sf_dir: str) -> Job:
+    """The job of a folder of tables, kept while none of its files changes."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir)
+    files = _files(spark, sf_dir)
+    if key not in _jobs or _jobs[key][0] != files:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        _jobs[key] = (files, Job(spark, sf_dir))
+    return _jobs[key][1]

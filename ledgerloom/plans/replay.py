@@ -11,15 +11,16 @@ from ledgerloom.functions.narration import ref_txn_id
 from ledgerloom.operators.attribution import attribute_bank_rows
 from ledgerloom.operators.ranking import global_rank
 from ledgerloom.operators.skew import lookup
+from ledgerloom.plans.gold import FROZEN_FIELDS, compare_records, decision_record
 from ledgerloom.plans.pipeline import batch_from_raw
 from ledgerloom.plans.quality import native_rows
 from ledgerloom.session import stage
 from ledgerloom.sources.ingest import from_table
 
-# Categories whose labels one isolated case cannot show, and where policy overrides the label.
-BATCH_RELATIONAL = ("ambiguous", "duplicate")
-POLICY_OVERRIDES = ("reference_mismatch_fuzzy",)
+# Categories whose rows are rejected by design.
 CORRUPTED = ("corrupted",)
+# What a decision rests on, as a frozen record holds it.
+EVIDENCE = ("bank_match_type", "bank_candidate_count", "invoice_candidate_count", "bank_ambiguity_count", "tax_verified")
 
 
 def cases(labels: DataFrame) -> DataFrame:
@@ -68,7 +69,14 @@ def replay_cases(
         raw[source] = from_table(mine, source, scope=("case_id",))
     batch = batch_from_raw(raw, scope=("case_id",))
     decided = batch.decided().select(
-        "case_id", F.col("txn_id").alias("decided_txn"), "status", "exception_code", "reason_codes", "confidence_score"
+        "case_id",
+        F.col("txn_id").alias("decided_txn"),
+        "status",
+        "exception_code",
+        "reason_codes",
+        "confidence_score",
+        F.col("sources_present").alias("matched_sources"),
+        F.struct(*EVIDENCE).alias("evidence"),
     )
     refused = batch.rejects.groupBy("case_id").agg(F.count(F.lit(1)).alias("rejected"))
     joined = (
@@ -95,43 +103,50 @@ def replay_cases(
         pick(F.array(F.lit("CORRUPTED_RECORD")), "reason_codes").alias("reason_codes"),
         pick(F.lit(0), "confidence_score").alias("confidence_score"),
         F.when(closed & ~corrupted, "ERROR").otherwise("EXECUTED").alias("outcome"),
+        F.when(~closed | F.col("rejected").isNull(), F.col("matched_sources")).alias("matched_sources"),
+        F.when(~closed | F.col("rejected").isNull(), F.col("evidence")).alias("evidence"),
     )
 
 
-def gold_comparison(replayed: DataFrame) -> DataFrame:
-    """Replayed decision against its label, field by field, with the class of each divergence."""
-    status_same = F.col("status") == F.col("expected_status")
-    code_same = F.col("exception_code") == F.col("expected_exception_code")
-    same = status_same & code_same
-    kind = (
-        F.when(F.col("status").isNull(), "MISSING_ACTUAL")
-        .when(same, "MATCH")
-        .when(F.col("category").isin(*BATCH_RELATIONAL), "NOT_EVALUABLE_PER_CASE")
-        .when(F.col("category").isin(*POLICY_OVERRIDES), "KNOWN_POLICY_DIVERGENCE")
-        .otherwise("BASELINE_DIVERGENCE")
+def frozen_labels(case_list: DataFrame) -> DataFrame:
+    """The label of each case as a frozen record: transaction, status and code."""
+    document = decision_record(
+        F.col("txn_id"), F.col("expected_status").alias("status"), F.col("expected_exception_code").alias("exception_code")
     )
-    return replayed.select(
-        "case_id",
+    return case_list.select("case_id", "category", document.alias("document"))
+
+
+def frozen_decisions(case_list: DataFrame, decided: DataFrame) -> DataFrame:
+    """The decision that a whole batch gave each case, all six fields; a case without one freezes its label's."""
+    rows = decided.select(
         "txn_id",
-        "category",
-        kind.alias("comparison"),
-        F.array_compact(
-            F.array(F.when(~status_same, "status"), F.when(~code_same, "exception_code"))
-        ).alias("differences"),
+        decision_record(
+            F.col("txn_id"),
+            F.col("status"),
+            F.col("exception_code"),
+            F.col("sources_present").alias("matched_sources"),
+            F.col("reason_codes"),
+            F.struct(*EVIDENCE).alias("evidence"),
+        ).alias("decision"),
+    )
+    labels = frozen_labels(case_list).select("case_id", "document")
+    return (
+        case_list.select("case_id", "txn_id", "category")
+        .join(rows, "txn_id", "left")
+        .join(labels, "case_id")
+        .select("case_id", "category", F.coalesce("decision", "document").alias("document"))
     )
 
 
-def gold_baseline(compared: DataFrame) -> DataFrame:
-    """Case counts per class; raw divergence is the sum of its three explained parts."""
-    c = F.col("comparison")
-    return compared.agg(
-        F.count(F.lit(1)).alias("cases"),
-        F.count_if(c == "MATCH").alias("matched"),
-        F.count_if(c == "BASELINE_DIVERGENCE").alias("divergent"),
-        F.count_if(c == "NOT_EVALUABLE_PER_CASE").alias("not_evaluable"),
-        F.count_if(c == "KNOWN_POLICY_DIVERGENCE").alias("known_policy"),
-        F.count_if(c == "MISSING_ACTUAL").alias("missing_actual"),
-        F.count_if(c.isin("BASELINE_DIVERGENCE", "NOT_EVALUABLE_PER_CASE", "KNOWN_POLICY_DIVERGENCE")).alias(
-            "raw_divergent"
-        ),
+def replayed_records(replayed: DataFrame) -> DataFrame:
+    """The replayed decision of each case as a record; a case that ended in an error has none."""
+    fields = [F.col(f) for f in FROZEN_FIELDS]
+    return replayed.filter(F.col("status").isNotNull()).select("case_id", decision_record(*fields).alias("document"))
+
+
+def gold_comparison(replayed: DataFrame) -> DataFrame:
+    """Replayed decisions against their labels."""
+    compared = compare_records(frozen_labels(replayed), replayed_records(replayed))
+    return compared.join(replayed.select("case_id", "txn_id"), "case_id").select(
+        "case_id", "txn_id", "category", "comparison", F.transform("differences", lambda d: d.field).alias("differences")
     )
