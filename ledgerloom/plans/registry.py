@@ -31,7 +31,7 @@ from ledgerloom.plans import quality as Q
 from ledgerloom.plans import replay as RP
 from ledgerloom.plans import reports as R
 from ledgerloom.plans import text_eval as X
-from ledgerloom.session import checkpoint_dir, stage
+from ledgerloom.session import checkpoint_dir, remove, stage
 from ledgerloom.sources import bundle as B
 from ledgerloom.sources.ingest import checked, from_table, ingest, ingest_summary, scan_json_array
 from ledgerloom.sources.schemas import FEEDS
@@ -405,6 +405,7 @@ def _round_trip(j: Job) -> DataFrame:
         raw = B.read_bundle(j.spark, folder, (*FEEDS, "labels"))
         labels = raw.pop("labels")
         back.append(digests(raw, labels, form))
+    remove(j.spark, root)  # the digests are written down
     first = digests({s: from_table(j.feeds[s], s) for s in FEEDS}, j.feeds["labels"], "table")
     found = reduce(DataFrame.unionByName, back).join(first.select("feed", F.col("digest").alias("first")), "feed", "left")
     return found.select("form", "feed", "valid", "rejected", F.col("digest").eqNullSafe(F.col("first")).alias("same_values"))
