@@ -124,3 +124,29 @@ def test_attribution_is_the_argmax(spark):
 
 def test_similarity_is_exact_for_containment(spark):
     assert spark.range(1).select(partial_ratio("'abc'", "'xxabcxx'").alias("s")).filter(F.col("s") == 100).count() == 1
+
+
+def test_lists_of_keys_are_never_broadcast(spark):
+    """A text has hundreds of keys, and the planner knows the size of the texts only."""
+    refs = spark.createDataFrame([(f"UTR{100000000 + 7919 * i}",) for i in range(50)], "ref string")
+    texts = refs.select(F.concat(F.lit("NEFT/"), "ref").alias("text"))
+    plan = _sharing_keys(refs, texts, "ref", "text", 85)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_attribution_lists_no_deleted_characters_where_the_reference_stands_whole(spark, monkeypatch):
+    from ledgerloom.operators import attribution
+
+    searched = []
+    whole = attribution._best_reference
+    monkeypatch.setattr(
+        attribution, "_best_reference", lambda refs, texts, floor: searched.append((floor, texts.count())) or whole(refs, texts, floor)
+    )
+    pg = spark.createDataFrame([(i, f"T{i}", f"UTR{100000000 + 7919 * i}") for i in range(40)], "src_pos bigint, txn_id string, utr string")
+    bank = pg.select(
+        F.col("txn_id").alias("bank_ref"),
+        F.concat(F.lit("UPI/"), F.expr("if(src_pos = 3, replace(utr, 'U', 'V'), utr)"), F.lit("/M")).alias("narration"),
+    )
+    got = {x.bank_ref: x.txn_id for x in attribute_bank_rows(bank, pg).collect()}
+    assert got == {f"T{i}": f"T{i}" for i in range(40)}
+    assert searched == [(100, 40), (91, 1)]
