@@ -150,3 +150,29 @@ def test_attribution_lists_no_deleted_characters_where_the_reference_stands_whol
     got = {x.bank_ref: x.txn_id for x in attribute_bank_rows(bank, pg).collect()}
     assert got == {f"T{i}": f"T{i}" for i in range(40)}
     assert searched == [(100, 40), (91, 1)]
+
+
+@pytest.mark.parametrize("floor", [60, 85, 91, 100])
+def test_batches_sort_out_the_pairs_below_the_floor_and_no_other(floor):
+    from ledgerloom.functions.reach import reaches
+
+    r = random.Random(floor)
+    left, right = [], []
+    for n in (0, 1, 2, 5, 12, 12, 16, 30, 61) * 12:
+        a = word(r, "0123UTR", n, n)
+        left.append(a)
+        right.append(r.choice(["", "AB0/"]) + r.choice([mutated(r, a) if a else a, word(r, "0123UTR", 0, 16)]) + r.choice(["", "/1"]))
+    assert [bool(x) for x in reaches(left, right, floor)] == [brute.similarity(a, b) >= floor for a, b in zip(left, right)]
+    wide = ["x" * 62, "a", "\U0001F600b"]
+    assert reaches(wide, ["y" * 70, "b" * 600, "cd"], floor).all()  # left to the expression
+
+
+def test_pairs_below_the_floor_are_not_shuffled(spark):
+    from ledgerloom.functions.narration import similar_pairs
+
+    ids = spark.range(40).select(F.expr("concat('UTR', 100000000 + id * 7919)").alias("ref"))
+    pairs = ids.crossJoin(ids.select(F.concat(F.lit("NEFT/"), "ref", F.lit("/M")).alias("text")))
+    found = similar_pairs(pairs, "ref", "text", 91)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Repartition") < plan.index("ArrowEvalPython") < plan.index("Join")  # the filter is below the shuffle
+    assert found.filter("similarity = 100").count() == 40
