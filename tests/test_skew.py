@@ -39,3 +39,25 @@ def test_context_of_many_decimals_is_bounded(spark):
     assert len(rows) == n + 3
     assert [r.money for r in rows[:2]] == [False, True] and [r.money for r in rows[-2:]] == [False, True]
     assert max(r.reach for r in rows) < 600
+
+
+def test_groups_are_shuffled_once_and_anchors_once_for_a_key(spark):
+    from ledgerloom.operators.candidates import exact_groups
+
+    pg = spark.createDataFrame([], "src_pos bigint, txn_id string, utr string, expected_net decimal(18,4), day date")
+    bank = spark.createDataFrame(
+        [], "src_pos bigint, bank_ref string, txn_id string, utr string, amount decimal(18,4), day date, narration string"
+    )
+    money = ", ".join(f"{c} decimal(18,4)" for c in ("amount", "fee", "gst", "tds"))
+    bills = spark.createDataFrame([], f"src_pos bigint, invoice_id string, txn_id string, {money}, day date")
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.optimizer.excludedRules")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rules = ("PropagateEmptyRelation", "ConvertToLocalRelation")
+    spark.conf.set("spark.sql.optimizer.excludedRules", ",".join(f"org.apache.spark.sql.catalyst.optimizer.{r}" for r in rules))
+    try:
+        plan = exact_groups(pg, bank, bills)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    tree = plan.split("\n\n")[0]
+    assert tree.count("Exchange hashpartitioning") == 5  # three groups; anchors by reference and by id
