@@ -3,8 +3,10 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
+from ledgerloom.sources import array_state as A
 from ledgerloom.sources import ingest as I
 from ledgerloom.sources.sinks import write_json_arrays
 
@@ -81,3 +83,60 @@ def test_arrays_written_and_read_back(spark, tmp_path, small_splits):
     got, places = scanned(spark, tmp_path / "feed")
     want = [{k: v for k, v in (("a", x.a), ("b", x.b)) if v is not None} for x in rows.orderBy("pos").collect()]
     assert got == want and len(set(places)) == 200
+
+
+def test_text_between_commas_is_never_sorted_or_windowed(spark, tmp_path, monkeypatch):
+    """A byte range holds millions of such texts: what handles them may not buffer a range."""
+    plans, real = {}, I.stage
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(I, "stage", seen)
+    (tmp_path / "a.json").write_text(json.dumps([{"a": k, "b": ",]}"} for k in range(50)]))
+    assert I.scan_json_array(spark, str(tmp_path / "a.json")).count() == 50
+    of_chunks = [p for p in plans.values() if "MapInArrow" in p]
+    assert len(of_chunks) == 2
+    first, second = sorted(of_chunks, key=lambda p: "Join" in p)
+    assert not any(word in first for word in ("Window", "Sort", "Aggregate"))
+    # the second read is joined with one row for each range
+    assert "strategy=broadcast" in second
+
+
+def test_state_is_carried_from_batch_to_batch():
+    """Ranges cut anywhere, read in batches of any size, give the elements of the whole."""
+    rng = random.Random(3)
+    wild = ['a,b', '\\"', "\\\\", "[,]", "{", "}", 'x\\", y', "ü,€", "", ",", "\\\\\\\""]
+    for _ in range(60):
+        records = [{w: rng.choice(wild), "n": [k, {"m": rng.choice(wild)}]} for k, w in enumerate(rng.choices("abc", k=rng.randint(1, 12)))]
+        texts = json.dumps(records, ensure_ascii=rng.random() < 0.5).split(",")
+        cuts = sorted(rng.sample(range(len(texts) + 1), min(len(texts), rng.randint(0, 3))))
+        blocks = [sum(c <= i for c in cuts) for i in range(len(texts))]
+        size = rng.randint(1, 9)
+
+        def batches(state=None):
+            for at in range(0, len(texts), size):
+                rows = [
+                    {"value": v, "path": "p", "block": b} | ({"begin": state[b][0], "base": state[b][1]} if state else {})
+                    for v, b in zip(texts[at : at + size], blocks[at : at + size])
+                ]
+                yield pa.RecordBatch.from_pylist(rows)
+
+        state, inside, depth = {}, 0, 0
+        for r in (r for b in A.ranges(batches()) for r in b.to_pylist()):
+            state[r["block"]] = (inside, depth)
+            depth += r["depth1"] if inside else r["depth0"]
+            inside = (inside + r["quotes"]) % 2
+        assert (inside, depth) == (0, 0)
+        found, first = [], 0
+        pieces = [r for b in A.elements(batches(state)) for r in b.to_pylist()]
+        parts = {}
+        for r in pieces:
+            if r["value"] is not None:
+                parts.setdefault(first + r["k"], []).append(r["value"])
+            if not r["ends"]:
+                first += r["k"]
+        found = [",".join(parts[k]) for k in sorted(parts)]
+        assert json.loads(",".join(found)) == records
+        assert [json.loads(x.removeprefix("[") if k == 0 else x) for k, x in enumerate(found[:-1])] == records[:-1]
