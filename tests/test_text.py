@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.narration import narration_txn_id, resolved_txn_id
 from ledgerloom.functions.text import numeric_literals
+from ledgerloom.plans import faithfulness as FF
 from ledgerloom.plans import text_eval as X
 
 
@@ -95,3 +98,18 @@ def test_explanation_scores(spark):
     assert got["against"].contradictions == ["approved"]
     assert got["vague"].missing_facts == ["expected_amount:9.00", "expected_tax:9.00", "confidence_score:94.0"]
     assert got["vague"].score == 20
+
+
+def test_surroundings_of_decimals_are_cut_once(spark):
+    """Each text is split once, and the ends of sentences are as the regular expressions for them have it."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab .!?\n\rü") for _ in range(rng.randrange(12))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    left, right = FF._sentence(F.col("t"), F.col("t"))
+    wrong = rows.filter(
+        (left != F.regexp_extract("t", r"([^.!?\n]*)$", 1)) | (right != F.regexp_extract("t", r"^([^.!?\n]*)", 1))
+    )
+    assert wrong.collect() == []
+    money = rows.select(F.filter(FF._occurrences(F.col("t")), FF._is_money).alias("m"))
+    plan = money._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
