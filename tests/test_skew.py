@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.skew import lookup, prepare
 from ledgerloom.plans.faithfulness import _is_money, _occurrences
+from ledgerloom.operators import candidates as K
+from ledgerloom.operators import skew
 
 
 def test_lookup_with_one_key_on_half_of_the_rows_and_many_without(spark):
@@ -61,3 +63,23 @@ def test_groups_are_shuffled_once_and_anchors_once_for_a_key(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     tree = plan.split("\n\n")[0]
     assert tree.count("Exchange hashpartitioning") == 5  # three groups; anchors by reference and by id
+
+
+def test_rows_are_not_shuffled_for_a_short_list(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    wanted = spark.createDataFrame([(3,), (3,), (7,), (None,)], "k bigint")
+    found = skew.only(rows, wanted, ["k"])
+    assert sorted({r.k for r in found.collect()}) == [3, 7] and found.count() == 40
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(skew, "SHORT_LIST", 1)
+    long = skew.only(rows, wanted, ["k"])
+    assert long.count() == 40 and "Broadcast" not in long._jdf.queryExecution().executedPlan().toString()
+
+
+def test_anchors_are_wide_only_after_the_gate_is_counted(spark, small, monkeypatch):
+    """Totals of the gate are looked up for short rows; the rows with their groups aren't shuffled for them."""
+    staged, real = {}, K.stage
+    monkeypatch.setattr(K, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    b = small.batch
+    K.candidate_sets(b.pg, b.bank, b.invoice)
+    assert "in_gate" in staged["exact-groups"].columns
