@@ -83,3 +83,9 @@ def test_anchors_are_wide_only_after_the_gate_is_counted(spark, small, monkeypat
     b = small.batch
     K.candidate_sets(b.pg, b.bank, b.invoice)
     assert "in_gate" in staged["exact-groups"].columns
+
+
+def test_answers_are_not_joined_with_their_own_decisions(small):
+    from ledgerloom.plans.registry import QUERIES
+
+    assert "Join" not in QUERIES["ungrounded_numbers"](small)._jdf.queryExecution().optimizedPlan().toString()
