@@ -140,3 +140,15 @@ def test_a_stage_leaves_no_shuffle_files(spark):
     assert not files() - before and written.count() == 7
     assert spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
     assert counted.count() == 7 and counted.count() == 7
+
+
+def test_a_long_list_of_gate_cells_is_not_broadcast(small, monkeypatch):
+    from ledgerloom.operators import skew
+
+    bank = small.batch.bank
+    asked = K.open_keys_of(small.batch.pg)
+    rows = {r.src_pos for r in K.near_rows(asked, bank, ()).collect()}
+    monkeypatch.setattr(skew, "SHORT_LIST", 1)
+    near = K.near_rows(asked, bank, ())
+    assert {r.src_pos for r in near.collect()} == rows and near.count() == len(rows)
+    assert "Broadcast" not in _plan(near)
